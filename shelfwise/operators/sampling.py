@@ -67,7 +67,7 @@ def anchor_hard_negatives(examples: DataFrame, users: DataFrame, m: int, seed: i
     rows = examples.select("user_idx", "anime_idx").join(users.select("user_idx", "hard_neg_ids"), "user_idx")
     keyed = F.array_sort(F.transform("hard_neg_ids", lambda h: F.struct(
         hash_u32(seed, F.col("user_idx"), F.col("anime_idx"), h).alias("k"), h.alias("id"))))
-    drawn = rows.withColumn("_drawn", F.slice(keyed, 1, m)["id"])
+    drawn = rows.withColumn("_drawn", F.slice(keyed, 1, m)["id"]).withColumn("_n", F.size("_drawn"))
     return drawn.select("user_idx", "anime_idx", _padded(F.col("_drawn"), m).alias("hard_neg_ids"),
                         F.transform(F.sequence(F.lit(0), F.lit(m - 1)),
-                                    lambda i: i < F.size("hard_neg_ids")).alias("mask"))
+                                    lambda i: i < F.col("_n")).alias("mask"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from shelfwise.plans import cleaning_queries, feature_queries  # noqa: F401
+from shelfwise.plans import cleaning_queries, feature_queries, ranking_queries  # noqa: F401
 from shelfwise.plans.registry import ORACLE, QUERIES  # noqa: F401

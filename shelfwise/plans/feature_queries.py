@@ -52,8 +52,8 @@ _FEATS = ", ".join(en.ITEM_FEATURES)
 
 
 @query("fea_8", f"""SELECT {_FEATS} FROM item_feats UNION ALL
-SELECT i, 0, 0, 0, 0, 0, 0, [CAST(0 AS TINYINT) FOR t IN range((SELECT len(tags) + 1 FROM genre_tags))],
-       [CAST(0 AS TINYINT) FOR t IN range((SELECT len(tags) + 1 FROM theme_tags))], [0] FROM (SELECT CAST(unnest([0, 1]) AS INTEGER) AS i)""")
+SELECT i, 0, 0, 0, 0, 0, 0, [CAST(0 AS TINYINT) FOR t IN range(g)],
+       [CAST(0 AS TINYINT) FOR t IN range(h)], [0] FROM (SELECT CAST(unnest([0, 1]) AS INTEGER) AS i), (SELECT len(tags) + 1 AS g FROM genre_tags), (SELECT len(tags) + 1 AS h FROM theme_tags)""")
 def fea_8(w):
     return en.with_special_rows(en.item_features(w.items))
 

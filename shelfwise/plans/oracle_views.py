@@ -115,12 +115,163 @@ VIEWS: dict[str, str] = {
                CASE WHEN episodes IS NULL OR episodes < 0 THEN 0 WHEN episodes <= 1 THEN 1 WHEN episodes <= 2 THEN 2
                     WHEN episodes <= 6 THEN 3 WHEN episodes <= 13 THEN 4 WHEN episodes <= 26 THEN 5
                     WHEN episodes <= 52 THEN 6 ELSE 7 END AS episodes_bucket,
-               list_concat([CAST(list_contains(genres, t) AS TINYINT) FOR t IN (SELECT tags FROM genre_tags)],
+               list_concat([CAST(list_contains(genres, t) AS TINYINT) FOR t IN gt],
                            [CAST(len(genres) > 0 AS TINYINT)]) AS genres_multihot,
-               list_concat([CAST(list_contains(themes, t) AS TINYINT) FOR t IN (SELECT tags FROM theme_tags)],
+               list_concat([CAST(list_contains(themes, t) AS TINYINT) FOR t IN tt],
                            [CAST(len(themes) > 0 AS TINYINT)]) AS themes_multihot,
                CASE WHEN len(studios) = 0 THEN [0] ELSE list_sort(list_distinct(
-                 [CAST(coalesce(list_position((SELECT tags FROM studio_tags), s), 0) AS INTEGER) + 1 FOR s IN studios])) END AS studio_ids
+                 [CAST(coalesce(list_position(st, s), 0) AS INTEGER) + 1 FOR s IN studios])) END AS studio_ids
         FROM items i LEFT JOIN type_codes a ON i.type = a.value LEFT JOIN source_codes b ON i.source = b.value
-        LEFT JOIN rating_codes c ON i.rating = c.value LEFT JOIN demo_codes d ON i.demographics[1] = d.value""",
+        LEFT JOIN rating_codes c ON i.rating = c.value LEFT JOIN demo_codes d ON i.demographics[1] = d.value
+        CROSS JOIN (SELECT tags AS gt FROM genre_tags) CROSS JOIN (SELECT tags AS tt FROM theme_tags)
+        CROSS JOIN (SELECT tags AS st FROM studio_tags)""",
 }
+
+
+def _mean_vec(rows: str, weight: str = "1.0::DOUBLE") -> str:
+    """(user_idx, vec): weighted mean of the item vectors of ``rows``."""
+    return f"""
+        SELECT user_idx, list(v ORDER BY d) AS vec FROM (
+          SELECT user_idx, d, sum(v * w) / sum(w) AS v FROM (
+            SELECT h.user_idx, {weight} AS w, unnest(i.vec) AS v, generate_subscripts(i.vec, 1) AS d
+            FROM ({rows}) h JOIN ivec i ON h.anime_idx = i.anime_idx) GROUP BY user_idx, d) GROUP BY user_idx"""
+
+
+def _unit(view: str) -> str:
+    return f"""SELECT user_idx, [x / greatest(n, 1e-12) FOR x IN vec] AS vec
+        FROM (SELECT user_idx, vec, sqrt(list_sum([y * y FOR y IN vec])) AS n FROM {view})"""
+
+
+def _pool(users: str, mask: str, k: int, items: str = "SELECT anime_idx, vec FROM ivec WHERE anime_idx >= 2") -> str:
+    return f"""
+        SELECT user_idx, anime_idx, cos, row_number() OVER (PARTITION BY user_idx ORDER BY cos DESC, anime_idx) - 1 AS pool_rank
+        FROM (SELECT u.user_idx, i.anime_idx, round(list_inner_product(u.vec, i.vec), 6) + 0.0 AS cos
+              FROM ({users}) u, ({items}) i WHERE NOT EXISTS (SELECT 1 FROM {mask} m WHERE m.user_idx = u.user_idx AND m.anime_idx = i.anime_idx))
+        QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY cos DESC, anime_idx) <= {k}"""
+
+
+VIEWS |= {
+    "ivec": """
+        SELECT i.anime_idx, [CAST(x AS DOUBLE) FOR x IN e.embedding] AS vec, e.label, i.mal_id
+        FROM items i JOIN embeddings e ON i.mal_id % (SELECT count(*) FROM embeddings) = e.vec_id""",
+    "evalu": "SELECT user_idx, username, split FROM split WHERE split <> 'train'",
+    "ehist": "SELECT * FROM hrows WHERE split <> 'train'",
+    "upool": _mean_vec("SELECT * FROM ehist WHERE pos < 1024"),
+    "uvec": f"""SELECT e.user_idx, coalesce(u.vec, [0.125::DOUBLE FOR x IN range(64)]) AS vec
+        FROM evalu e LEFT JOIN ({_unit('upool')}) u ON e.user_idx = u.user_idx""",
+    "queries": "SELECT user_idx, anime_idx, score, split FROM examples WHERE split IN ('val', 'test')",
+    "qmask": """SELECT user_idx, anime_idx FROM seen WHERE user_idx IN (SELECT user_idx FROM queries)
+        EXCEPT SELECT user_idx, anime_idx FROM queries""",
+    "pool": _pool("SELECT * FROM uvec WHERE user_idx IN (SELECT user_idx FROM queries)", "qmask", 50),
+    "ritems": """
+        SELECT x.anime_idx, x.is_cold, d.type, d.source, d.rating, d.demographics,
+               CASE WHEN NOT x.is_cold THEN d.score END AS score, CASE WHEN NOT x.is_cold THEN d.popularity END AS popularity,
+               CASE WHEN NOT x.is_cold THEN d.rank END AS rank, CASE WHEN x.is_cold THEN 0 ELSE d.scored_by END AS scored_by,
+               CASE WHEN x.is_cold THEN 0 ELSE d.members END AS members, CASE WHEN x.is_cold THEN 0 ELSE d.favorites END AS favorites,
+               d.episodes, CAST(substr(d.start_date, 1, 4) AS INTEGER) AS year, d.mal_id
+        FROM item_index x LEFT JOIN details d ON x.mal_id = d.mal_id""",
+    "numbers": """
+        SELECT anime_idx, coalesce(score, (SELECT median(score) FROM ritems)) AS mal_score,
+               (score IS NULL)::INT::DOUBLE AS mal_score_missing, ln(1 + coalesce(scored_by, 0)::DOUBLE) AS log_scored_by,
+               ln(1 + coalesce(members, 0)::DOUBLE) AS log_members, ln(1 + coalesce(favorites, 0)::DOUBLE) AS log_favorites,
+               coalesce(popularity::DOUBLE, (SELECT median(popularity) FROM ritems)) AS popularity,
+               coalesce(rank::DOUBLE, (SELECT median(rank) FROM ritems)) AS rank, (rank IS NULL)::INT::DOUBLE AS rank_missing,
+               coalesce(episodes::DOUBLE, (SELECT median(episodes) FROM ritems)) AS episodes,
+               2024 - coalesce(year::DOUBLE, (SELECT median(year) FROM ritems)) AS recency_years FROM ritems""",
+    "codes": """
+        SELECT r.anime_idx, coalesce(a.code, 0) AS type_code, coalesce(b.code, 0) AS source_code, coalesce(c.code, 0) AS rating_code,
+               coalesce(d.code, 0) AS demo_code, CASE WHEN year IS NULL THEN 0 WHEN year <= 1989 THEN 1 WHEN year <= 1999 THEN 2
+               WHEN year <= 2009 THEN 3 WHEN year <= 2017 THEN 4 ELSE 5 END AS era_code
+        FROM ritems r LEFT JOIN type_codes a ON r.type = a.value LEFT JOIN source_codes b ON r.source = b.value
+        LEFT JOIN rating_codes c ON r.rating = c.value
+        LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS code FROM (SELECT DISTINCT demographics AS v FROM details WHERE demographics <> '[]')) d
+          ON r.demographics = d.v""",
+    "tags": """
+        SELECT DISTINCT anime_idx, 'genre' AS kind, tag FROM (SELECT anime_idx, unnest(genres) AS tag FROM items)
+        UNION ALL SELECT DISTINCT anime_idx, 'theme', tag FROM (SELECT anime_idx, unnest(themes) AS tag FROM items)""",
+    "ustats": """
+        SELECT e.user_idx, coalesce(n, 0)::DOUBLE AS u_n_rated, coalesce(m, 0)::DOUBLE AS u_mean_score,
+               coalesce(s, 0)::DOUBLE AS u_std_score, coalesce(len, 0)::DOUBLE AS support_len
+        FROM evalu e LEFT JOIN (SELECT user_idx, count(*) FILTER (WHERE score >= 1) AS n, avg(score) FILTER (WHERE score >= 1) AS m,
+               stddev_pop(score) FILTER (WHERE score >= 1) AS s, count(*) AS len FROM ehist GROUP BY user_idx) h ON e.user_idx = h.user_idx""",
+    "ages": "SELECT e.user_idx, CAST(2024 - p.joined_year AS DOUBLE) AS u_account_age FROM evalu e LEFT JOIN profiles p ON e.username = p.username",
+    "sims": """
+        SELECT p.user_idx, p.anime_idx, coalesce(max(s), 0) AS hist_cos_max, coalesce(avg(s), 0) AS hist_cos_mean,
+               coalesce(avg(s) FILTER (WHERE r <= 5), 0) AS hist_cos_top5_mean
+        FROM pool p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_idx, anime_idx ORDER BY s DESC) AS r FROM (
+          SELECT p.user_idx, p.anime_idx, list_inner_product(a.vec, b.vec) AS s FROM pool p JOIN ivec a ON p.anime_idx = a.anime_idx
+          JOIN (SELECT * FROM ehist WHERE pos < 256) h ON p.user_idx = h.user_idx JOIN ivec b ON h.anime_idx = b.anime_idx)) x
+          ON p.user_idx = x.user_idx AND p.anime_idx = x.anime_idx GROUP BY p.user_idx, p.anime_idx""",
+    "taste": """
+        SELECT h.user_idx, t.kind, t.tag, count(*)::DOUBLE / any_value(h.n) AS pref
+        FROM (SELECT *, count(*) OVER (PARTITION BY user_idx) AS n FROM ehist WHERE pos < 256) h
+        JOIN tags t ON h.anime_idx = t.anime_idx GROUP BY h.user_idx, t.kind, t.tag""",
+    "aff": """
+        SELECT p.user_idx, p.anime_idx, coalesce(sum(f.pref) FILTER (WHERE f.kind = 'genre'), 0) AS genre_aff,
+               coalesce(sum(f.pref) FILTER (WHERE f.kind = 'theme'), 0) AS theme_aff,
+               count(*) FILTER (WHERE f.kind = 'genre' AND f.pref > 0)::DOUBLE AS genre_overlap
+        FROM pool p LEFT JOIN tags t ON p.anime_idx = t.anime_idx
+        LEFT JOIN taste f ON f.user_idx = p.user_idx AND f.kind = t.kind AND f.tag = t.tag GROUP BY p.user_idx, p.anime_idx""",
+    "liked": """
+        SELECT q.user_idx, q.anime_idx FROM queries q JOIN ustats s ON q.user_idx = s.user_idx
+        WHERE s.u_n_rated > 0 AND q.score >= 1 AND q.score > s.u_mean_score""",
+    "side": """
+        SELECT q.user_idx, count(*) AS r_total, (SELECT count(*) FROM liked l WHERE l.user_idx = q.user_idx) AS r_liked
+        FROM queries q GROUP BY q.user_idx""",
+    "lpool": """
+        SELECT p.*, n.mal_score / 10 AS pred, (q.user_idx IS NOT NULL)::INT AS label, (l.user_idx IS NOT NULL)::INT AS label_liked
+        FROM pool p JOIN numbers n ON p.anime_idx = n.anime_idx
+        LEFT JOIN queries q ON p.user_idx = q.user_idx AND p.anime_idx = q.anime_idx
+        LEFT JOIN liked l ON p.user_idx = l.user_idx AND p.anime_idx = l.anime_idx""",
+    "rn": """
+        SELECT *, (row_number() OVER (PARTITION BY user_idx ORDER BY cos, pool_rank) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY user_idx) - 1, 1) AS rn_cos,
+               (row_number() OVER (PARTITION BY user_idx ORDER BY pred, pool_rank) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY user_idx) - 1, 1) AS rn_pred
+        FROM lpool""",
+    # training pools: 100 sampled users, their support and targets
+    "tkeyed": f"""
+        SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY k, pos) <= least(greatest(round(0.2::DOUBLE * n), 1), n - 1) AS is_target FROM (
+          SELECT user_idx, anime_idx, score, pos, count(*) OVER (PARTITION BY user_idx) AS n, {u32("'42:' || user_idx || ':' || anime_idx")} AS k
+          FROM hrows WHERE user_idx IN (SELECT user_idx FROM users WHERE split = 'train' AND len(history_ids) >= 5
+                                        ORDER BY {u32("'42:' || user_idx")}, user_idx LIMIT 100))""",
+    "tsup": "SELECT user_idx, anime_idx, score FROM tkeyed WHERE NOT is_target",
+    "ttgt": "SELECT user_idx, anime_idx, score FROM tkeyed WHERE is_target",
+    "tmask": "SELECT user_idx, anime_idx FROM tsup UNION SELECT user_idx, unnest(hard_neg_ids) FROM hardneg WHERE user_idx IN (SELECT user_idx FROM tsup)",
+    "tvec0": _mean_vec("SELECT * FROM tsup"),
+    "tvec": _unit("tvec0"),
+    "tpool": _pool("SELECT * FROM tvec", "tmask", 40,
+                   "SELECT anime_idx, vec FROM ivec WHERE anime_idx NOT IN (SELECT anime_idx FROM cold)"),
+    "tlab": """
+        SELECT p.*, coalesce(CASE WHEN t.score >= 10 THEN 4 WHEN t.score >= 9 THEN 3 WHEN t.score >= 7 THEN 2 WHEN t.score IS NOT NULL THEN 1 END, 0) AS label,
+               coalesce(t.score, 0) AS target_score
+        FROM tpool p LEFT JOIN ttgt t ON p.user_idx = t.user_idx AND p.anime_idx = t.anime_idx""",
+}
+
+
+def metrics_sql(pool: str, score: str, ks: list[int], *, by: str = "", side: str = "side", label: str = "label",
+                total: str = "r_total", prefix: str = "", pooled: bool = False) -> str:
+    """(by, metric, value) over a pool with columns user_idx, pool_rank, ``label`` and the score expression."""
+    comma, part = (f"{by}, ", f"{by}, ") if by else ("", "")
+    group = f"GROUP BY {by}" if by else ""
+    inner = f"""SELECT *, row_number() OVER (PARTITION BY {part}user_idx ORDER BY {score} DESC, pool_rank) - 1 AS rk FROM ({pool})"""
+    ideal = ", ".join(f"(SELECT sum(1 / log2(r + 2)) FROM range(least(any_value(s.{total}), {k})) t(r)) AS i{k}" for k in ks)
+    sums = ", ".join(f"sum(CASE WHEN rk < {k} THEN {label} ELSE 0 END) AS h{k}, sum(CASE WHEN rk < {k} THEN {label} / log2(rk + 2) ELSE 0 END) AS d{k}" for k in ks)
+    per = f"""SELECT {comma}p.user_idx, any_value(s.{total}) AS R, {sums}, {ideal} FROM ({inner}) p JOIN {side} s ON p.user_idx = s.user_idx
+              WHERE s.{total} > 0 GROUP BY {comma}p.user_idx"""
+    names, vals = [], []
+    for k in ks:
+        names.append(f"{prefix}recall@{k}")
+        vals.append(f"avg(h{k}::DOUBLE / R)")
+    for k in ks:
+        names.append(f"{prefix}ndcg@{k}")
+        vals.append(f"avg(d{k} / i{k})")
+    names.append("n_users_liked" if prefix else "n_users")
+    vals.append("count(*)::DOUBLE")
+    if pooled:
+        for k in ks:
+            names.append(f"hitrate@{k}")
+            vals.append(f"sum(h{k})::DOUBLE / sum(R)")
+        names.append("n_pairs")
+        vals.append("sum(R)::DOUBLE")
+    cols = ", ".join(f"{v} AS m{i}" for i, v in enumerate(vals))
+    return f"""SELECT {comma}unnest({names!r}) AS metric, unnest([{', '.join(f'm{i}' for i in range(len(vals)))}]) AS value
+               FROM (SELECT {comma}{cols} FROM ({per}) {group})"""

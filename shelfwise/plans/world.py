@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import cleaning, encoding, splits
+from shelfwise.operators import cleaning, encoding, features, labels, splits, vectors
 from shelfwise.sources import adapters
 
 
@@ -118,3 +118,105 @@ class World:
     @cached_property
     def eval_users(self) -> DataFrame:
         return self.split.where("split <> 'train'").select("user_idx")
+
+    # -- vectors and pools ---------------------------------------------------
+    DIM = 64
+
+    @cached_property
+    def ivec(self) -> DataFrame:
+        """Item vectors; the two special items have the zero vector."""
+        real = adapters.item_vectors(self.spark, self.sf_dir, self.items)
+        special = self.spark.range(2).select(
+            F.col("id").cast("int").alias("anime_idx"), F.lit(-1).cast("bigint").alias("mal_id"),
+            F.array_repeat(F.lit(0.0), self.DIM).alias("vec"), F.lit(None).cast("int").alias("label"))
+        return stage(real.unionByName(special), "ivec")
+
+    @cached_property
+    def eval_history(self) -> DataFrame:
+        """Ranked history rows of validation and test users."""
+        return stage(splits.ranked_history(self.history_rows.where("split <> 'train'")), "eval-history")
+
+    @cached_property
+    def uvec(self) -> DataFrame:
+        pooled = vectors.normalised(vectors.pool_mean(self.eval_history.where("pos < 1024"), self.ivec, self.DIM), "vec")
+        default = F.array_repeat(F.lit(0.125), self.DIM)
+        return stage(vectors.or_default(self.eval_users, pooled, default), "uvec")
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        return self.examples.where("split IN ('val', 'test')")
+
+    @cached_property
+    def query_mask(self) -> DataFrame:
+        return labels.eval_mask(self.seen_rows, self.queries)
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        asked = self.uvec.join(self.queries.select("user_idx"), "user_idx", "left_semi")
+        return stage(vectors.masked_top_k(asked, self.ivec, self.query_mask, 50), "pool")
+
+    @cached_property
+    def ranker_items(self) -> DataFrame:
+        return features.cold_policy(features.item_table(self.item_index, self.details))
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return stage(features.numeric_features(self.ranker_items), "numbers")
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        return features.tag_rows(features.item_table(self.item_index, self.details))
+
+    @cached_property
+    def eval_stats(self) -> DataFrame:
+        return features.user_stats(self.eval_users, self.eval_history)
+
+    @cached_property
+    def ages(self) -> DataFrame:
+        return features.account_age(self.split.where("split <> 'train'"), self.profiles)
+
+    @cached_property
+    def liked(self) -> DataFrame:
+        return labels.liked_queries(self.queries, self.eval_stats)
+
+    @cached_property
+    def side(self) -> DataFrame:
+        return labels.query_totals(self.queries, self.liked)
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """Labelled evaluation pool with the catalogue score as a stand-in prediction."""
+        pred = self.numbers.select("anime_idx", (F.col("mal_score") / 10).alias("pred"))
+        return stage(labels.label_eval(self.pool, self.queries, self.liked).join(pred, "anime_idx"), "labelled")
+
+    # -- training pools: 100 sampled users -------------------------------------
+    @cached_property
+    def train_split(self) -> DataFrame:
+        return stage(splits.support_target(splits.sample_train_users(self.users, 100)), "train-split")
+
+    def _side(self, side: str) -> DataFrame:
+        return self.train_split.select("user_idx", F.explode(F.arrays_zip(
+            F.col(f"{side}_ids").alias("anime_idx"), F.col(f"{side}_scores").alias("score"))).alias("e")).select("user_idx", "e.*")
+
+    @cached_property
+    def train_support(self) -> DataFrame:
+        return self._side("support")
+
+    @cached_property
+    def train_targets(self) -> DataFrame:
+        return self._side("target")
+
+    @cached_property
+    def train_mask(self) -> DataFrame:
+        hard = (self.users.join(self.train_split.select("user_idx"), "user_idx", "left_semi")
+                .select("user_idx", F.explode("hard_neg_ids").alias("anime_idx")))
+        return labels.train_mask(self.train_support, hard)
+
+    @cached_property
+    def train_pool(self) -> DataFrame:
+        vec = vectors.normalised(vectors.pool_mean(self.train_support, self.ivec, self.DIM), "vec")
+        return stage(vectors.masked_top_k(vec, self.ivec, self.train_mask, 40, exclude=self.cold), "train-pool")
+
+    @cached_property
+    def train_labelled(self) -> DataFrame:
+        return labels.label_train(self.train_pool, self.train_targets)

@@ -275,3 +275,30 @@ def metrics_sql(pool: str, score: str, ks: list[int], *, by: str = "", side: str
     cols = ", ".join(f"{v} AS m{i}" for i, v in enumerate(vals))
     return f"""SELECT {comma}unnest({names!r}) AS metric, unnest([{', '.join(f'm{i}' for i in range(len(vals)))}]) AS value
                FROM (SELECT {comma}{cols} FROM ({per}) {group})"""
+
+_WARM = """SELECT anime_idx, vec FROM ivec WHERE anime_idx NOT IN (SELECT anime_idx FROM cold)
+           AND anime_idx NOT IN (SELECT anime_idx FROM adult)"""
+
+VIEWS |= {
+    "adult": "SELECT anime_idx FROM items WHERE list_contains(genres, 'Hentai') OR rating = 'Rx - Hentai'",
+    "wpool": _pool("SELECT * FROM uvec", "seen", 40, _WARM),
+    "wpred": """
+        SELECT p.*, round(0.5::DOUBLE * p.cos + 0.03::DOUBLE * n.mal_score + 0.02::DOUBLE * n.log_members
+                          + 0.01::DOUBLE * (n.mal_score - s.u_mean_score), 6) AS pred
+        FROM wpool p JOIN numbers n ON p.anime_idx = n.anime_idx JOIN ustats s ON p.user_idx = s.user_idx""",
+    "mainl": """
+        SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, anime_idx) AS rank FROM (
+          SELECT *, (1 - 0.6::DOUBLE) * ((row_number() OVER (PARTITION BY user_idx ORDER BY cos, pool_rank) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY user_idx) - 1, 1))
+                    + 0.6::DOUBLE * ((row_number() OVER (PARTITION BY user_idx ORDER BY pred, pool_rank) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY user_idx) - 1, 1)) AS score
+          FROM wpred) QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, anime_idx) <= 20""",
+    "coldl": _pool("SELECT * FROM uvec", "seen", 10, """SELECT anime_idx, vec FROM ivec WHERE anime_idx IN (SELECT anime_idx FROM cold)
+                   AND anime_idx NOT IN (SELECT anime_idx FROM adult)"""),
+    "facts": """
+        SELECT anime_idx, mal_id, coalesce(title, '?') AS title, coalesce(type, '?') AS type, start_year AS year, round(score, 2) AS mal_score,
+               popularity, members, substr(start_date, 1, 10) AS start_date, genres, themes, studios FROM items""",
+    "results": """
+        SELECT r.*, f.* EXCLUDE (anime_idx) FROM (
+          SELECT user_idx, anime_idx, 'main' AS section, CAST(rank AS INTEGER) AS rank FROM mainl
+          UNION ALL SELECT user_idx, anime_idx, 'cold', CAST(pool_rank + 1 AS INTEGER) FROM coldl) r JOIN facts f ON r.anime_idx = f.anime_idx""",
+    "coords": "SELECT anime_idx, vec[1] AS x, vec[2] AS y FROM ivec WHERE anime_idx NOT IN (SELECT anime_idx FROM adult)",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import cleaning, encoding, features, labels, splits, vectors
+from shelfwise.operators import cleaning, encoding, features, labels, recommend, splits, vectors
 from shelfwise.sources import adapters
 
 
@@ -220,3 +220,39 @@ class World:
     @cached_property
     def train_labelled(self) -> DataFrame:
         return labels.label_train(self.train_pool, self.train_targets)
+
+    # -- recommendation ----------------------------------------------------------
+    @cached_property
+    def adult(self) -> DataFrame:
+        return recommend.adult_items(self.items)
+
+    @cached_property
+    def warm_pool(self) -> DataFrame:
+        """Warm, safe candidates with a linear stand-in prediction."""
+        pool = recommend.warm_pool(self.uvec, self.ivec, self.seen_rows, self.cold, self.adult, 40, 20)
+        joined = pool.join(self.numbers, "anime_idx").join(self.eval_stats, "user_idx")
+        pred = (F.lit(0.5) * F.col("cos") + F.lit(0.03) * F.col("mal_score") + F.lit(0.02) * F.col("log_members")
+                + F.lit(0.01) * (F.col("mal_score") - F.col("u_mean_score")))
+        return stage(joined.select("user_idx", "anime_idx", "cos", "pool_rank", F.round(pred, 6).alias("pred")), "warm-pool")
+
+    @cached_property
+    def main(self) -> DataFrame:
+        preds = self.warm_pool.select("user_idx", "anime_idx", "pred")
+        return stage(recommend.main_list(self.warm_pool.drop("pred"), preds, 0.6, 20), "main")
+
+    @cached_property
+    def cold_recs(self) -> DataFrame:
+        return stage(recommend.cold_list(self.uvec, self.ivec, self.seen_rows, self.cold, 10, self.adult), "cold-recs")
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """Both lists of every evaluation user with catalogue fields."""
+        main = self.main.select("user_idx", "anime_idx", F.lit("main").alias("section"), "rank")
+        cold = self.cold_recs.select("user_idx", "anime_idx", F.lit("cold").alias("section"), (F.col("pool_rank") + 1).alias("rank"))
+        return stage(recommend.enrich(main.unionByName(cold), self.item_index, self.items), "results")
+
+    @cached_property
+    def coords(self) -> DataFrame:
+        """Map place of each safe item: two vector components stand in for a projection."""
+        safe = self.ivec.where("anime_idx >= 2").join(self.adult, "anime_idx", "left_anti")
+        return safe.select("anime_idx", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))

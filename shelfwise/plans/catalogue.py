@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.plans import cleaning_queries, feature_queries, ranking_queries, recommend_queries  # noqa: F401
+from shelfwise.plans import atlas_queries, cleaning_queries, feature_queries, log_queries, ranking_queries, recommend_queries  # noqa: F401
 from shelfwise.plans.registry import ORACLE, QUERIES  # noqa: F401
 from shelfwise.plans.world import World
 

@@ -302,3 +302,80 @@ VIEWS |= {
           UNION ALL SELECT user_idx, anime_idx, 'cold', CAST(pool_rank + 1 AS INTEGER) FROM coldl) r JOIN facts f ON r.anime_idx = f.anime_idx""",
     "coords": "SELECT anime_idx, vec[1] AS x, vec[2] AS y FROM ivec WHERE anime_idx NOT IN (SELECT anime_idx FROM adult)",
 }
+
+_KERNEL_R, _SIGMA, GRID_BINS = 6, 1.5, 32
+
+
+def _smooth_pass(source: str, axis: str, other: str) -> str:
+    n = GRID_BINS
+    return f"""
+        SELECT label, CASE WHEN m >= {n} THEN {2 * n - 1} - m ELSE m END AS {axis}, {other}, sum(d * w) AS d FROM (
+          SELECT label, (({axis} + o) % {2 * n} + {2 * n}) % {2 * n} AS m, {other}, d, w FROM {source},
+            (SELECT o, exp(-0.5::DOUBLE * (o / {_SIGMA}::DOUBLE) ** 2) / sum(exp(-0.5::DOUBLE * (o / {_SIGMA}::DOUBLE) ** 2)) OVER () AS w
+             FROM range(-{_KERNEL_R}, {_KERNEL_R + 1}) t(o))) GROUP BY label, CASE WHEN m >= {n} THEN {2 * n - 1} - m ELSE m END, {other}"""
+
+
+VIEWS |= {
+    "mbase": """
+        SELECT x.anime_idx, x.mal_id, i.title, i.type, i.genres, i.themes, i.demographics, i.popularity, x.is_cold,
+               coalesce(i.genres[1], 'Unknown') AS primary_genre, i.start_year, v.label
+        FROM item_index x JOIN items i ON x.mal_id = i.mal_id JOIN ivec v ON x.anime_idx = v.anime_idx
+        WHERE x.anime_idx NOT IN (SELECT anime_idx FROM adult)""",
+    "mtags": "SELECT DISTINCT anime_idx, label, tag FROM (SELECT anime_idx, label, unnest(list_concat(genres, themes)) AS tag FROM mbase)",
+    "mcounts": """
+        SELECT label, tag, count(*) AS c, any_value(g) AS g, any_value(n) AS n, any_value(ni) AS ni FROM (
+          SELECT t.*, g.g, s.n, k.ni FROM mtags t JOIN (SELECT tag, count(*) AS g FROM mtags GROUP BY tag) g ON t.tag = g.tag
+          JOIN (SELECT label, count(*) AS n FROM mbase GROUP BY label) s ON t.label = s.label
+          JOIN (SELECT label, count(*) AS ni FROM mtags GROUP BY label) k ON t.label = k.label) GROUP BY label, tag""",
+    "mgenre": """
+        SELECT label, primary_genre AS fallback FROM (SELECT label, primary_genre, count(*) AS c FROM mbase GROUP BY label, primary_genre)
+        QUALIFY row_number() OVER (PARTITION BY label ORDER BY c DESC, primary_genre) = 1""",
+    "mlogodds": """
+        SELECT label, tag, round(((ln(c + a) - ln(ni + 100 - c - a)) - (ln(g - c + a) - ln(total - ni + 100 - (g - c) - a)))
+                                 / sqrt(1 / (c + a) + 1 / (g - c + a)), 9) AS score FROM (
+          SELECT *, g::DOUBLE / total * 100 AS a FROM (SELECT *, (SELECT count(*) FROM mtags)::DOUBLE AS total FROM mcounts))
+        WHERE c >= 3 AND c / n >= 0.05""",
+    "mlift": "SELECT label, tag, round((c / n) / (g / (SELECT count(*) FROM mbase)), 9) AS score FROM mcounts WHERE c / n >= 0.15",
+    "mtfidf": """
+        SELECT m.label, m.tag, round(c / n * (ln(((SELECT count(DISTINCT label) FROM mbase) + 1)::DOUBLE / (coalesce(d.df, 0) + 1)) + 1), 9) AS score
+        FROM mcounts m LEFT JOIN (SELECT tag, count(*) AS df FROM mcounts WHERE c / n >= 0.10 GROUP BY tag) d ON m.tag = d.tag""",
+    "mpopular": "SELECT label, arg_min(title, popularity * 1000000 + mal_id) AS title FROM mbase GROUP BY label",
+    "mpoints": """
+        SELECT b.anime_idx, b.mal_id, b.title, c.x, c.y, b.label, CAST(b.popularity AS INTEGER) AS popularity, b.is_cold
+        FROM mbase b JOIN coords c ON b.anime_idx = c.anime_idx""",
+    "manchors": "SELECT label, median(x) AS cx, median(y) AS cy FROM mpoints GROUP BY label",
+    "mframe": f"""SELECT min(x) - 0.5 AS x0, min(y) - 0.5 AS y0, (max(x) - min(x) + 1.0::DOUBLE) / {GRID_BINS} AS wx,
+        (max(y) - min(y) + 1.0::DOUBLE) / {GRID_BINS} AS wy FROM mpoints""",
+    "mcells": f"""
+        SELECT label, CAST(least(floor((x - x0) / wx), {GRID_BINS - 1}) AS INTEGER) AS ix, CAST(least(floor((y - y0) / wy), {GRID_BINS - 1}) AS INTEGER) AS iy,
+               count(*) AS d FROM mpoints, mframe GROUP BY ALL""",
+    "mblur": _smooth_pass("mcells", "ix", "iy"),
+    "mdens": f"""SELECT label, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, round(d, 12) AS d
+        FROM ({_smooth_pass('mblur', 'iy', 'ix')}) WHERE round(d, 12) > 0""",
+    "mdom": """SELECT ix, iy, round(sum(d), 12) AS total, arg_max(label, {'d': d, 'n': -label}) AS label FROM mdens GROUP BY ix, iy""",
+    "mland": """SELECT *, CASE WHEN total > (SELECT quantile_cont(total, 0.40) FROM mdom) THEN label + 1 ELSE 0 END AS field FROM mdom""",
+    "mradius": """
+        SELECT label, cx, cy, d AS radius FROM (
+          SELECT a.label, a.cx, a.cy, sqrt((p.x - a.cx) ** 2 + (p.y - a.cy) ** 2) AS d,
+                 row_number() OVER (PARTITION BY a.label ORDER BY sqrt((p.x - a.cx) ** 2 + (p.y - a.cy) ** 2)) - 1 AS rk, count(*) OVER (PARTITION BY a.label) AS n
+          FROM mpoints p JOIN manchors a ON p.label = a.label) WHERE rk = least(floor(n * 0.8::DOUBLE), n - 1)""",
+}
+
+
+def top_tags(view: str, k: int) -> str:
+    """(label, name) from the k best tags of a scored view."""
+    return f"""SELECT label, string_agg(tag, '·' ORDER BY score DESC, tag DESC) AS name FROM (
+        SELECT * FROM {view} QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, tag DESC) <= {k}) GROUP BY label"""
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'http_403' WHEN 'click' THEN 'empty' ELSE 'ok' END"
+_HREF = 'href="/([^"/]+)"'
+
+VIEWS |= {
+    "clog": f"SELECT event_id, ts, user_id, {_STATUS} AS status, value FROM events",
+    "cusers": """
+        SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS username, min(ts) AS discovered_at,
+               CASE WHEN user_id % 4 = 0 THEN NULL ELSE arg_max(status, event_id) END AS ratings_status,
+               CASE WHEN user_id % 3 = 0 THEN NULL ELSE arg_min(status, event_id) END AS profile_status
+        FROM clog GROUP BY user_id""",
+    "links": f"SELECT DISTINCT page_id, url_decode(replace(raw, '+', '%2B')) AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS raw FROM pages)",
+}

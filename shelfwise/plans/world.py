@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import cleaning, encoding, features, labels, recommend, splits, vectors
+from shelfwise.operators import atlas, cleaning, encoding, features, labels, recommend, splits, vectors
 from shelfwise.sources import adapters
 
 
@@ -256,3 +256,35 @@ class World:
         """Map place of each safe item: two vector components stand in for a projection."""
         safe = self.ivec.where("anime_idx >= 2").join(self.adult, "anime_idx", "left_anti")
         return safe.select("anime_idx", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
+
+    # -- map ---------------------------------------------------------------------
+    BINS, SIGMA = 32, 1.5
+
+    @cached_property
+    def map_base(self) -> DataFrame:
+        return atlas.base_table(self.item_index, self.details, extra=True)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """Given cluster label per item."""
+        return self.ivec.where("anime_idx >= 2").select("anime_idx", "label")
+
+    @cached_property
+    def clustered(self) -> DataFrame:
+        return stage(self.map_base.join(self.clusters, "anime_idx"), "clustered")
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return stage(atlas.points(self.coords, self.map_base, self.clusters), "points")
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        return stage(atlas.label_anchors(self.points), "anchors")
+
+    @cached_property
+    def density(self) -> DataFrame:
+        return stage(atlas.smooth(atlas.histogram(self.points, self.BINS, ["label"]), self.BINS, self.SIGMA, ["label"]), "density")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return stage(atlas.dominant(self.density), "cells")

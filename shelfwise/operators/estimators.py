@@ -54,28 +54,28 @@ def importances(spark, model) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def _with_vector(df: DataFrame, columns: list[str]) -> DataFrame:
+def _with_vector(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     v = F.col(columns[0]) if len(columns) == 1 else F.array(*columns)
-    return df.withColumn("_v", array_to_vector(v.cast("array<double>")))
+    return df.select(key, array_to_vector(v.cast("array<double>")).alias("_v"))
 
 
 def kmeans(df: DataFrame, key: str, columns: list[str], k: int = 28):
     """(labels, model) of k-means over an array column or several number columns."""
-    ready = _with_vector(df, columns)
+    ready = _with_vector(df, key, columns)
     model = KMeans(k=k, seed=SEED, featuresCol="_v", predictionCol="label").fit(ready)
     return model.transform(ready).select(key, "label"), model
 
 
 def gaussian_mixture(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
     """Hard label and membership shares (full covariances)."""
-    ready = _with_vector(df, columns)
+    ready = _with_vector(df, key, columns)
     model = GaussianMixture(k=k, seed=SEED, featuresCol="_v", predictionCol="label", probabilityCol="_p").fit(ready)
     return model.transform(ready).select(key, "label", vector_to_array("_p").alias("shares"))
 
 
 def project(df: DataFrame, key: str, column: str, dims: int = 2) -> DataFrame:
     """Coordinates on the first principal components."""
-    ready = _with_vector(df, [column])
+    ready = _with_vector(df, key, [column])
     xy = vector_to_array(F.col("_xy"))
     out = PCA(k=dims, inputCol="_v", outputCol="_xy").fit(ready).transform(ready)
     return out.select(key, xy[0].alias("x"), xy[1].alias("y"))

@@ -244,13 +244,13 @@ def str_3(w):
     return board.table()
 
 
-@query("str_4", r"""SELECT CAST(to_timestamp(1704067200 + first // 60 * 60) AS TIMESTAMP) AS start, count(*) AS n_new FROM (
+@query("str_4", """SELECT 1704067200 + first // 60 * 60 AS start, count(*) AS n_new FROM (
 SELECT lower(name) AS key, min(page_id * 7) AS first FROM links GROUP BY 1) GROUP BY 1""")
 def str_4(w):
     pages = st.read_log(w.spark, _page_files(w), _PAGE_SCHEMA)
     registry = st.NameRegistry(w.spark, _folder(w, "registry"))
     st.run_batches(st.name_sightings(pages, HREF), registry.add, _folder(w, "cp"))
-    return registry.per_interval()
+    return registry.per_interval().withColumn("start", F.unix_timestamp("start"))
 
 
 @query("str_5", "SELECT run, n FROM (SELECT unnest([1, 2, 3]) AS run, unnest([(SELECT count(*) FROM clog WHERE event_id < 5000), (SELECT count(*) FROM clog WHERE event_id < 5000), (SELECT count(*) FROM clog)]) AS n)")

@@ -12,7 +12,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
                      ranks: dict[str, Column]) -> DataFrame:
     """The elements at given 0-based positions of each group's sorted non-null values.
 
-    ``ranks`` maps an output name to an expression over the group size ``_n``. Equal values are
+    ``ranks`` maps an output name to an expression over the group size ``_n``, which is kept. Equal values are
     counted first (map side); a histogram of at most 2049 equal-width bins per group then shows
     which bin holds a position, and only that bin's distinct values are put in order.
     """
@@ -26,25 +26,20 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
     binned = counted.join(bounds, keys).withColumn(
         "_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * _BINS)).otherwise(0).cast("int"))
     over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("pos"))
-        for name, rank in ranks.items()]))
-    located = (binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"), F.first("_n").alias("_n"))
-               .withColumn("_end", F.sum("_in").over(over_bins))
-               .withColumn("_start", F.col("_end") - F.col("_in"))
-               .withColumn("_want", wanted)
-               .where((F.col("_want.pos") >= F.col("_start")) & (F.col("_want.pos") < F.col("_end")))
-               .select(*keys, "_bin", "_start", F.col("_want.name").alias("_name"),
-                       F.col("_want.pos").alias("_pos")))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("pos")) for name, rank in ranks.items()])
+    held = F.filter("_wanted", lambda q: (q["pos"] >= F.col("_start")) & (q["pos"] < F.col("_end")))
+    hit_bins = (binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"), F.first("_n").alias("_n"))
+                .withColumn("_end", F.sum("_in").over(over_bins))
+                .withColumn("_start", F.col("_end") - F.col("_in"))
+                .withColumn("_wanted", wanted).withColumn("_held", held).where(F.size("_held") > 0)
+                .select(*keys, "_bin", "_start", "_held"))
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hit_bins = located.select(*keys, "_bin").distinct()
-    ordered = (binned.join(hit_bins, [*keys, "_bin"], "left_semi")
-               .withColumn("_upto", F.sum("_c").over(in_bin)))
-    picked = (ordered.join(located, [*keys, "_bin"])
-              .withColumn("_at", F.col("_pos") - F.col("_start"))
-              .where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c"))))
+    picked = (binned.join(hit_bins, [*keys, "_bin"])
+              .withColumn("_upto", F.col("_start") + F.sum("_c").over(in_bin))
+              .withColumn("_want", F.explode("_held"))
+              .where((F.col("_want.pos") < F.col("_upto")) & (F.col("_want.pos") >= F.col("_upto") - F.col("_c"))))
     out = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranks])
+        *[F.max(F.when(F.col("_want.name") == n, F.col("_v"))).alias(n) for n in ranks], F.max("_n").alias("_n"))
     return out if by else out.drop("_all")
 
 
@@ -55,18 +50,16 @@ def interpolated(df: DataFrame, by: list[str], value: str, ps: dict[str, float])
         at = (F.col("_n") - 1).cast("double") * F.lit(p)
         ranks[f"{name}__lo"] = F.floor(at)
         ranks[f"{name}__hi"] = F.ceil(at)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
     stats = order_statistics(df, by, value, ranks)
-    joined = stats.join(sizes, by) if by else stats.withColumn("_n", sizes.scalar())
     outs = []
     for name, p in ps.items():
         at = (F.col("_n") - 1).cast("double") * F.lit(p)
         frac = at - F.floor(at)
         outs.append((F.col(f"{name}__lo") + frac * (F.col(f"{name}__hi") - F.col(f"{name}__lo"))).alias(name))
-    return joined.select(*by, *outs)
+    return stats.select(*by, *outs)
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """The element at position ``round((n-1)p)``, halves away from zero."""
     return order_statistics(df, by, value, {
-        name: F.floor((F.col("_n") - 1).cast("double") * F.lit(p) + F.lit(0.5)) for name, p in ps.items()})
+        name: F.floor((F.col("_n") - 1).cast("double") * F.lit(p) + F.lit(0.5)) for name, p in ps.items()}).drop("_n")

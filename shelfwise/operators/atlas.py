@@ -361,7 +361,7 @@ def cluster_radius(pts: DataFrame, anchors: DataFrame, share: float = 0.8) -> Da
     """The distance at place floor(0.8 n) of a cluster's sorted distances to its anchor."""
     far = pts.join(anchors, "label").select("label", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("d"))
     at = F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1)
-    got = quantiles.order_statistics(far, ["label"], "d", {"radius": at})
+    got = quantiles.order_statistics(far, ["label"], "d", {"radius": at}).drop("_n")
     return anchors.join(got, "label", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
 
 

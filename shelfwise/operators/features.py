@@ -4,14 +4,14 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import quantiles
 from shelfwise.functions.lists import parse_list
 from shelfwise.operators import encoding
-from shelfwise.operators.vectors import BROADCAST_BYTES, share_matrix
+from shelfwise.operators.vectors import BROADCAST_BYTES, flat_vectors, share_matrix
 
 # Reference year, history cap and the feature order.
 REFERENCE_YEAR = 2024
@@ -134,26 +134,27 @@ def history_similarity(cand: DataFrame, history: DataFrame, items: DataFrame, *,
         vec = items.select("anime_idx", "vec")
         left, right = left.join(vec, "anime_idx"), right.join(vec, "anime_idx")
 
-    def matrix(rows: pd.DataFrame) -> np.ndarray:
+    def matrix(rows: pa.Table) -> np.ndarray:
         if shared is None:
-            return np.stack(rows["vec"].to_numpy())
-        ids, all_rows = shared.value
-        return all_rows[np.searchsorted(ids, rows["anime_idx"].to_numpy())]
-
-    def measure(c: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"user_idx": pd.Series(dtype="int32"), "anime_idx": pd.Series(dtype="int32"),
-                             **{n: pd.Series(dtype="float64") for n in ("hist_cos_max", "hist_cos_mean", "hist_cos_top5_mean")}})]
-        past = dict(iter(h.groupby("user_idx")))
-        for user, rows in c.groupby("user_idx"):
-            sims = np.zeros((len(rows), 1))
-            if user in past:
-                sims = matrix(rows) @ matrix(past[user]).T
-            top = -np.sort(-sims, axis=1)[:, :5]
-            out.append(pd.DataFrame({"user_idx": rows["user_idx"], "anime_idx": rows["anime_idx"],
-                                     "hist_cos_max": top[:, 0], "hist_cos_mean": sims.mean(axis=1),
-                                     "hist_cos_top5_mean": top.mean(axis=1)}))
-        return pd.concat(out)
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(measure, _SIM_SCHEMA)
+            return flat_vectors(rows["vec"])
+        ids, every = shared.value
+        return every[np.searchsorted(ids, rows["anime_idx"].to_numpy())]
+
+    def measure(c: pa.Table, h: pa.Table) -> pa.Table:
+        c, h = c.sort_by("user_idx"), h.sort_by("user_idx")
+        users, past = c["user_idx"].to_numpy(), h["user_idx"].to_numpy()
+        out = np.zeros((3, len(users)))
+        cand, hist = (matrix(t) if t.num_rows else None for t in (c, h))
+        for user in np.unique(users):
+            rows = slice(*np.searchsorted(users, [user, user + 1]))
+            seen = slice(*np.searchsorted(past, [user, user + 1]))
+            if seen.start < seen.stop:
+                sims = cand[rows] @ hist[seen].T
+                top = -np.sort(-sims, axis=1)[:, :5]
+                out[:, rows] = top[:, 0], sims.mean(axis=1), top.mean(axis=1)
+        return pa.table({"user_idx": c["user_idx"], "anime_idx": c["anime_idx"], "hist_cos_max": out[0],
+                         "hist_cos_mean": out[1], "hist_cos_top5_mean": out[2]})
+    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(measure, _SIM_SCHEMA)
 
 
 def user_taste(history: DataFrame, tags: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:

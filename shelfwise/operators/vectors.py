@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from shelfwise.functions.vectors import dot, mean_of, scaled_sum, unit
 SCORE_PLACES = 6
 BROADCAST_BYTES = 64 << 20          # largest item matrix sent whole to every task
 USER_BLOCK, ITEM_BLOCK = 4096, 16384
+SCORE_ROWS = 256                    # users scored at once inside a task
 
 
 def normalised(df: DataFrame, column: str) -> DataFrame:
@@ -114,19 +116,26 @@ def _top_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], cols[keep]
 
 
-def _score_block(users: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+def flat_vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column as a matrix."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1)
+
+
+def _masked_best(uids: np.ndarray, vecs: np.ndarray, masks: list, ids: np.ndarray, matrix: np.ndarray,
+                 k: int) -> Iterator[pa.RecordBatch]:
     """Best k unmasked items of one item block for each user; ``ids`` ascending."""
-    for at in range(0, len(users), 256):
-        part = users.iloc[at:at + 256]
-        scores = np.round(np.stack(part["vec"].to_numpy()) @ matrix.T, SCORE_PLACES) + 0.0
-        for r, mask in enumerate(part["mask"]):
+    for at in range(0, len(uids), SCORE_ROWS):
+        scores = np.round(vecs[at:at + SCORE_ROWS] @ matrix.T, SCORE_PLACES) + 0.0
+        for r, mask in enumerate(masks[at:at + SCORE_ROWS]):
             if mask is not None and len(mask):
-                pos = np.searchsorted(ids, mask)
-                pos = np.minimum(pos, len(ids) - 1)
+                mask = np.asarray(mask)
+                pos = np.minimum(np.searchsorted(ids, mask), len(ids) - 1)
                 scores[r, pos[ids[pos] == mask]] = -np.inf
         rows, cols = _top_rows(scores, k)
-        yield pd.DataFrame({"user_idx": part["user_idx"].to_numpy()[rows], "anime_idx": ids[cols],
-                            "cos": scores[rows, cols]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(uids[at:at + SCORE_ROWS][rows], pa.int32()), pa.array(ids[cols], pa.int32()), pa.array(scores[rows, cols])],
+            names=["user_idx", "anime_idx", "cos"])
 
 
 _TOP_SCHEMA = "user_idx int, anime_idx int, cos double"
@@ -137,19 +146,21 @@ def share_matrix(items: DataFrame, limit: int = BROADCAST_BYTES):
     size = items.agg(F.coalesce(F.sum(F.size("vec") * 8), F.lit(0))).first()[0]         # one number
     if not 0 < size <= limit:
         return None
-    rows = items.select("anime_idx", "vec").toPandas().sort_values("anime_idx")
-    return items.sparkSession.sparkContext.broadcast(
-        (rows["anime_idx"].to_numpy(), np.stack(rows["vec"].to_numpy())))
+    rows = items.select("anime_idx", "vec").toArrow()
+    ids = rows["anime_idx"].to_numpy()
+    order = np.argsort(ids)
+    return items.sparkSession.sparkContext.broadcast((ids[order], flat_vectors(rows["vec"])[order]))
 
 
 def _by_broadcast(users: DataFrame, shared, mask: DataFrame, k: int) -> DataFrame:
-    masks = mask.groupBy("user_idx").agg(F.array_sort(F.collect_set("anime_idx")).alias("mask"))
+    masks = mask.groupBy("user_idx").agg(F.collect_set("anime_idx").alias("mask"))    # at most one entry per shared item
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        for batch in batches:
-            yield from _score_block(batch, ids, matrix, k)
-    return users.select("user_idx", "vec").join(masks, "user_idx", "left").mapInPandas(score, _TOP_SCHEMA)
+        for b in batches:
+            if b.num_rows:
+                yield from _masked_best(b["user_idx"].to_numpy(), flat_vectors(b["vec"]), b["mask"].to_pylist(), ids, matrix, k)
+    return users.select("user_idx", "vec").join(masks, "user_idx", "left").mapInArrow(score, _TOP_SCHEMA)
 
 
 def _by_blocks(users: DataFrame, items: DataFrame, mask: DataFrame, k: int,
@@ -162,20 +173,20 @@ def _by_blocks(users: DataFrame, items: DataFrame, mask: DataFrame, k: int,
     if None in sides:
         return spark.createDataFrame([], _TOP_SCHEMA)
     masks = (mask.groupBy("user_idx", i_of.alias("ib"))
-             .agg(F.array_sort(F.collect_set("anime_idx")).alias("mask")))            # at most item_block entries
+             .agg(F.collect_set("anime_idx").alias("mask")))                          # at most item_block entries
     left = (users.select("user_idx", "vec", u_of.alias("ub"),
                          F.explode(F.sequence(F.lit(0), F.lit(sides[1]))).alias("ib"))
             .join(masks, ["user_idx", "ib"], "left"))
     right = items.select("anime_idx", "vec", i_of.alias("ib"),
                          F.explode(F.sequence(F.lit(0), F.lit(sides[0]))).alias("ub"))
 
-    def score(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(u) or not len(v):
-            return pd.DataFrame({"user_idx": pd.Series(dtype="int32"), "anime_idx": pd.Series(dtype="int32"),
-                                 "cos": pd.Series(dtype="float64")})
-        v = v.sort_values("anime_idx")
-        return pd.concat(_score_block(u, v["anime_idx"].to_numpy(), np.stack(v["vec"].to_numpy()), k))
-    return (left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(score, _TOP_SCHEMA))
+    def score(u: pa.Table, v: pa.Table) -> pa.Table:
+        if not u.num_rows or not v.num_rows:
+            return pa.table({"user_idx": pa.array([], pa.int32()), "anime_idx": pa.array([], pa.int32()), "cos": pa.array([], pa.float64())})
+        v = v.sort_by("anime_idx")
+        return pa.Table.from_batches(_masked_best(u["user_idx"].to_numpy(), flat_vectors(u["vec"]), u["mask"].to_pylist(),
+                                                  v["anime_idx"].to_numpy(), flat_vectors(v["vec"]), k))
+    return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(score, _TOP_SCHEMA)
 
 
 def masked_top_k(users: DataFrame, items: DataFrame, mask: DataFrame, k: int, *,

@@ -132,7 +132,8 @@ def history_similarity(cand: DataFrame, history: DataFrame, items: DataFrame, *,
     shared = share_matrix(items, broadcast_bytes)
     if shared is None:
         vec = items.select("anime_idx", "vec")
-        left, right = left.join(vec, "anime_idx"), right.join(vec, "anime_idx")
+        names = ["anime_idx", "shard", "user_idx", "vec"]         # fresh names keep both sides apart
+        left, right = left.join(vec, "anime_idx").toDF(*names), right.join(vec, "anime_idx").toDF(*names)
 
     def matrix(rows: pa.Table) -> np.ndarray:
         if shared is None:

@@ -176,9 +176,9 @@ def _by_blocks(users: DataFrame, items: DataFrame, mask: DataFrame, k: int,
              .agg(F.collect_set("anime_idx").alias("mask")))                          # at most item_block entries
     left = (users.select("user_idx", "vec", u_of.alias("ub"),
                          F.explode(F.sequence(F.lit(0), F.lit(sides[1]))).alias("ib"))
-            .join(masks, ["user_idx", "ib"], "left"))
+            .join(masks, ["user_idx", "ib"], "left").toDF("user_idx", "ib", "vec", "ub", "mask"))
     right = items.select("anime_idx", "vec", i_of.alias("ib"),
-                         F.explode(F.sequence(F.lit(0), F.lit(sides[0]))).alias("ub"))
+                         F.explode(F.sequence(F.lit(0), F.lit(sides[0]))).alias("ub")).toDF("anime_idx", "vec", "ib", "ub")
 
     def score(u: pa.Table, v: pa.Table) -> pa.Table:
         if not u.num_rows or not v.num_rows:

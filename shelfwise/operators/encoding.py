@@ -43,9 +43,14 @@ def vocabulary(df: DataFrame, column: str, start: int = 1) -> DataFrame:
 
 
 def encode(df: DataFrame, column: str, vocab: DataFrame, out: str) -> DataFrame:
-    """Code of each value; null or unseen gives 0."""
-    codes = vocab.select(F.col("value").alias(column), F.col("code").alias(out))
-    return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    """Code of each value; null or unseen gives 0.
+
+    The dictionary comes in as one map value, so rows are not shuffled by a column that may be
+    null, or the same, in a third of them.
+    """
+    codes = vocab.agg(F.map_from_entries(F.collect_list(F.struct("value", "code")))).scalar()
+    return (df.withColumn("_codes", codes)
+            .withColumn(out, F.coalesce(F.try_element_at("_codes", F.col(column)), F.lit(0))).drop("_codes"))
 
 
 def encode_first_tag(df: DataFrame, column: str, out: str) -> DataFrame:

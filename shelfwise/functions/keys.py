@@ -29,12 +29,14 @@ def _by_width(df: DataFrame, key: str, buckets: int) -> DataFrame:
 def _by_sample(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Tag any key with an order-preserving bucket cut at points of a fixed-size sample.
 
-    The sample is the ``16 * buckets`` keys of smallest hash, so it is bounded, needs no
-    count, and is the same whenever the job (or a lost task) is run again.
+    The sample is the keys whose hash divides by n / (64 * buckets): some 64 per bucket however
+    many keys there are, and the same ones whenever the job (or a lost task) is run again.
     """
-    sample = df.select(key).orderBy(F.xxhash64(key), key).limit(16 * buckets)
-    sorted_keys = F.array_sort(F.collect_list(key))
-    splits = sample.agg(F.filter(sorted_keys, lambda _, i: i % 16 == 0)).scalar()
+    every = F.greatest(F.floor(df.agg(F.count("*")).scalar() / F.lit(64 * buckets)), F.lit(1))
+    sample = df.select(key).where(F.pmod(F.xxhash64(key), every) == 0)
+    ordered = sample.agg(F.array_sort(F.collect_list(key)).alias("k"))
+    step = F.greatest(F.floor(F.size("k") / F.lit(buckets)), F.lit(1))
+    splits = ordered.select(F.filter("k", lambda _, i: i % step == 0)).scalar()
     return (df.withColumn("_splits", splits)
             .withColumn("_bucket", F.size(F.filter("_splits", lambda s: s <= F.col(key))))
             .drop("_splits"))

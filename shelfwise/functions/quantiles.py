@@ -13,16 +13,18 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
     """The elements at given 0-based positions of each group's sorted non-null values.
 
     ``ranks`` maps an output name to an expression over the group size ``_n``, which is kept. Equal values are
-    counted first (map side); a histogram of at most 2049 equal-width bins per group then shows
+    counted first (map side); a histogram of at most 2049 bins per group then shows
     which bin holds a position, and only that bin's distinct values are put in order.
     """
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     counted = (src.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    # a monotone scale that keeps long tails from pressing everything else into one bin
+    scaled = F.signum("_v") * F.log1p(F.abs("_v"))
     bounds = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        F.min(scaled).alias("_lo"), F.max(scaled).alias("_hi"), F.sum("_c").alias("_n"))
+    share = (scaled - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     binned = counted.join(bounds, keys).withColumn(
         "_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * _BINS)).otherwise(0).cast("int"))
     over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)

@@ -122,14 +122,20 @@ def flat_vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1)
 
 
-def _masked_best(uids: np.ndarray, vecs: np.ndarray, masks: list, ids: np.ndarray, matrix: np.ndarray,
+def list_slices(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """Each list of a list column as an array; a null gives an empty one."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, ends = arr.values.to_numpy(zero_copy_only=False), arr.offsets.to_numpy()
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(ends[:-1], ends[1:], arr.is_valid().to_numpy(zero_copy_only=False))]
+
+
+def _masked_best(uids: np.ndarray, vecs: np.ndarray, masks: list[np.ndarray], ids: np.ndarray, matrix: np.ndarray,
                  k: int) -> Iterator[pa.RecordBatch]:
     """Best k unmasked items of one item block for each user; ``ids`` ascending."""
     for at in range(0, len(uids), SCORE_ROWS):
         scores = np.round(vecs[at:at + SCORE_ROWS] @ matrix.T, SCORE_PLACES) + 0.0
         for r, mask in enumerate(masks[at:at + SCORE_ROWS]):
-            if mask is not None and len(mask):
-                mask = np.asarray(mask)
+            if len(mask):
                 pos = np.minimum(np.searchsorted(ids, mask), len(ids) - 1)
                 scores[r, pos[ids[pos] == mask]] = -np.inf
         rows, cols = _top_rows(scores, k)
@@ -159,7 +165,7 @@ def _by_broadcast(users: DataFrame, shared, mask: DataFrame, k: int) -> DataFram
         ids, matrix = shared.value
         for b in batches:
             if b.num_rows:
-                yield from _masked_best(b["user_idx"].to_numpy(), flat_vectors(b["vec"]), b["mask"].to_pylist(), ids, matrix, k)
+                yield from _masked_best(b["user_idx"].to_numpy(), flat_vectors(b["vec"]), list_slices(b["mask"]), ids, matrix, k)
     return users.select("user_idx", "vec").join(masks, "user_idx", "left").mapInArrow(score, _TOP_SCHEMA)
 
 
@@ -184,7 +190,7 @@ def _by_blocks(users: DataFrame, items: DataFrame, mask: DataFrame, k: int,
         if not u.num_rows or not v.num_rows:
             return pa.table({"user_idx": pa.array([], pa.int32()), "anime_idx": pa.array([], pa.int32()), "cos": pa.array([], pa.float64())})
         v = v.sort_by("anime_idx")
-        return pa.Table.from_batches(_masked_best(u["user_idx"].to_numpy(), flat_vectors(u["vec"]), u["mask"].to_pylist(),
+        return pa.Table.from_batches(_masked_best(u["user_idx"].to_numpy(), flat_vectors(u["vec"]), list_slices(u["mask"]),
                                                   v["anime_idx"].to_numpy(), flat_vectors(v["vec"]), k))
     return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(score, _TOP_SCHEMA)
 

@@ -120,7 +120,7 @@ class KeepLastTable:
         rest = [c for c in batch.columns if c not in self.keys]
         newest = F.max_by(F.struct(*rest), F.col(self.order)).alias("_n")
         merged = old.unionByName(batch).groupBy(*self.keys).agg(newest).select(*self.keys, "_n.*")
-        (merged.withColumn("bucket", bucket).repartition("bucket", *self.keys).write.mode("overwrite")
+        (merged.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite")
          .partitionBy("bucket").parquet(f"{self.target}/data/{batch_id}"))
         batch.unpersist()
         rows = sorted({**current, **{b: batch_id for b in touched}}.items())

@@ -20,7 +20,10 @@ def con():
 
 @pytest.mark.parametrize("key", [k for k in entry.queries() if k not in OTHER_SCALE])
 def test_query(spark, con, key):
-    got = entry.queries()[key](spark, SF).toArrow()
+    df = entry.queries()[key](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = df.toArrow()
     if key in ORACLE:
         assert compare(got, con.sql(ORACLE[key]).to_arrow_table()) == "ok"
     else:

@@ -16,16 +16,19 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
     counted first (map side); a histogram of at most 2049 bins per group then shows
     which bin holds a position, and only that bin's distinct values are put in order.
     """
-    keys = by or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(0))
-    counted = (src.where(F.col(value).isNotNull())
+    keys = by
+    counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
     # a monotone scale that keeps long tails from pressing everything else into one bin
     scaled = F.signum("_v") * F.log1p(F.abs("_v"))
     bounds = counted.groupBy(*keys).agg(
         F.min(scaled).alias("_lo"), F.max(scaled).alias("_hi"), F.sum("_c").alias("_n"))
     share = (scaled - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    binned = counted.join(bounds, keys).withColumn(
+    if by:
+        bounded = counted.join(bounds, keys)
+    else:                                           # one row of bounds enters as a value, not as a join
+        bounded = counted.withColumn("_b", bounds.select(F.struct("*")).scalar()).select("_v", "_c", "_b.*")
+    binned = bounded.withColumn(
         "_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * _BINS)).otherwise(0).cast("int"))
     over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("pos")) for name, rank in ranks.items()])
@@ -40,9 +43,8 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
               .withColumn("_upto", F.col("_start") + F.sum("_c").over(in_bin))
               .withColumn("_want", F.explode("_held"))
               .where((F.col("_want.pos") < F.col("_upto")) & (F.col("_want.pos") >= F.col("_upto") - F.col("_c"))))
-    out = picked.groupBy(*keys).agg(
+    return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_want.name") == n, F.col("_v"))).alias(n) for n in ranks], F.max("_n").alias("_n"))
-    return out if by else out.drop("_all")
 
 
 def interpolated(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:

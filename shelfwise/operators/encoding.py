@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions import quantiles
 from shelfwise.functions.keys import dense_index
 from shelfwise.functions.lists import parse_list
 
@@ -131,7 +132,8 @@ def with_special_rows(features: DataFrame) -> DataFrame:
 def cold_items(items: DataFrame, fraction: float = COLD_FRACTION) -> DataFrame:
     """The newest ``ceil(fraction * n)`` dated items, ties by index.
 
-    Counts per date place the cut, so only the items of the cut's own date are ranked.
+    Counts per date place the cut; within the cut's own date the last index that still fits is
+    an order statistic, so no date is sorted in one task.
     """
     dated = items.withColumn("_at", F.try_to_timestamp("start_date")).where(F.col("_at").isNotNull())
     newer = Window.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
@@ -141,9 +143,10 @@ def cold_items(items: DataFrame, fraction: float = COLD_FRACTION) -> DataFrame:
              .where("_newer < _limit"))
     reached = dated.join(dates, "_at")
     whole = reached.where("_newer + _here <= _limit")
-    cut = (reached.where("_newer + _here > _limit")
-           .withColumn("_rank", F.row_number().over(Window.partitionBy("_at").orderBy("anime_idx")))
-           .where("_rank <= _limit - _newer"))
+    cut = reached.where("_newer + _here > _limit")
+    room = dates.where("_newer + _here > _limit").agg(F.max(F.col("_limit") - F.col("_newer"))).scalar()
+    last = quantiles.order_statistics(cut, [], "anime_idx", {"last": room - 1}).select("last").scalar()
+    cut = cut.where(F.col("anime_idx") <= last)
     keep = ["anime_idx", "mal_id", "start_date"]
     return whole.select(*keep).unionByName(cut.select(*keep))
 

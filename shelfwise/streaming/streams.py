@@ -49,6 +49,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _last_finished(spark: SparkSession, folder: str) -> int:
+    """Highest batch id under ``folder`` whose write has finished, -1 if none."""
+    if not _exists(spark, folder):
+        return -1
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return max((int(n) for n in names if _exists(spark, f"{folder}/{n}/_SUCCESS")), default=-1)
+
+
 class NameRegistry:
     """First sighting of every name, one folder per batch."""
 
@@ -91,17 +101,11 @@ class KeepLastTable:
 
     def _manifest(self) -> tuple[int, dict[int, int]]:
         """(last batch, bucket -> batch); at most ``buckets`` entries."""
-        folder = f"{self.target}/manifest"
-        if not _exists(self.spark, folder):
+        last = _last_finished(self.spark, f"{self.target}/manifest")
+        if last < 0:
             return -1, {}
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [int(s.getPath().getName()) for s in fs.listStatus(fs_path)
-                if _exists(self.spark, f"{folder}/{s.getPath().getName()}/_SUCCESS")]
-        if not done:
-            return -1, {}
-        rows = self.spark.read.schema("bucket INT, batch BIGINT").json(f"{folder}/{max(done)}").collect()
-        return max(done), {r["bucket"]: r["batch"] for r in rows}
+        rows = self.spark.read.schema("bucket INT, batch BIGINT").json(f"{self.target}/manifest/{last}").collect()
+        return last, {r["bucket"]: r["batch"] for r in rows}
 
     def _read(self, where: dict[int, int]) -> DataFrame:
         paths = [f"{self.target}/data/{batch}/bucket={bucket}" for bucket, batch in where.items()]
@@ -135,14 +139,13 @@ class StatusBoard:
     """Live counts per status: each batch of the running totals replaces the last one."""
 
     def __init__(self, spark: SparkSession, target: str):
-        self.spark, self.target, self.last = spark, target, -1
+        self.spark, self.target = spark, target
 
     def show(self, totals: DataFrame, batch_id: int) -> None:
         totals.write.mode("overwrite").parquet(f"{self.target}/{batch_id}")
-        self.last = max(self.last, batch_id)
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.target}/{self.last}")
+        return self.spark.read.parquet(f"{self.target}/{_last_finished(self.spark, self.target)}")
 
 
 def live_status(log: DataFrame) -> DataFrame:

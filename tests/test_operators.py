@@ -318,3 +318,13 @@ def test_knob_grid_counts_equal_settings_once(spark):
     assert grid.count() == 6 and grid.where("NOT use_text AND text_dim IS NOT NULL").count() == 0
     pick = [r.run_name for r in estimators.random_settings(grid, 3, 1).collect()]
     assert len(set(pick)) == 3 and pick == [r.run_name for r in estimators.random_settings(grid, 3, 1).collect()]
+
+
+@pytest.mark.parametrize("n,fraction", [(40, 0.05), (40, 0.2), (40, 0.5), (3, 0.9)])
+def test_cold_items_cut_inside_a_hot_date(spark, n, fraction):
+    dates = ["2020-01-01" if i % 3 else f"20{10 + i % 13}-05-0{1 + i % 9}" for i in range(n)]
+    dates[1] = None
+    items = spark.createDataFrame([(i + 2, i, d) for i, d in enumerate(dates)], "anime_idx int, mal_id long, start_date string")
+    newest = sorted(((d, i + 2) for i, d in enumerate(dates) if d), key=lambda t: (t[0], -t[1]), reverse=True)
+    want = sorted((i,) for _, i in newest[:math.ceil(fraction * n)])
+    assert rows(encoding.cold_items(items, fraction), "anime_idx") == want

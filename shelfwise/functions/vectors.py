@@ -15,9 +15,13 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Divide by the Euclidean length; the zero vector stays zero."""
-    length = norm(v)
-    return F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-12)))
+    """Divide by the Euclidean length; the zero vector stays zero.
+
+    The division happens in the fold's last step, where the length is a value: inside a plain
+    lambda it would be worked out again for every element.
+    """
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x,
+                       lambda s: F.transform(v, lambda x: x / F.greatest(F.sqrt(s), F.lit(1e-12))))
 
 
 def scaled_sum(v: Column, dim: int, weight: Column | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,3 +18,12 @@ def parse_list(text: Column) -> Column:
     bare = F.transform(quoted, lambda q: F.regexp_replace(
         F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
     return F.when(text.rlike(_LITERAL), bare).otherwise(F.array().cast("array<string>"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once per row.
+
+    The optimizer may move a computed column into a lambda, where it would be evaluated for
+    every element; a lambda variable holds the value instead.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

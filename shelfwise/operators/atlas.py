@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import quantiles
-from shelfwise.functions.lists import parse_list
+from shelfwise.functions.lists import bound, parse_list
 from shelfwise.operators.recommend import is_adult
 
 # Name separators and cuts, grid, level of detail, the priority order of tags.
@@ -333,11 +333,9 @@ def voronoi(cells: DataFrame, anchors: DataFrame, frame: DataFrame, p: float = 0
 def biome(base: DataFrame, priority: list[str] = BIOME_PRIORITY) -> DataFrame:
     """Position of the first listed tag an item has, -1 if none."""
     order = F.array(*[F.lit(t) for t in priority])
-    tags = F.concat("genres", "themes")
-    wide = base.withColumn("_tags", tags)
-    hits = F.filter(order, lambda t: F.array_contains("_tags", t))
+    hits = bound(F.concat("genres", "themes"), lambda tags: F.filter(order, lambda t: F.array_contains(tags, t)))
     first = F.get(hits, F.lit(0))
-    return wide.select("anime_idx", F.coalesce(F.array_position(order, first) - 1, F.lit(-1)).cast("int").alias("biome"), first.alias("tag"))
+    return base.select("anime_idx", F.coalesce(F.array_position(order, first) - 1, F.lit(-1)).cast("int").alias("biome"), first.alias("tag"))
 
 
 def polar(pts: DataFrame, key: str = "mal_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import quantiles
 from shelfwise.functions.keys import dense_index
-from shelfwise.functions.lists import parse_list
+from shelfwise.functions.lists import bound, parse_list
 
 # Reserved item ids, bin edges, defaults.
 PAD, OOV, FIRST_REAL = 0, 1, 2
@@ -69,7 +69,7 @@ def tag_vocabulary(df: DataFrame, column: str, min_count: int = 1) -> DataFrame:
 def multi_hot(df: DataFrame, column: str, out: str, present_bit: bool = True) -> DataFrame:
     """0/1 array over the sorted tag vocabulary, with a trailing "has any tag" bit if asked."""
     wide = df.withColumn("_tags", tag_vocabulary(df, column).scalar())
-    bits = F.transform("_tags", lambda t: F.array_contains(F.col(column), t).cast("tinyint"))
+    bits = bound(F.col(column), lambda held: F.transform("_tags", lambda t: F.array_contains(held, t).cast("tinyint")))
     if present_bit:
         bits = F.concat(bits, F.array((F.size(column) > 0).cast("tinyint")))
     return wide.withColumn(out, bits).drop("_tags")

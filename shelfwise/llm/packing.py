@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.tokens import Encoder, texts_of
 
-SHORT = (512, 256, 128)
 STREAM_BITS = 33        # sequence ids: partition << 33 | number within it
 
 
@@ -58,15 +57,16 @@ def possible_cuts(ids: np.ndarray, ends_sentence: np.ndarray, doc_ends: np.ndarr
 def best_cuts(at: np.ndarray, price: np.ndarray, costs: Costs) -> list[int]:
     """Window ends from the first place to the last at the least total cost.
 
-    A window is padded to the full length unless its length is a power of two; of those, the lengths
-    in ``SHORT`` are tried everywhere and the smaller ones at the end of the block.
+    A window is padded to the full length unless its length is a power of two; of those, a half, a quarter
+    and an eighth of the window are tried everywhere and the smaller ones at the end of the block.
     """
     places, prices = at.tolist(), price.tolist()
     n, width, last = len(places), costs.window, places[-1]
     index = np.full(last + 1, -1, np.int64)
     index[at] = np.arange(n)
-    short = [[-1] * n for _ in SHORT]
-    for row, size in zip(short, SHORT):
+    halves = [width >> k for k in (1, 2, 3)]
+    short = [[-1] * n for _ in halves]
+    for row, size in zip(short, halves):
         far = np.flatnonzero(at >= size)
         if len(far):
             row[far[0]:] = index[at[far] - size].tolist()

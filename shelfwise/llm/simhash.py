@@ -68,6 +68,7 @@ def segment_masks(max_bits: int) -> list[int]:
 
 def star(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """At most one edge per fingerprint, tying together those reachable over links inside the group."""
+    fps = fps.view(np.uint64)           # bits of a signed number are counted without its sign
     rest, out = fps[1:], []
     root, todo = int(fps[0]), [fps[0]]
     while len(rest):
@@ -78,7 +79,7 @@ def star(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             out += [(root, int(x)) for x in rest[near]]
             todo += list(rest[near])
             rest = rest[~near]
-    return out
+    return [tuple(int(np.uint64(x).view(np.int64)) for x in e) for e in out]
 
 
 def _group_scan(max_bits: int, limit: int):

@@ -127,7 +127,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The first ``n`` values: sizes by table from the control bytes, then one gather of four bytes each."""
     size = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
     at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.frombuffer(data + bytes(4), np.uint8)
     values = np.lib.stride_tricks.sliding_window_view(raw, 4)[at].copy().view("<u4").reshape(-1)
     return values & MASKS[size - 1]
 

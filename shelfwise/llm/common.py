@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.staging import stage
 
 CHUNK_BYTES = 2 << 20       # text worked on at once by the vectorised helpers
+SLICE = 1 << 17             # ranges hashed at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverses modulo 2**64, at least ``n`` of each (``base`` is odd)."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 2 * len(have[0]) if have else 1 << 16)
+        n = max(n, 1 << 20)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, np.uint64)
@@ -65,11 +66,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of each ``values[start:end]``, from one running sum."""
-    power, inverse = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[:len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """Polynomial hash modulo 2**64 of each ``values[start:end]`` (both rising), from running sums over slices of them."""
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), SLICE):
+        first, last = starts[i:i + SLICE], ends[i:i + SLICE]
+        part = values[first[0]:last[-1]].astype(np.uint64)
+        part += np.uint64(1)                                # a zero is a value too
+        power, inverse = _powers(base, len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        part *= power[:len(part)]
+        np.cumsum(part, out=sums[1:])
+        out[i:i + SLICE] = mix((sums[last - first[0]] - sums[first - first[0]]) * inverse[first - first[0]])
+    return out
 
 
 class Words:
@@ -91,8 +99,7 @@ class Words:
     def hashes(self, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        values = np.frombuffer(self.joined, np.uint8).astype(np.uint64) + np.uint64(1)
-        return range_hashes(values, self.starts, self.ends, base)
+        return range_hashes(np.frombuffer(self.joined, np.uint8), self.starts, self.ends, base)
 
     def text_of(self, n: int) -> np.ndarray:
         """For every n-gram start (all but the last ``n - 1`` words of a text): its text; -1 elsewhere."""

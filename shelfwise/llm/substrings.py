@@ -21,8 +21,8 @@ from shelfwise.functions.staging import stage
 from shelfwise.llm.common import Words, chunks, map_batches, mix, ngram_hashes, range_hashes
 
 GRAM = 3                            # words of a minimiser
-PART_BYTES = 32 << 20               # packed text that one bucket should hold
-FLUSH_BYTES = 24 << 20              # packed text a task gathers before it sends
+PART_BYTES = 16 << 20               # packed text that one bucket should hold
+FLUSH_BYTES = 16 << 20              # packed text a task gathers before it sends
 FINE = 64                           # minimiser classes per bucket, for finding hot ones
 NO_ID = -(1 << 63)                  # stands for a null id, which sorts first
 
@@ -143,9 +143,7 @@ def first_windows(blobs: list[bytes], window: int):
     ends = np.append(np.flatnonzero((data == 10) | (data == 32)), len(data))
     starts = np.concatenate([[0], ends[:-1] + 1])
     owner = np.searchsorted(line, ends)                     # super-k-mer of each word
-    values = data.astype(np.uint64) + np.uint64(1)
-    word = range_hashes(values, starts, ends, 0x9E3779B97F4A7C15)
-    del values
+    word = range_hashes(data, starts, ends, 0x9E3779B97F4A7C15)
     at = np.flatnonzero(owner[:len(owner) - window + 1] == owner[window - 1:])
     one = range_hashes(word, at, at + window, 0xD6E8FEB86659FD93)
     own = owner[at]

@@ -23,7 +23,8 @@ from shelfwise.llm.common import Words, chunks, map_batches, mix, ngram_hashes,
 GRAM = 3                            # words of a minimiser
 PART_BYTES = 16 << 20               # packed text that one bucket should hold
 FLUSH_BYTES = 16 << 20              # packed text a task gathers before it sends
-FINE = 64                           # minimiser classes per bucket, for finding hot ones
+COUNTED = 1 << 20                   # super-k-mers counted before their sums are combined
+FINE = 16                           # minimiser classes per bucket, for finding hot ones
 NO_ID = -(1 << 63)                  # stands for a null id, which sorts first
 
 
@@ -67,15 +68,27 @@ def _load(rows: DataFrame, window: int, fine: int) -> DataFrame:
     """Packed bytes of each minimiser class."""
     packer = Packer(window)
 
-    def run(batch):
-        texts = batch.column("text").to_pylist()
-        for part in chunks(texts):
-            words, _, start, stop, least = packer.cut([(t or b"").split() for t in texts[part]])
-            size = words.ends[stop + window - 2] - words.starts[start] if len(start) else start
-            kinds, where = np.unique(classes(least, fine), return_inverse=True)
-            yield {"kind": pa.array(kinds, pa.int64()),
-                   "bytes": pa.array(np.bincount(where, size, len(kinds)).astype(np.int64), pa.int64())}
-    return map_batches(rows.select("text"), run, "kind bigint, bytes bigint").groupBy("kind").agg(F.sum("bytes").alias("bytes"))
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def summed():
+            kinds, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return kinds, np.bincount(where, np.concatenate([n for _, n in held]), len(kinds))
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for part in chunks(texts):
+                words, _, start, stop, least = packer.cut([(t or b"").split() for t in texts[part]])
+                if len(start):
+                    held.append((classes(least, fine), words.ends[stop + window - 2] - words.starts[start]))
+                    waiting += len(start)
+                if waiting > COUNTED:
+                    held, waiting = [summed()], 0
+        if held:
+            kinds, size = summed()
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int64()), "bytes": pa.array(size.astype(np.int64), pa.int64())})
+    return rows.select("text").mapInArrow(run, "kind bigint, bytes bigint").groupBy("kind").agg(F.sum("bytes").alias("bytes"))
 
 
 def _pack(window: int, fine: int, parts: int, hot: dict[int, int]):

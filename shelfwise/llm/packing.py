@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, costs: Cost
     longer). Null and empty texts are the end id alone; rows that repeat or lack an id are packed like others.
     """
     encoder, ends = Encoder(tokenizer), _sentence_ids(tokenizer)
-    end = np.array([end_id], "<u4").tobytes()
+    end, size = np.array([end_id], encoder.kind).tobytes(), int(encoder.kind[2])
     width = costs.window
 
     def run(batches):
@@ -147,9 +147,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, costs: Cost
 
         def solve():
             nonlocal number
-            raw = b"".join(held)
-            ids = np.frombuffer(raw, "<u4")
-            sizes = np.array([len(h) // 4 for h in held])
+            ids = np.frombuffer(b"".join(held), encoder.kind)
+            raw = ids.astype("<u4").tobytes()
+            sizes = np.array([len(h) // size for h in held])
             doc_ends = np.cumsum(sizes)
             pieces = pack_block(ids, ends[ids], doc_ends, costs)
             doc, start, stop, window, offset = pieces.T
@@ -171,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, costs: Cost
                 for doc, ids in zip(batch.column("doc_id").slice(i, len(texts)).to_pylist(), encoder.encode(texts)):
                     held_docs.append(doc)
                     held.append(ids + end)
-                    total += len(ids) // 4 + 1
+                    total += len(ids) // size + 1
                     if total >= block_ids:
                         yield solve()
                         held_docs, held, total = [], [], 0

@@ -8,7 +8,6 @@ is the rank of an id by its count over the corpus, so frequent ids take one byte
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,40 +23,43 @@ from shelfwise.llm.common import map_batches
 KNOWN_LIMIT = 1_500_000     # words whose ids a worker remembers
 BLOCK_IDS = 1 << 20         # ids in a block of the file
 
-ODD_SPACE = re.compile(r" \s|\s ")
 _KNOWN: dict[str, tuple] = {}
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer as little-endian 32-bit bytes.
+    """Ids of a byte-level BPE tokenizer as little-endian bytes, two to an id if its vocabulary allows, else four.
 
     Its first step never joins text across a single space that stands between two other characters, so
-    the pieces between such spaces are encoded once per worker and looked up from then on.
+    the pieces between such spaces are encoded once per worker and looked up from then on. A text with a
+    space beside other white space, or at an end, is encoded as it stands.
     """
 
     def __init__(self, path: str, limit: int = KNOWN_LIMIT):
         self.path, self.limit = path, limit
+        self.kind = "<u2" if _open(path).get_vocab_size() <= 1 << 16 else "<u4"
 
     def _tools(self):
         if self.path not in _KNOWN:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-            tokenizer = Tokenizer.from_file(self.path)
+            tokenizer = _open(self.path)
             size = np.zeros(tokenizer.get_vocab_size(), np.int64)
             for token, i in tokenizer.get_vocab().items():
                 size[i] = len(token)                    # one character a byte
             _KNOWN[self.path] = (tokenizer, size, {})
         return _KNOWN[self.path]
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
     def _encode_new(self, new: list[str], tokenizer, size: np.ndarray) -> dict[str, bytes]:
         """Ids of ``" " + piece``: many pieces go as one text and are cut apart by the bytes of their ids."""
         out: dict[str, bytes] = {}
+        width = int(self.kind[2])
         for i in range(0, len(new), 2048):
             part = new[i:i + 2048]
-            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.cumsum([len(p.encode()) + 1 for p in part])
-            cut = (4 * (np.searchsorted(np.cumsum(size[ids]), ends) + 1)).tolist()
-            raw, last = ids.astype("<u4").tobytes(), 0
+            cut = (width * (np.searchsorted(np.cumsum(size[ids]), ends) + 1)).tolist()
+            raw, last = self._bytes(ids), 0
             for p, c in zip(part, cut):
                 out[p] = raw[last:c]
                 last = c
@@ -65,24 +67,38 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         tokenizer, size, known = self._tools()
-        # a space beside other white space, or at an end: encoded as it stands
-        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t) or t[:1] == " " or t[-1:] == " "]
-        plain = dict.fromkeys(odd)
-        split = [t.split(" ") if i not in plain else None for i, t in enumerate(texts)]
-        whole = [texts[i] if s is None else s[0] for i, s in enumerate(split)]
-        heads = [np.array(e.ids, np.uint32).astype("<u4").tobytes()
-                 for e in tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        met: set[str] = set()
-        for s in split:
-            if s is not None:
-                met.update(s[1:])
-        extra = self._encode_new(list(met - known.keys()), tokenizer, size)
-        if len(known) + len(extra) <= self.limit:
-            known.update(extra)
-            look = known.__getitem__
-        else:
-            look = {w: known[w] if w in known else extra[w] for w in met}.__getitem__
-        return [h if s is None else h + b"".join(map(look, s[1:])) for h, s in zip(heads, split)]
+        whole, found, new = [], [], {}
+        for text in texts:
+            pieces = text.split(" ")
+            head = pieces[0]
+            ids = list(map(known.get, pieces))
+            ids[0] = b""
+            plain = len(pieces) == 1 or (head != "" and not head[-1].isspace())
+            if plain and None in ids:
+                unknown = [p for p, i in zip(pieces, ids) if i is None]
+                plain = all(p and not p[0].isspace() and not p[-1].isspace() for p in unknown)
+                if plain:
+                    new.update(dict.fromkeys(unknown))
+            whole.append(head if plain else text)
+            found.append((pieces, ids) if plain else None)
+        heads = [self._bytes(e.ids) for e in tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        new = self._encode_new(list(new), tokenizer, size)
+        if len(known) + len(new) <= self.limit:
+            known.update(new)
+        out = []
+        for head, row in zip(heads, found):
+            if row is None:
+                out.append(head)
+            else:
+                pieces, ids = row
+                out.append(head + b"".join(ids if None not in ids else [new[p] if i is None else i for p, i in zip(pieces, ids)]))
+        return out
+
+
+def _open(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text", size: int = 512) -> Iterator[tuple[int, list[str]]]:
@@ -93,8 +109,9 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", size: int = 512) -> It
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``: all ids of each text and the end id, as little-endian 32-bit bytes."""
-    encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    """``(doc_id, ids)``: all ids of each text and the end id, as bytes of ``Encoder(tokenizer).kind``."""
+    encoder = Encoder(tokenizer)
+    end = np.array([end_id], encoder.kind).tobytes()
 
     def run(batch):
         for i, texts in texts_of(batch):
@@ -132,15 +149,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values & MASKS[size - 1]
 
 
-def rank_table(tokens: DataFrame) -> np.ndarray:
+def rank_table(tokens: DataFrame, kind: str) -> np.ndarray:
     """Ids by falling count over all rows (ties: smaller id); as long as the largest id, so bounded by the vocabulary."""
-    def run(batch):
-        counts: dict[int, int] = {}
-        for ids in batch.column("ids").to_pylist():
-            for i, n in zip(*(x.tolist() for x in np.unique(np.frombuffer(ids, "<u4"), return_counts=True))):
-                counts[i] = counts.get(i, 0) + n
-        return {"id": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())}
-    counted = map_batches(tokens.select("ids"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
+            if len(ids):
+                more = np.bincount(ids, minlength=len(total))
+                more[:len(total)] += total
+                total = more
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
+    counted = tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.collect()
     return np.array([r.id for r in sorted(rows, key=lambda r: (-r.n, r.id))], np.uint32)
 
@@ -153,44 +174,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
     tokenized once: ids go to the shared folder, are counted, and are dealt by ranges of the document id.
     """
     spark = docs.sparkSession
+    kind = Encoder(tokenizer).kind
     tokens = stage(token_rows(docs, tokenizer, end_id, id_col, text_col), "tokens")
-    by_rank = rank_table(tokens)
+    by_rank = rank_table(tokens, kind)
     ranks = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
-    def shrink(batch):
-        coded = [pack(ranks[np.frombuffer(ids, "<u4")]) for ids in batch.column("ids").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "control": pa.array([c for c, _ in coded], pa.binary()),
-                "data": pa.array([d for _, d in coded], pa.binary()),
-                "n": pa.array([len(ids) // 4 for ids in batch.column("ids").to_pylist()], pa.int64())}
-
     def blocks(batches):
         shard, number = TaskContext.get().partitionId(), 0
-        docs, sizes, values, total = [], [], [], 0
+        docs, held, total = [], [], 0
 
         def block():
-            control, data = pack(np.concatenate(values))
+            sizes = [len(h) // int(kind[2]) for h in held]
+            control, data = pack(ranks[np.frombuffer(b"".join(held), kind)])
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int64()), "block": pa.array([number], pa.int64()),
                 "docs": pa.array([docs], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
                 "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for doc, control, data, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "control", "data", "n"))):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 docs.append(doc)
-                sizes.append(n)
-                values.append(unpack(control, data, n))
-                total += n
-                if total >= block_ids:
+                held.append(ids)
+                total += len(ids)
+                if total >= block_ids * int(kind[2]):
                     yield block()
-                    docs, sizes, values, total, number = [], [], [], 0, number + 1
+                    docs, held, total, number = [], [], 0, number + 1
         if docs:
             yield block()
 
-    coded = map_batches(tokens, shrink, "doc_id bigint, control binary, data binary, n bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = coded.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), "n", "control", "data")
+    dealt = tokens.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     (dealt.mapInArrow(blocks, "shard bigint, block bigint, docs array<bigint>, sizes array<bigint>, control binary, data binary")
      .write.option("compression", "zstd").parquet(path))
     return by_rank

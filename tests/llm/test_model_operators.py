@@ -30,8 +30,9 @@ def test_encoder_equals_library():
     whole = Tokenizer.from_file(TOKENIZER)
     for limit in (1 << 20, 10):
         tokens._KNOWN.clear()
-        got = tokens.Encoder(TOKENIZER, limit).encode(texts)
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        encoder = tokens.Encoder(TOKENIZER, limit)
+        got = encoder.encode(texts)
+        assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packed_values_round_trip():

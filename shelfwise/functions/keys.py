@@ -18,14 +18,6 @@ def hash_unit(*parts: Column | int | str) -> Column:
     return hash_u32(*parts).cast("double") / F.lit(4294967296.0)
 
 
-def _by_width(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Tag an integer key with its order-preserving equal-width bucket."""
-    low = df.agg(F.min(key)).scalar()
-    high = df.agg(F.max(key)).scalar()
-    width = F.floor((high - low) / F.lit(buckets)) + F.lit(1)
-    return df.withColumn("_bucket", F.floor((F.col(key) - low) / width).cast("int"))
-
-
 def _by_sample(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Tag any key with an order-preserving bucket cut at points of a fixed-size sample.
 
@@ -46,10 +38,10 @@ def dense_index(df: DataFrame, key: str, out: str, *, start: int = 0, buckets: i
     """Number unique keys ``start, start+1, ...`` in key order without a single-task sort.
 
     Keys fall into order-preserving buckets; each bucket is ranked on its own and shifted by
-    the size of the buckets below it (a table of at most ``buckets`` + 1 rows).
+    the size of the buckets below it (a table of at most ``buckets`` + 1 rows). A null key is no
+    key: its rows are left out and shift no other id.
     """
-    integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    tagged = (_by_width if integral else _by_sample)(df, key, buckets)
+    tagged = _by_sample(df.where(F.col(key).isNotNull()), key, buckets)
     below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
         "_bucket", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))

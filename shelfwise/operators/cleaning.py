@@ -48,10 +48,13 @@ def drop_orphans(ratings: DataFrame, profiles: DataFrame, details: DataFrame) ->
 
 
 def keep_last(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of every key. An aggregate, so repeats of a hot key combine before the shuffle."""
+    """The last row of every key. An aggregate, so repeats of a hot key combine before the shuffle.
+
+    A row without an order value comes before all others; equal ones are told apart by the other columns.
+    """
     rest = [c for c in log.columns if c not in keys and c != order]
-    last = F.max_by(F.struct(*rest), F.col(order)).alias("_last")
-    return log.groupBy(*keys).agg(last).select(*keys, "_last.*")
+    last = F.max(F.struct(order, *rest)).alias("_last")
+    return log.groupBy(*keys).agg(last).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
 def clean_ratings(ratings: DataFrame, profiles: DataFrame, details: DataFrame) -> DataFrame:

@@ -194,9 +194,12 @@ def search_results(nodes: DataFrame, column: str, known: DataFrame) -> DataFrame
 
 
 def latest_state(log: DataFrame, key: str, seq: str, fields: list[str]) -> DataFrame:
-    """Newest record per key (insert or replace); combines on the map side, so a hot key is no burden."""
-    last = F.max_by(F.struct(*fields), F.col(seq)).alias("s")
-    return log.groupBy(key).agg(last).select(key, "s.*")
+    """Newest record per key (insert or replace); combines on the map side, so a hot key is no burden.
+
+    A record without a sequence value is the oldest; equal ones are told apart by the fields.
+    """
+    last = F.max(F.struct(F.col(seq).alias("_seq"), F.struct(*fields).alias("s"))).alias("_last")
+    return log.groupBy(key).agg(last).select(key, "_last.s.*")
 
 
 def split_favourites(profiles: DataFrame, column: str) -> DataFrame:

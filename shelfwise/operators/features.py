@@ -124,11 +124,14 @@ def history_similarity(cand: DataFrame, history: DataFrame, items: DataFrame, *,
 
     A task gets the candidates and capped histories of 64 users, so pairs exist only inside a
     small matrix product. Ids alone are shuffled while the item matrix is small enough to share;
-    otherwise the vectors travel with them.
+    otherwise the vectors travel with them. A history item without a vector is passed over, and a
+    candidate without one scores zero, whichever way the vectors go.
     """
     shard = F.floor(F.col("user_idx") / USER_SHARD).cast("int").alias("shard")
-    left = cand.select(shard, "user_idx", "anime_idx")
-    right = history.where(F.col("pos") < cap).select(shard, "user_idx", "anime_idx")
+    known = items.where("vec IS NOT NULL").select("anime_idx")
+    left = cand.select(shard, "user_idx", "anime_idx").join(known, "anime_idx", "left_semi")
+    right = history.where(F.col("pos") < cap).select(shard, "user_idx", "anime_idx").join(known, "anime_idx", "left_semi")
+    items = items.where("vec IS NOT NULL")
     shared = share_matrix(items, broadcast_bytes)
     if shared is None:
         vec = items.select("anime_idx", "vec")
@@ -155,7 +158,10 @@ def history_similarity(cand: DataFrame, history: DataFrame, items: DataFrame, *,
                 out[:, rows] = top[:, 0], sims.mean(axis=1), top.mean(axis=1)
         return pa.table({"user_idx": c["user_idx"], "anime_idx": c["anime_idx"], "hist_cos_max": out[0],
                          "hist_cos_mean": out[1], "hist_cos_top5_mean": out[2]})
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(measure, _SIM_SCHEMA)
+    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(measure, _SIM_SCHEMA)
+    blank = cand.join(known, "anime_idx", "left_anti").select(
+        "user_idx", "anime_idx", *[F.lit(0.0).alias(c) for c in ("hist_cos_max", "hist_cos_mean", "hist_cos_top5_mean")])
+    return found.unionByName(blank)
 
 
 def user_taste(history: DataFrame, tags: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:

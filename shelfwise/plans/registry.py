@@ -23,7 +23,7 @@ def _with_views(sql: str) -> str:
         for name in words & VIEWS.keys() - needed:
             needed.add(name)
             pending.append(VIEWS[name])
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in VIEWS if n in needed)
     return f"WITH {ctes}\n{sql}" if ctes else sql
 
 

@@ -176,18 +176,19 @@ def values(df):
 
 
 def test_recall_and_ndcg_by_hand(spark):
-    p = pool(spark, {0: [(0, 0), (1, 0), (0, 0)]})
-    side = spark.createDataFrame([(0, 2, 0)], "user_idx int, r_total long, r_liked long")
-    m = values(metrics.evaluate(metrics.rank_pool(p, "cos"), side, [1, 2, 3]))
-    assert [m["recall@1"], m["recall@2"], m["recall@3"]] == [0, 0.5, 0.5]
-    assert math.isclose(m["ndcg@2"], (1 / math.log2(3)) / (1 + 1 / math.log2(3)))
+    p = pool(spark, {0: [(1, 0), (0, 0), (0, 0), (1, 0), (0, 0)]})
+    side = spark.createDataFrame([(0, 4, 0)], "user_idx int, r_total long, r_liked long")
+    m = values(metrics.evaluate(metrics.rank_pool(p, "cos"), side, [1, 4]))
+    assert [m["recall@1"], m["recall@4"]] == [0.25, 0.5] and m["ndcg@1"] == 1.0
+    ideal = sum(1 / math.log2(i + 2) for i in range(4))
+    assert math.isclose(m["ndcg@4"], (1 + 1 / math.log2(5)) / ideal)
 
 
 def test_ideal_is_cut_at_k(spark):
-    p = pool(spark, {0: [(1, 0), (1, 0)]})
-    side = spark.createDataFrame([(0, 5, 0)], "user_idx int, r_total long, r_liked long")
-    m = values(metrics.evaluate(metrics.rank_pool(p, "cos"), side, [2]))
-    assert math.isclose(m["ndcg@2"], 1.0) and math.isclose(m["recall@2"], 0.4)
+    p = pool(spark, {0: [(1, 0), (1, 0), (1, 0), (0, 0)]})
+    side = spark.createDataFrame([(0, 8, 0)], "user_idx int, r_total long, r_liked long")
+    m = values(metrics.evaluate(metrics.rank_pool(p, "cos"), side, [3]))
+    assert math.isclose(m["ndcg@3"], 1.0) and math.isclose(m["recall@3"], 0.375)
 
 
 def test_pooled_and_liked(spark):
@@ -328,3 +329,26 @@ def test_cold_items_cut_inside_a_hot_date(spark, n, fraction):
     newest = sorted(((d, i + 2) for i, d in enumerate(dates) if d), key=lambda t: (t[0], -t[1]), reverse=True)
     want = sorted((i,) for _, i in newest[:math.ceil(fraction * n)])
     assert rows(encoding.cold_items(items, fraction), "anime_idx") == want
+
+
+def test_keep_last_with_nulls_and_ties(spark):
+    log = spark.createDataFrame([("u", 1, "a", None), ("u", 1, "b", None), ("v", 1, "c", None), ("v", 1, "d", 3), ("w", 2, "e", 5), ("w", 2, "f", 5)],
+                                "user string, item int, value string, at int")
+    assert rows(cleaning.keep_last(log, ["user", "item"], "at"), "user", "item", "value") == [("u", 1, "b"), ("v", 1, "d"), ("w", 2, "f")]
+
+
+def test_dense_index_leaves_out_nulls_and_spreads_outliers(spark):
+    from shelfwise.functions.keys import dense_index
+    for kind in ("bigint", "string"):
+        ids = spark.createDataFrame([(1,), (None,), (5,)], "k bigint").select(F.col("k").cast(kind))
+        assert sorted((r.k, r.i) for r in dense_index(ids, "k", "i").collect()) == [(ids.first().k, 0), (type(ids.first().k)(5), 1)]
+    far = spark.range(3000).unionByName(spark.createDataFrame([(10 ** 15,)], "id bigint"))
+    assert [r.i for r in dense_index(far, "id", "i", start=2).orderBy("id").collect()] == list(range(2, 3003))
+
+
+def test_similarity_is_one_answer_without_some_vectors(spark):
+    items = spark.createDataFrame([(i, [float(i == 2), float(i != 2), 1.0]) for i in (2, 3, 4, 6)], "anime_idx int, vec array<double>")
+    cand = spark.createDataFrame([(0, 2), (0, 5), (0, 6)], "user_idx int, anime_idx int")
+    past = spark.createDataFrame([(0, 3, 0), (0, 5, 1), (0, 4, 2)], "user_idx int, anime_idx int, pos int")
+    got = [sorted(map(tuple, features.history_similarity(cand, past, items, broadcast_bytes=b).collect())) for b in (1 << 20, 0)]
+    assert got[0] == got[1] == [(0, 2, 1.0, 1.0, 1.0), (0, 5, 0.0, 0.0, 0.0), (0, 6, 2.0, 2.0, 2.0)]

@@ -122,8 +122,9 @@ class KeepLastTable:
         touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]       # at most ``buckets`` numbers
         old = self._read({b: v for b, v in current.items() if b in touched})
         rest = [c for c in batch.columns if c not in self.keys]
-        newest = F.max_by(F.struct(*rest), F.col(self.order)).alias("_n")
-        merged = old.unionByName(batch).groupBy(*self.keys).agg(newest).select(*self.keys, "_n.*")
+        # a row without an order value is the oldest; equal ones are told apart by the other columns
+        newest = F.max(F.struct(F.col(self.order).alias("_at"), F.struct(*rest).alias("_n"))).alias("_last")
+        merged = old.unionByName(batch).groupBy(*self.keys).agg(newest).select(*self.keys, "_last._n.*")
         (merged.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite")
          .partitionBy("bucket").parquet(f"{self.target}/data/{batch_id}"))
         batch.unpersist()

@@ -1,8 +1,9 @@
 """Token ids of whole texts, and their files: frequency-ranked, byte-aligned, with control bytes apart.
 
-A file row is a block of documents: ``docs``/``sizes`` (who, and how many ids), ``control`` (two bits per
-value: its bytes less one, four values a byte) and ``data`` (the values' bytes, little-endian). A value
-is the rank of an id by its count over the corpus, so frequent ids take one byte.
+A file row is a block of documents: ``shard`` (its file, in id order), ``before`` (ids of the shard's earlier
+blocks), ``docs``/``sizes`` (who, and how many ids), ``control`` (two bits per value: its bytes less one, four
+values a byte) and ``data`` (the values' bytes, little-endian). A value is the rank of an id by its count over
+the corpus, so frequent ids take one byte.
 """
 
 from __future__ import annotations
@@ -181,14 +182,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
     ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
     def blocks(batches):
-        shard, number = TaskContext.get().partitionId(), 0
+        shard, before = TaskContext.get().partitionId(), 0
         docs, held, total = [], [], 0
 
         def block():
             sizes = [len(h) // int(kind[2]) for h in held]
             control, data = pack(ranks[np.frombuffer(b"".join(held), kind)])
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int64()), "block": pa.array([number], pa.int64()),
+                "shard": pa.array([shard], pa.int64()), "before": pa.array([before], pa.int64()),
                 "docs": pa.array([docs], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
                 "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
 
@@ -199,13 +200,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
                 total += len(ids)
                 if total >= block_ids * int(kind[2]):
                     yield block()
-                    docs, held, total, number = [], [], 0, number + 1
+                    before += total // int(kind[2])
+                    docs, held, total = [], [], 0
         if docs:
             yield block()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    (dealt.mapInArrow(blocks, "shard bigint, block bigint, docs array<bigint>, sizes array<bigint>, control binary, data binary")
+    (dealt.mapInArrow(blocks, "shard bigint, before bigint, docs array<bigint>, sizes array<bigint>, control binary, data binary")
      .write.option("compression", "zstd").parquet(path))
     return by_rank
 
@@ -216,27 +218,24 @@ def read_tokens(spark: SparkSession, path: str, by_rank: np.ndarray) -> DataFram
     ``start`` counts the ids of all documents before it; ``ids`` are little-endian 32-bit bytes.
     """
     def run(batch):
-        for shard, block, docs, sizes, control, data in zip(*(batch.column(c).to_pylist() for c in (
-                "shard", "block", "docs", "sizes", "control", "data"))):
+        for shard, before, docs, sizes, control, data in zip(*(batch.column(c).to_pylist() for c in (
+                "shard", "before", "docs", "sizes", "control", "data"))):
             ends = np.cumsum(sizes)
             ids = by_rank[unpack(control, data, int(ends[-1]))].astype("<u4") if ends[-1] else np.zeros(0, "<u4")
             raw = ids.tobytes()
             begin = ends - np.array(sizes)
-            yield {"shard": pa.array([shard] * len(docs), pa.int64()), "block": pa.array([block] * len(docs), pa.int64()),
-                   "doc_id": pa.array(docs, pa.int64()), "within": pa.array(begin, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
+            yield {"shard": pa.array([shard] * len(docs), pa.int64()), "doc_id": pa.array(docs, pa.int64()),
+                   "within": pa.array(before + begin, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
                    "ids": pa.array([raw[4 * a:4 * b] for a, b in zip(begin.tolist(), ends.tolist())], pa.binary())}
     files = spark.read.parquet(path)
-    # one row per block of some million ids; the running total over them needs no text
-    sums = files.select("shard", "block", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n"))
+    # one row per shard, of which a file set has no more than the writer's shuffle partitions
+    sums = files.select("shard", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n"))
     shards = sums.groupBy("shard").agg(F.sum("n").alias("total"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    place = sums.withColumn("base2", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(shards, "shard").select(
-        "shard", "block", (F.col("base") + F.col("base2")).alias("block_start"))
-    rows = map_batches(files, run, "shard bigint, block bigint, doc_id bigint, within bigint, n_tokens bigint, ids binary")
-    return rows.join(F.broadcast(place), ["shard", "block"]).select(     # one row per block
-        "doc_id", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids")
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    rows = map_batches(files, run, "shard bigint, doc_id bigint, within bigint, n_tokens bigint, ids binary")
+    return rows.join(F.broadcast(shards), "shard").select(
+        "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def token_path(spark: SparkSession) -> str:

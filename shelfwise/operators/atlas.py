@@ -111,19 +111,20 @@ def _lift(items: DataFrame, columns: list[str], min_share: float) -> DataFrame:
 
 
 def name_lift(items: DataFrame, min_share: float = 0.15) -> DataFrame:
-    """Two tags of highest lift among those of enough share."""
-    return _or_genre(items, _top(_lift(items, ["genres", "themes"], min_share), 2))
+    """Two tags of highest lift among those of enough share; repeats are numbered by label."""
+    return unique_names(_or_genre(items, _top(_lift(items, ["genres", "themes"], min_share), 2)), ["label"])
 
 
 def name_tfidf(items: DataFrame, min_share: float = 0.10) -> DataFrame:
-    """Two tags of highest share times ln((K + 1) / (df + 1)) + 1, df counting clusters of enough share."""
+    """Two tags of highest share times ln((K + 1) / (df + 1)) + 1, df counting clusters of enough share; repeats are numbered."""
     counts = _counts(items, ["genres", "themes"]).withColumn("tf", F.col("c") / F.col("n"))
     df = counts.where(F.col("tf") >= min_share).groupBy("tag").agg(F.count("*").alias("df"))
     k = cluster_sizes(items).agg(F.count("*")).scalar()
     idf = F.log((F.col("_k") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     scored = counts.join(df, "tag", "left").withColumn("_k", k).withColumn("score", F.round(F.col("tf") * idf, 9))
     names = _top(scored, 2)
-    return cluster_sizes(items).join(names, "label", "left").select("label", F.coalesce("name", F.lit("?")).alias("name"))
+    named = cluster_sizes(items).join(names, "label", "left").select("label", F.coalesce("name", F.lit("?")).alias("name"))
+    return unique_names(named, ["label"])
 
 
 def _shortened(title: Column, limit: int) -> Column:
@@ -137,7 +138,7 @@ def _most_popular(items: DataFrame) -> DataFrame:
 
 
 def name_exemplar(items: DataFrame, limit: int = 26) -> DataFrame:
-    return _most_popular(items).select("label", _shortened(F.col("title"), limit).alias("name"))
+    return unique_names(_most_popular(items).select("label", _shortened(F.col("title"), limit).alias("name")), ["label"])
 
 
 def name_demographic(items: DataFrame, min_share: float = 0.12) -> DataFrame:
@@ -148,12 +149,12 @@ def name_demographic(items: DataFrame, min_share: float = 0.12) -> DataFrame:
     demo = counts.withColumn("r", F.row_number().over(order)).where("r = 1").select("label", "demo")
     theme = _or_genre(items, _top(_lift(items, ["themes"], min_share), 1))
     named = F.when(F.col("demo").isNull(), F.col("name")).otherwise(F.concat("demo", F.lit(" · "), "name"))
-    return theme.join(demo, "label", "left").select("label", named.alias("name"))
+    return unique_names(theme.join(demo, "label", "left").select("label", named.alias("name")), ["label"])
 
 
 def name_hybrid(items: DataFrame, limit: int = 22) -> DataFrame:
     """Tf-idf name and, on a second line, the most popular title."""
-    tags = unique_names(name_tfidf(items), ["label"])
+    tags = name_tfidf(items)
     titles = _most_popular(items).select("label", _shortened(F.col("title"), limit).alias("t"))
     return tags.join(titles, "label").select("label", F.concat("name", F.lit("\n"), "t").alias("name"))
 
@@ -186,8 +187,8 @@ def points(coords: DataFrame, base: DataFrame, clusters: DataFrame) -> DataFrame
 
 
 def label_anchors(pts: DataFrame) -> DataFrame:
-    """Exact median place of each cluster."""
-    long = pts.select("label", F.explode(F.array(*[
+    """Exact median place of each cluster; noise has none."""
+    long = pts.where("label <> -1").select("label", F.explode(F.array(*[
         F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("x", "y")])).alias("e")).select("label", "e.*")
     med = quantiles.interpolated(long, ["label", "axis"], "v", {"m": 0.5})
     return med.groupBy("label").agg(F.max(F.when(F.col("axis") == "x", F.col("m"))).alias("cx"),
@@ -315,14 +316,14 @@ def hexagons(pts: DataFrame, gridsize: int) -> DataFrame:
 
 
 def voronoi(cells: DataFrame, anchors: DataFrame, frame: DataFrame, p: float = 0.30) -> DataFrame:
-    """Nearest cluster anchor of each dense grid cell's centre.
+    """Nearest cluster anchor of each dense grid cell's centre; noise is no site.
 
     The anchors, one per cluster, travel with each row as an array.
     """
     cut = quantiles.interpolated(cells, [], "total", {"cut": p})
     sites = F.array_sort(F.collect_list(F.struct("label", "cx", "cy")))
     wide = (cells.where(F.col("total") > cut.scalar()).withColumn("_f", frame.select(F.struct("*")).scalar())
-            .withColumn("_sites", anchors.agg(sites).scalar())
+            .withColumn("_sites", anchors.where("label <> -1").agg(sites).scalar())
             .withColumn("_x", F.col("_f.x0") + (F.col("ix") + 0.5) * F.col("_f.wx"))
             .withColumn("_y", F.col("_f.y0") + (F.col("iy") + 0.5) * F.col("_f.wy")))
     nearest = F.array_min(F.transform("_sites", lambda s: F.struct(
@@ -390,7 +391,7 @@ def visible_labels(clusters: DataFrame, cx: float, cy: float, width: float, heig
 
 
 def nearest_point(pts: DataFrame, x: float, y: float, scale: float, limit_px: float = PICK_PX) -> DataFrame:
-    """The drawn point nearest to a place, if closer than 8 pixels."""
+    """The point nearest to a place, if closer than 8 pixels; ``pts`` are the drawn ones (see ``in_view``)."""
     px = F.hypot(F.col("x") - x, F.col("y") - y) * scale
     return pts.withColumn("px", px).where(F.col("px") < limit_px).orderBy("px", "mal_id").limit(1)
 

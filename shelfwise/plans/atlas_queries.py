@@ -30,22 +30,27 @@ def _named(view: str, k: int = 2) -> str:
     return f"SELECT g.label, coalesce(t.name, g.fallback) AS name FROM mgenre g LEFT JOIN ({top_tags(view, k)}) t ON g.label = t.label"
 
 
+def _unique(names: str, order: str) -> str:
+    return f"""SELECT label, CASE WHEN nth = 1 THEN name ELSE name || ' (' || nth || ')' END AS name FROM (
+SELECT *, row_number() OVER (PARTITION BY name ORDER BY {order}) AS nth FROM ({names}))"""
+
+
 @query("map_3", _named("mlogodds"))
 def map_3(w):
     return at.name_log_odds(w.clustered)
 
 
-@query("map_4", _named("mlift"))
+@query("map_4", _unique(_named("mlift"), "label"))
 def map_4(w):
     return at.name_lift(w.clustered)
 
 
-@query("map_5", top_tags("mtfidf", 2))
+@query("map_5", _unique(top_tags("mtfidf", 2), "label"))
 def map_5(w):
     return at.name_tfidf(w.clustered)
 
 
-@query("map_6", "SELECT label, CASE WHEN length(title) <= 10 THEN title ELSE substr(title, 1, 8) || '…' END AS name FROM mpopular")
+@query("map_6", _unique("SELECT label, CASE WHEN length(title) <= 10 THEN title ELSE substr(title, 1, 8) || '…' END AS name FROM mpopular", "label"))
 def map_6(w):
     return at.name_exemplar(w.clustered, limit=10)
 
@@ -57,16 +62,11 @@ JOIN (SELECT tag, count(*) AS g FROM (SELECT unnest(list_distinct(themes)) AS ta
 JOIN (SELECT label, count(*) AS n FROM mbase GROUP BY label) s ON t.label = s.label GROUP BY t.label, t.tag) WHERE c / n >= 0.12)"""
 
 
-@query("map_7", f"SELECT n.label, CASE WHEN d.demo IS NULL THEN n.name ELSE d.demo || ' · ' || n.name END AS name FROM ({_named(_TLIFT, 1)}) n LEFT JOIN ({_DEMO}) d ON n.label = d.label")
+@query("map_7", _unique(f"SELECT n.label, CASE WHEN d.demo IS NULL THEN n.name ELSE d.demo || ' · ' || n.name END AS name FROM ({_named(_TLIFT, 1)}) n LEFT JOIN ({_DEMO}) d ON n.label = d.label", "label"))
 def map_7(w):
     return at.name_demographic(w.clustered)
 
 
-def _unique(names: str, order: str) -> str:
-    return f"""SELECT label, CASE WHEN nth = 1 THEN name ELSE name || ' (' || nth || ')' END AS name FROM (
-SELECT *, row_number() OVER (PARTITION BY name ORDER BY {order}) AS nth FROM ({names}))"""
-
-
 @query("map_8", f"""SELECT t.label, t.name || chr(10) || CASE WHEN length(p.title) <= 22 THEN p.title ELSE substr(p.title, 1, 20) || '…' END AS name
 FROM ({_unique(top_tags('mtfidf', 2), 'label')}) t JOIN mpopular p ON t.label = p.label""")
 def map_8(w):
@@ -196,11 +196,19 @@ def map_26(w):
 _RECS = "SELECT DISTINCT i.mal_id FROM mainl m JOIN items i ON m.anime_idx = i.anime_idx WHERE m.rank <= 3"
 
 
-@query("map_27", f"""SELECT mal_id, mal_id IN ({_RECS}) AS is_rec FROM mpoints WHERE x BETWEEN -0.2 AND 0.2 AND y BETWEEN -0.15 AND 0.15
-AND (popularity < 3000 + least(1, (1.25::DOUBLE - 1.2) / 2.8) * 997000.0 OR mal_id IN ({_RECS}))""")
-def map_27(w):
+_DRAWN = f"""SELECT mal_id, mal_id IN ({_RECS}) AS is_rec, x, y FROM mpoints WHERE x BETWEEN -0.2 AND 0.2 AND y BETWEEN -0.15 AND 0.15
+AND (popularity < 3000 + least(1, (1.25::DOUBLE - 1.2) / 2.8) * 997000.0 OR mal_id IN ({_RECS}))"""
+
+
+def _drawn(w):
+    """Points drawn in the view that map_27 and map_29 share."""
     recs = w.results.where("section = 'main' AND rank <= 3").select("mal_id").distinct()
-    return at.in_view(w.points, recs, 0.0, 0.0, 0.4, 0.3, 1.25).select("mal_id", "is_rec")
+    return at.in_view(w.points, recs, 0.0, 0.0, 0.4, 0.3, 1.25)
+
+
+@query("map_27", f"SELECT mal_id, is_rec FROM ({_DRAWN})")
+def map_27(w):
+    return _drawn(w).select("mal_id", "is_rec")
 
 
 @query("map_28", """SELECT r.label, round(least((radius * 300 - 60) / 30, 1), 6) AS alpha FROM mradius r JOIN (SELECT label, count(*) AS size FROM mpoints GROUP BY label) s ON r.label = s.label
@@ -210,9 +218,9 @@ def map_28(w):
     return at.visible_labels(sized, 0.05, 0.0, 0.2, 0.2, 300.0).select("label", F.round("alpha", 6).alias("alpha"))
 
 
-@query("map_29", "SELECT mal_id, round(sqrt((x - 0.01) ** 2 + (y - 0.02) ** 2) * 400, 6) AS px FROM mpoints WHERE sqrt((x - 0.01) ** 2 + (y - 0.02) ** 2) * 400 < 8 ORDER BY px, mal_id LIMIT 1")
+@query("map_29", f"SELECT mal_id, round(sqrt((x - 0.01) ** 2 + (y - 0.02) ** 2) * 400, 6) AS px FROM ({_DRAWN}) WHERE sqrt((x - 0.01) ** 2 + (y - 0.02) ** 2) * 400 < 8 ORDER BY px, mal_id LIMIT 1")
 def map_29(w):
-    return at.nearest_point(w.points, 0.01, 0.02, 400.0).select("mal_id", F.round("px", 6).alias("px"))
+    return at.nearest_point(_drawn(w), 0.01, 0.02, 400.0).select("mal_id", F.round("px", 6).alias("px"))
 
 
 _NEAR = _pool("SELECT * FROM uvec", "ehist", 5, "SELECT anime_idx, vec FROM ivec WHERE anime_idx IN (SELECT anime_idx FROM coords)")

@@ -352,3 +352,36 @@ def test_similarity_is_one_answer_without_some_vectors(spark):
     past = spark.createDataFrame([(0, 3, 0), (0, 5, 1), (0, 4, 2)], "user_idx int, anime_idx int, pos int")
     got = [sorted(map(tuple, features.history_similarity(cand, past, items, broadcast_bytes=b).collect())) for b in (1 << 20, 0)]
     assert got[0] == got[1] == [(0, 2, 1.0, 1.0, 1.0), (0, 5, 0.0, 0.0, 0.0), (0, 6, 2.0, 2.0, 2.0)]
+
+
+def test_repeated_cluster_names_are_numbered_and_noise_has_none(spark):
+    df = spark.createDataFrame(
+        [(k, lab, f"t{k}", ["war"], ["sea"], ["old"], k, k, "war") for k, lab in enumerate([0, 0, 1, 1, 2, -1])]
+        + [(6, 3, "t6", ["sun"], ["sky"], [], 6, 6, "sun")],
+        "anime_idx int, label int, title string, genres array<string>, themes array<string>, demographics array<string>, "
+        "popularity int, mal_id int, primary_genre string")
+    same = [(0, "{}"), (1, "{} (2)"), (2, "{} (3)")]
+    for name in (atlas.name_lift, atlas.name_tfidf, atlas.name_demographic):
+        got = dict(rows(name(df), "label", "name"))
+        assert set(got) == {0, 1, 2, 3} and [(k, got[k]) for k in (0, 1, 2)] == [(k, t.format(got[0])) for k, t in same], name
+        assert got[3] != got[0] and "(" not in got[3]
+    titles = atlas.name_exemplar(df.withColumn("title", F.lit("one title")))
+    assert rows(titles, "label", "name") == [(0, "one title"), (1, "one title (2)"), (2, "one title (3)"), (3, "one title (4)")]
+
+
+def test_noise_is_neither_anchor_nor_site(spark):
+    pts = spark.createDataFrame([(0, 0.0, 0.0), (0, 2.0, 4.0), (1, 9.0, 9.0), (-1, 5.0, 5.0)], "label int, x double, y double")
+    assert rows(atlas.label_anchors(pts), "label", "cx", "cy") == [(0, 1.0, 2.0), (1, 9.0, 9.0)]
+    anchors = spark.createDataFrame([(0, 0.0, 0.0), (1, 9.0, 9.0), (-1, 5.0, 5.0)], "label int, cx double, cy double")
+    cells = spark.createDataFrame([(0, 0, 0.0), (5, 5, 3.0), (2, 2, 2.0)], "ix int, iy int, total double")
+    frame = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "x0 double, y0 double, wx double, wy double")
+    assert rows(atlas.voronoi(cells, anchors, frame), "ix", "iy", "label") == [(2, 2, 0), (5, 5, 1)]
+
+
+def test_a_hidden_point_is_not_picked(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 900_000), (2, 0.001, 0.0, 10), (3, 0.0005, 0.0, 950_000)],
+                                "mal_id int, x double, y double, popularity int")
+    recs = spark.createDataFrame([(3,)], "mal_id int")
+    drawn = atlas.in_view(pts, recs, 0.0, 0.0, 1.0, 1.0, 1.2)
+    assert rows(atlas.nearest_point(drawn, 0.0, 0.0, 400.0), "mal_id") == [(3,)]
+    assert rows(atlas.nearest_point(drawn.where("NOT is_rec"), 0.0, 0.0, 400.0), "mal_id") == [(2,)]

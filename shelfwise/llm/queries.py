@@ -61,8 +61,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    known = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(~held).select("text", "toxic")
-    out = toxicity.toxicity(docs, known)
+    out = toxicity.toxicity(docs, toxicity.labelled_texts(docs, labels.where(~held)))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -27,6 +27,7 @@ _SIGNED = re.compile(r"\S*[0134578@$!|]\S*")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
+FIT_ROWS = 200_000          # labelled ids that lexicon and regression are fitted on
 
 
 def _letters(match: re.Match) -> str:
@@ -59,6 +60,23 @@ def terms(words: list[str]) -> set[str]:
     return out
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "toxic") -> DataFrame:
+    """``(text, toxic)`` of the labelled rows of ``docs``, to fit on.
+
+    Of more than ``most`` labelled ids, those with the lowest hashes are taken, so that some ``most`` ids and labels (a
+    few MB) go to every task and no text is shuffled for this. Null ids and labels are ignored; of several labels for
+    one id the highest holds.
+    """
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.max(label_col).alias("toxic"))
+    n = one.count()
+    if n > most:
+        one = one.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 32)) < (most << 32) // n)
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(F.broadcast(one), F.col("_doc") == F.col("_id")).select("text", "toxic")
+
+
 def _term_counts(docs: DataFrame, known: dict[str, int] | None) -> DataFrame:
     """In how many texts each term (of ``known``, if given) occurs; summed within each batch first."""
     def run(batch):
@@ -133,6 +151,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, exceptions: tuple[str, ...] =
     Null, empty and wordless texts have no hits and get that score; without labels of both kinds every score is 0.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    labelled = stage(labelled.where("toxic IS NOT NULL").select("text", "toxic"), "labelled-texts")
     lexicon = learn_lexicon(labelled, share, least)
     if not lexicon:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("hits"))
@@ -147,7 +166,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, exceptions: tuple[str, ...] =
         keep = {c: batch.column(c) for c in batch.schema.names if c != "text"}
         return keep | {"hits": pa.array(hits), "x": pa.array(list(cols.astype(float)), pa.list_(pa.float64()))}
 
-    known = labelled.where("toxic IS NOT NULL").select("text", F.col("toxic").cast("double").alias("label"))
+    known = labelled.select("text", F.col("toxic").cast("double").alias("label"))
     fit = stage(map_batches(known, features, "label double, hits double, x array<double>"), "toxicity-fit")
     model = LogisticRegression(maxIter=50, regParam=1e-3).fit(fit.select(array_to_vector("x").alias("features"), "label"))
     logit = F.lit(float(model.intercept))

@@ -216,3 +216,13 @@ def test_neighbours_recall_and_order(spark):
     few = vectors.where("vec_id < 5")
     assert neighbours.nearest(few, few.where("vec_id = 0"), 20).count() == 4
     assert neighbours.nearest(few.where("false"), few, 20).count() == 0
+
+
+def test_labelled_texts_are_bounded(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit(5).alias("toxic"))
+    labels = spark.range(4000).select(F.when(F.col("id") < 3999, F.col("id")).alias("doc_id"), F.when(F.col("id") > 0, 0).alias("toxic"))
+    labels = labels.unionByName(labels.where("doc_id = 7").withColumn("toxic", F.lit(1)))
+    every = toxicity.labelled_texts(docs, labels).collect()
+    assert len(every) == 3998 and [r.text for r in every if r.toxic == 1] == ["t7"]
+    some = {r.text for r in toxicity.labelled_texts(docs, labels, most=1000).collect()}
+    assert 850 < len(some) < 1150 and some == {r.text for r in toxicity.labelled_texts(docs, labels.repartition(3), most=1000).collect()}

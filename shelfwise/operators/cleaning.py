@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -126,7 +127,8 @@ def k_core(pairs: DataFrame, user_min: int = 10, item_min: int = 20, max_rounds:
 
     Pairs are written once; a round only rewrites the surviving keys. Counts never grow, so
     filtering the original pairs by the last keys equals filtering round after round.
-    Returns (users, items) as staged tables.
+    Returns (users, items) as staged tables. ``max_rounds`` that end before the size is stable are
+    reported with a warning: what is left then may hold keys below the minima.
     """
     pairs = stage(pairs.select("username", "anime_id"), "kcore-pairs")
     items, last_size = None, -1
@@ -141,6 +143,8 @@ def k_core(pairs: DataFrame, user_min: int = 10, item_min: int = 20, max_rounds:
         if size == last_size:
             break
         last_size = size
+    else:
+        warnings.warn(f"k-core not stable after {max_rounds} rounds", stacklevel=2)
     survivors = pairs.join(items, "anime_id", "left_semi").join(users, "username", "left_semi")
     return survivors.select("username").distinct(), survivors.select("anime_id").distinct()
 

@@ -154,10 +154,14 @@ def evaluation_export(examples: DataFrame, final_exam: bool = False) -> DataFram
     return examples.where(F.col("split").isin(splits)).select("split", "user_idx", "anime_idx", "score")
 
 
+def eligible_train_users(users: DataFrame, min_history: int = 5) -> DataFrame:
+    """Training users with a history long enough to cut."""
+    return users.where((F.col("split") == "train") & (F.size("history_ids") >= min_history))
+
+
 def sample_train_users(users: DataFrame, n: int, min_history: int = 5) -> DataFrame:
     """At most ``n`` eligible training users, the ones of smallest hash."""
-    eligible = users.where((F.col("split") == "train") & (F.size("history_ids") >= min_history))
-    return eligible.orderBy(hash_u32(SEED, F.col("user_idx")), "user_idx").limit(n)
+    return eligible_train_users(users, min_history).orderBy(hash_u32(SEED, F.col("user_idx")), "user_idx").limit(n)
 
 
 def support_target(users: DataFrame, fraction: float = QUERY_FRACTION) -> DataFrame:

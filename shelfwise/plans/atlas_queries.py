@@ -180,11 +180,10 @@ def map_24(w):
     return at.soft_colours(shares, palette).withColumns({c: F.round(c, 6) for c in ("r", "g", "b")})
 
 
-@query("map_25", f"""SELECT c.anime_idx, round(c.x, 6) AS x, round(c.y, 6) AS y, b.title, CASE WHEN c.anime_idx % 10 = 0 THEN -1 ELSE b.label END AS label,
-CASE WHEN c.anime_idx % 10 = 0 THEN 'noise' ELSE coalesce(n.name, 'noise') END AS cluster FROM coords c LEFT JOIN mbase b ON c.anime_idx = b.anime_idx LEFT JOIN ({_named('mlogodds')}) n ON b.label = n.label""")
+@query("map_25", f"""SELECT c.anime_idx, round(c.x, 6) AS x, round(c.y, 6) AS y, b.title, coalesce(k.label, -1) AS label,
+coalesce(n.name, 'noise') AS cluster FROM coords c LEFT JOIN mbase b ON c.anime_idx = b.anime_idx LEFT JOIN ivec k ON c.anime_idx = k.anime_idx LEFT JOIN ({_named('mlogodds')}) n ON k.label = n.label""")
 def map_25(w):
-    some = w.clusters.where("anime_idx % 10 <> 0")
-    frame = at.plot_frame(w.coords, w.map_base, some, at.name_log_odds(w.clustered))
+    frame = at.plot_frame(w.coords, w.map_base, w.clusters, at.name_log_odds(w.clustered))
     return _round(frame.select("anime_idx", "x", "y", "title", "label", "cluster"), "x", "y")
 
 

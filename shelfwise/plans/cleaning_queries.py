@@ -203,34 +203,18 @@ def cln_13(w):
     return cl.without_users(w.clean, w.flagged.where("flagged")).select("username", "anime_id")
 
 
-def _unrolled(rounds: int) -> str:
-    parts, live = [], "(SELECT username, anime_id FROM clean)"
-    for i in range(rounds):
-        parts.append(f"k{i}u AS (SELECT * FROM {live} WHERE username IN (SELECT username FROM {live} GROUP BY username HAVING count(*) >= 10))")
-        parts.append(f"k{i}i AS (SELECT * FROM k{i}u WHERE anime_id IN (SELECT anime_id FROM k{i}u GROUP BY anime_id HAVING count(*) >= 20))")
-        live = f"k{i}i"
-    return f"core AS (WITH {', '.join(parts)} SELECT * FROM {live})"
-
-
-_CORE = _unrolled(8)
-
-
-def _core(w):
-    return cl.k_core(w.clean)
-
-
-@query("cln_14", f"SELECT * FROM (WITH {_CORE} SELECT 'user' AS side, username AS key FROM core UNION SELECT 'item', CAST(anime_id AS VARCHAR) FROM core)")
+@query("cln_14", "SELECT 'user' AS side, username AS key FROM kcore UNION SELECT 'item', CAST(anime_id AS VARCHAR) FROM kcore")
 def cln_14(w):
-    users, items = _core(w)
+    users, items = cl.k_core(cl.without_users(w.clean, w.flagged.where("flagged")))
     return users.select(F.lit("user").alias("side"), F.col("username").alias("key")).unionByName(
         items.select(F.lit("item").alias("side"), F.col("anime_id").cast("string").alias("key")))
 
 
-@query("cln_15", f"""SELECT * FROM (WITH {_CORE} SELECT 'ratings' AS tbl, count(*) AS n FROM clean WHERE username IN (SELECT username FROM core) AND anime_id IN (SELECT anime_id FROM core)
-UNION ALL SELECT 'details', count(*) FROM details WHERE mal_id IN (SELECT anime_id FROM core)
-UNION ALL SELECT 'profiles', count(*) FROM profiles WHERE username IN (SELECT username FROM core))""")
+@query("cln_15", """SELECT 'ratings' AS tbl, count(*) AS n FROM cleaned
+UNION ALL SELECT 'details', count(*) FROM details WHERE mal_id IN (SELECT anime_id FROM kcore)
+UNION ALL SELECT 'profiles', count(*) FROM profiles WHERE username IN (SELECT username FROM kcore)""")
 def cln_15(w):
-    users, items = _core(w)
+    users, items = w.core
     kept = {"ratings": cl.restrict(w.clean, users, items),
             "details": w.details.join(items, w.details.mal_id == items.anime_id, "left_semi"),
             "profiles": w.profiles.join(users, "username", "left_semi")}
@@ -257,9 +241,12 @@ def cln_16(w):
   SELECT unnest(['n_users_profiles','n_users_ratings','n_anime_details','n_anime_ratings','n_ratings','sparsity','mean_per_user','mean_per_anime']) AS metric,
          unnest([p, u, d, i, n, 1 - n / (u * i), n / u, n / i]::DOUBLE[]) AS a FROM (
     SELECT count(*)::DOUBLE AS n, count(DISTINCT username)::DOUBLE AS u, count(DISTINCT anime_id)::DOUBLE AS i,
-           (SELECT count(*) FROM profiles)::DOUBLE AS p, (SELECT count(*) FROM details WHERE members > 1000)::DOUBLE AS d FROM clean)) USING (metric)""")
+           (SELECT count(*) FROM profiles WHERE username IN (SELECT username FROM kcore))::DOUBLE AS p,
+           (SELECT count(*) FROM details WHERE mal_id IN (SELECT anime_id FROM kcore))::DOUBLE AS d FROM cleaned)) USING (metric)""")
 def cln_17(w):
-    report = cl.before_after((w.ratings, w.profiles, w.details), (w.clean, w.profiles, w.details.where("members > 1000")))
+    users, items = w.core
+    kept = w.profiles.join(users, "username", "left_semi"), w.details.join(items, w.details.mal_id == items.anime_id, "left_semi")
+    report = cl.before_after((w.ratings, w.profiles, w.details), (w.cleaned, *kept))
     return report.select("metric", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta_pct")])
 
 

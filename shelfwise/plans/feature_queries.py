@@ -124,14 +124,14 @@ def fea_17(w):
 
 # -- splits and histories ------------------------------------------------------------
 @query("spl_1", """SELECT username, anime_id, status IN ('completed', 'watching') AND NOT (score BETWEEN 1 AND 4) AS is_pos,
-status = 'dropped' OR score BETWEEN 1 AND 4 AS is_hardneg FROM clean""")
+status = 'dropped' OR score BETWEEN 1 AND 4 AS is_hardneg FROM cleaned""")
 def spl_1(w):
-    return w.clean.select("username", "anime_id", sp.is_positive().alias("is_pos"), sp.is_hard_negative().alias("is_hardneg"))
+    return w.cleaned.select("username", "anime_id", sp.is_positive().alias("is_pos"), sp.is_hard_negative().alias("is_hardneg"))
 
 
 @query("spl_2", "SELECT username, n_pos, n_hardneg FROM counts")
 def spl_2(w):
-    return sp.label_counts(w.clean)
+    return sp.label_counts(w.cleaned)
 
 
 @query("spl_3", """SELECT count(*) AS n_users, count(*) FILTER (WHERE n_pos = 0) AS n_zero, count(*) FILTER (WHERE n_pos >= 1) AS n_keep,
@@ -152,7 +152,7 @@ def spl_5(w):
 
 @query("spl_6", "SELECT user_idx, anime_idx, is_pos, is_hardneg, score, split FROM base")
 def spl_6(w):
-    return sp.interactions(w.clean, w.items, w.split)
+    return sp.interactions(w.cleaned, w.items, w.split)
 
 
 @query("spl_7", "SELECT user_idx, list(anime_idx ORDER BY anime_idx) AS seen_ids FROM seen GROUP BY user_idx")

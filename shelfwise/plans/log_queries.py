@@ -438,15 +438,19 @@ def est_1(w):
     return items.withColumn("vec", rounded(F.col("vec"), 4))
 
 
-def train_features(w):
-    """Features and grades of the training pools."""
-    users = w.train_split.select("user_idx")
-    history = sp.ranked_history(w.train_support.withColumn("tie", F.lit(0)))
-    stats = fe.user_stats(users, w.train_support)
+FIT_USERS = 100_000     # bound on the users a ranker is fitted on
+
+
+def train_features(w, max_users: int = FIT_USERS):
+    """Features and grades of the training pools of at most ``max_users`` users, those of smallest hash."""
+    users = stage(sp.sample_train_users(w.users, max_users).select("user_idx"), "fit-users")
+    pool, support = (df.join(users, "user_idx", "left_semi") for df in (w.train_pool, w.train_support))
+    history = sp.ranked_history(support.withColumn("tie", F.lit(0)))
+    stats = fe.user_stats(users, support)
     ages = fe.account_age(w.split.join(users, "user_idx", "left_semi"), w.profiles)
     frame = fe.feature_frame(
-        w.train_pool, sims=fe.history_similarity(w.train_pool, history, w.ivec),
-        aff=fe.affinity(w.train_pool, fe.user_taste(history, w.tags), w.tags), stats=stats, ages=ages,
+        pool, sims=fe.history_similarity(pool, history, w.ivec),
+        aff=fe.affinity(pool, fe.user_taste(history, w.tags), w.tags), stats=stats, ages=ages,
         numbers=w.numbers, codes=fe.category_codes(w.ranker_items))
     return stage(frame.join(w.train_labelled.select("user_idx", "anime_idx", "label"), ["user_idx", "anime_idx"]), "train-features")
 
@@ -464,8 +468,7 @@ def est_3(w):
 
 @query("est_4")
 def est_4(w):
-    small = w.ivec.where("anime_idx >= 2").withColumn("v8", F.slice("vec", 1, 8))
-    return es.gaussian_mixture(small, "anime_idx", ["v8"], 4).select("anime_idx", "label", rounded(F.col("shares"), 4).alias("shares"))
+    return es.gaussian_mixture(w.ivec.where("anime_idx >= 2"), "anime_idx", ["vec"], 4).select("anime_idx", "label", rounded(F.col("shares"), 4).alias("shares"))
 
 
 @query("est_5")

@@ -17,6 +17,16 @@ def _list(col: str) -> str:
             f"list_transform(regexp_extract_all({col}, '''[^'']*''|\"[^\"]*\"'), lambda q: q[2:len(q)-1]) END")
 
 
+def _unrolled(rounds: int) -> str:
+    """Pairs left by ``rounds`` of the k-core, without flagged users."""
+    parts, live = [], "(SELECT username, anime_id FROM clean WHERE username NOT IN (SELECT username FROM flagged WHERE flagged))"
+    for i in range(rounds):
+        parts.append(f"k{i}u AS MATERIALIZED (SELECT * FROM {live} WHERE username IN (SELECT username FROM {live} GROUP BY username HAVING count(*) >= 10))")
+        parts.append(f"k{i}i AS MATERIALIZED (SELECT * FROM k{i}u WHERE anime_id IN (SELECT anime_id FROM k{i}u GROUP BY anime_id HAVING count(*) >= 20))")
+        live = f"k{i}i"
+    return f"WITH {', '.join(parts)} SELECT * FROM {live}"
+
+
 VIEWS: dict[str, str] = {
     "ratings_raw": f"SELECT *, row_number() OVER (ORDER BY {', '.join(LOG_ORDER)}) AS seq FROM ({RATINGS})",
     "details": DETAILS,
@@ -34,6 +44,9 @@ VIEWS: dict[str, str] = {
         SELECT *, spam_pos OR const_rater OR physical OR nan_lister AS flagged FROM (
           SELECT *, rated > 30 AND mean_score > 6.0 AS spam_pos, rated > 8 AND std_score < 2.2 AS const_rater,
                  watched > 48 AS physical, watched > 1 AND mean_score IS NULL AS nan_lister FROM stats)""",
+    "kcore": _unrolled(12),
+    "cleaned": """
+        SELECT * FROM clean WHERE username IN (SELECT username FROM kcore) AND anime_id IN (SELECT anime_id FROM kcore)""",
     "items": f"""
         SELECT * REPLACE ({_list('genres')} AS genres, {_list('themes')} AS themes, {_list('studios')} AS studios,
                           {_list('demographics')} AS demographics),
@@ -49,7 +62,7 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT * FROM (VALUES (CAST(0 AS INTEGER), CAST(-1 AS BIGINT), false), (1, -1, false))""",
     "counts": f"""
         SELECT username, count(*) FILTER (WHERE {_POS}) AS n_pos, count(*) FILTER (WHERE {_NEG}) AS n_hardneg
-        FROM clean GROUP BY username""",
+        FROM cleaned GROUP BY username""",
     "split": f"""
         SELECT *, CAST(row_number() OVER (ORDER BY username) - 1 AS INTEGER) AS user_idx FROM (
           SELECT *, CASE WHEN n_pos < 11 OR {u32("username || ':42'")} % 100 < 90 THEN 'train'
@@ -58,7 +71,7 @@ VIEWS: dict[str, str] = {
     "base": f"""
         SELECT user_idx, anime_idx, is_pos, is_hardneg, score, split FROM (
           SELECT s.user_idx, i.anime_idx, {_POS} AS is_pos, {_NEG} AS is_hardneg, c.score, s.split
-          FROM (SELECT * FROM clean) c JOIN (SELECT mal_id, anime_idx FROM items) i ON c.anime_id = i.mal_id
+          FROM (SELECT * FROM cleaned) c JOIN (SELECT mal_id, anime_idx FROM items) i ON c.anime_id = i.mal_id
           JOIN (SELECT username, user_idx, split FROM split) s ON c.username = s.username)
         WHERE is_pos OR is_hardneg OR split <> 'train'""",
     "warm": f"""
@@ -227,12 +240,11 @@ VIEWS |= {
         SELECT *, (row_number() OVER (PARTITION BY user_idx ORDER BY cos, pool_rank) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY user_idx) - 1, 1) AS rn_cos,
                (row_number() OVER (PARTITION BY user_idx ORDER BY pred, pool_rank) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY user_idx) - 1, 1) AS rn_pred
         FROM lpool""",
-    # training pools: 100 sampled users, their support and targets
+    # training pools: all eligible users, their support and targets
     "tkeyed": f"""
         SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY k, pos) <= least(greatest(round(0.2::DOUBLE * n), 1), n - 1) AS is_target FROM (
           SELECT user_idx, anime_idx, score, pos, count(*) OVER (PARTITION BY user_idx) AS n, {u32("'42:' || user_idx || ':' || anime_idx")} AS k
-          FROM hrows WHERE user_idx IN (SELECT user_idx FROM users WHERE split = 'train' AND len(history_ids) >= 5
-                                        ORDER BY {u32("'42:' || user_idx")}, user_idx LIMIT 100))""",
+          FROM hrows WHERE user_idx IN (SELECT user_idx FROM users WHERE split = 'train' AND len(history_ids) >= 5))""",
     "tsup": "SELECT user_idx, anime_idx, score FROM tkeyed WHERE NOT is_target",
     "ttgt": "SELECT user_idx, anime_idx, score FROM tkeyed WHERE is_target",
     "tmask": "SELECT user_idx, anime_idx FROM tsup UNION SELECT user_idx, unnest(hard_neg_ids) FROM hardneg WHERE user_idx IN (SELECT user_idx FROM tsup)",

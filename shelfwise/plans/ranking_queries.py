@@ -54,10 +54,10 @@ def vec_5(w):
 
 
 @query("vec_6", """SELECT u.user_idx, coalesce([round(x, 6) + 0.0 FOR x IN p.vec], [0.125::DOUBLE FOR x IN range(64)]) AS vec
-FROM evalu u LEFT JOIN (SELECT * FROM upool WHERE user_idx % 2 = 0) p ON u.user_idx = p.user_idx""")
+FROM evalu u LEFT JOIN upool p ON u.user_idx = p.user_idx""")
 def vec_6(w):
-    """Users without a pooled history (here every odd one) get the default vector."""
-    pooled = ve.pool_mean(w.eval_history.where("user_idx % 2 = 0"), w.ivec, D)
+    """Users without a pooled history get the default vector."""
+    pooled = ve.pool_mean(w.eval_history, w.ivec, D)
     return _vec6(ve.or_default(w.eval_users, pooled, F.array_repeat(F.lit(0.125), D)))
 
 
@@ -83,12 +83,12 @@ def vec_7(w):
 @query("vec_8", """SELECT anime_idx, list(round(m, 6) + 0.0 ORDER BY d) AS vec FROM (SELECT anime_idx, d, avg(v) AS m FROM (
 SELECT f.anime_idx, unnest(e.vec) AS v, generate_subscripts(e.vec, 1) AS d FROM (
 SELECT anime_idx, unnest(CASE WHEN list_max(studio_ids) > 0 THEN list_filter(studio_ids, lambda x: x <> 0) ELSE [0] END) AS id FROM item_feats) f
-JOIN (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding[1:16]] AS vec FROM embeddings) e ON f.id = e.id) GROUP BY anime_idx, d) GROUP BY anime_idx""")
+JOIN (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings) e ON f.id = e.id) GROUP BY anime_idx, d) GROUP BY anime_idx""")
 def vec_8(w):
     from shelfwise.operators import encoding as en
     ids = en.multi_ids(w.items, "studios", "studio_ids")
-    table = w.table("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 16).cast("array<double>").alias("vec"))
-    return _vec6(ve.bag_mean(ids, "anime_idx", "studio_ids", table, 16))
+    table = w.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return _vec6(ve.bag_mean(ids, "anime_idx", "studio_ids", table, D))
 
 
 @query("vec_9", "SELECT anime_idx, CASE WHEN is_cold THEN 1 ELSE anime_idx END AS lookup_idx FROM item_index")

@@ -111,13 +111,11 @@ def rec_11(w):
 
 
 @query("rec_12", f"""SELECT u.user_idx, round(coalesce(f.x, r.x, u.vec[1]), 4) AS x, round(coalesce(f.y, r.y, u.vec[2]), 4) AS y FROM uvec u
-LEFT JOIN (SELECT v.user_idx, avg(c.x) AS x, avg(c.y) AS y FROM ({_FAVS}) v JOIN coords c ON v.anime_idx = c.anime_idx WHERE v.user_idx % 3 <> 0 GROUP BY v.user_idx) f ON u.user_idx = f.user_idx
-LEFT JOIN (SELECT m.user_idx, avg(c.x) AS x, avg(c.y) AS y FROM mainl m JOIN coords c ON m.anime_idx = c.anime_idx WHERE m.user_idx % 2 = 0 GROUP BY m.user_idx) r ON u.user_idx = r.user_idx""")
+LEFT JOIN (SELECT v.user_idx, avg(c.x) AS x, avg(c.y) AS y FROM ({_FAVS}) v JOIN coords c ON v.anime_idx = c.anime_idx GROUP BY v.user_idx) f ON u.user_idx = f.user_idx
+LEFT JOIN (SELECT m.user_idx, avg(c.x) AS x, avg(c.y) AS y FROM mainl m JOIN coords c ON m.anime_idx = c.anime_idx GROUP BY m.user_idx) r ON u.user_idx = r.user_idx""")
 def rec_12(w):
-    """Every fallback is exercised: some users lack favourites, some also lack recommendations."""
     projected = w.uvec.select("user_idx", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
-    return re_.locate(w.eval_users, re_.favourites(w.eval_history).where("user_idx % 3 <> 0"),
-                      w.main.where("user_idx % 2 = 0"), projected, w.coords)
+    return re_.locate(w.eval_users, re_.favourites(w.eval_history), w.main, projected, w.coords)
 
 
 @query("rec_13", """SELECT e.user_idx, e.split, coalesce(h.n, 0) AS history_count, coalesce(s.n, 0) AS total_entries, 'dataset' AS source, 0.6::DOUBLE AS alpha, 40 AS k_retrieve

@@ -62,6 +62,17 @@ class World:
         return cleaning.bot_rules(self.stats, cleaning.BotRules(
             spam_count=30, spam_mean=6.0, const_count=8, const_std=2.2, watched_max=48, unrated_min_watched=1))
 
+    @cached_property
+    def core(self) -> tuple[DataFrame, DataFrame]:
+        """(users, items) that survive the bot rules and the k-core."""
+        users, items = cleaning.k_core(cleaning.without_users(self.clean, self.flagged.where("flagged")))
+        return stage(users, "core-users"), stage(items, "core-items")
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        """The log that splits, histories and recommendation start from: ``clean`` of the surviving users and items."""
+        return stage(cleaning.restrict(self.clean, *self.core), "cleaned")
+
     @cached_property
     def items(self) -> DataFrame:
         """Indexed catalogue with parsed lists."""
@@ -77,7 +88,7 @@ class World:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return splits.label_counts(self.clean)
+        return splits.label_counts(self.cleaned)
 
     @cached_property
     def split(self) -> DataFrame:
@@ -91,7 +102,7 @@ class World:
     # -- histories ---------------------------------------------------------
     @cached_property
     def base(self) -> DataFrame:
-        return stage(splits.interactions(self.clean, self.items, self.split), "base")
+        return stage(splits.interactions(self.cleaned, self.items, self.split), "base")
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -189,10 +200,10 @@ class World:
         pred = self.numbers.select("anime_idx", (F.col("mal_score") / 10).alias("pred"))
         return stage(labels.label_eval(self.pool, self.queries, self.liked).join(pred, "anime_idx"), "labelled")
 
-    # -- training pools: 100 sampled users -------------------------------------
+    # -- training pools of all eligible users -------------------------------------
     @cached_property
     def train_split(self) -> DataFrame:
-        return stage(splits.support_target(splits.sample_train_users(self.users, 100)), "train-split")
+        return stage(splits.support_target(splits.eligible_train_users(self.users)), "train-split")
 
     def _side(self, side: str) -> DataFrame:
         return self.train_split.select("user_idx", F.explode(F.arrays_zip(

@@ -98,9 +98,11 @@ def random_settings(grid: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def kmeans_sweep(df: DataFrame, column: str, settings: DataFrame) -> DataFrame:
-    """One k-means fit per setting (columns ``run_name``, ``k``) with its cost. A fit is a cluster job; the loop only starts them."""
+    """One k-means fit per setting (columns ``run_name``, ``k``, ``dims``: leading components used, null for all) with its
+    cost. A fit is a cluster job; the loop only starts them."""
     rows = []
-    for s in settings.select("run_name", "k").collect():          # a handful of settings
-        _, model = kmeans(df, "anime_idx", [column], s["k"])
+    for s in settings.select("run_name", "k", "dims").collect():          # a handful of settings
+        used = df if s["dims"] is None else df.withColumn(column, F.slice(column, 1, s["dims"]))
+        _, model = kmeans(used, "anime_idx", [column], s["k"])
         rows.append((s["run_name"], s["k"], float(model.summary.trainingCost)))
     return df.sparkSession.createDataFrame(rows, "run_name string, k int, cost double")

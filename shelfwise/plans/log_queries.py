@@ -12,10 +12,8 @@ from shelfwise.operators import checks as ck
 from shelfwise.operators import crawl_log as lg
 from shelfwise.operators import encoding as en
 from shelfwise.operators import estimators as es
-from shelfwise.operators import features as fe
 from shelfwise.operators import labels as lb
 from shelfwise.operators import sampling as sm
-from shelfwise.operators import splits as sp
 from shelfwise.plans.recommend_queries import animelist_pages
 from shelfwise.plans.registry import query
 from shelfwise.streaming import streams as st
@@ -438,27 +436,16 @@ def est_1(w):
     return items.withColumn("vec", rounded(F.col("vec"), 4))
 
 
-FIT_USERS = 100_000     # bound on the users a ranker is fitted on
-
-
-def train_features(w, max_users: int = FIT_USERS):
-    """Features and grades of the training pools of at most ``max_users`` users, those of smallest hash."""
-    users = stage(sp.sample_train_users(w.users, max_users).select("user_idx"), "fit-users")
-    pool, support = (df.join(users, "user_idx", "left_semi") for df in (w.train_pool, w.train_support))
-    history = sp.ranked_history(support.withColumn("tie", F.lit(0)))
-    stats = fe.user_stats(users, support)
-    ages = fe.account_age(w.split.join(users, "user_idx", "left_semi"), w.profiles)
-    frame = fe.feature_frame(
-        pool, sims=fe.history_similarity(pool, history, w.ivec),
-        aff=fe.affinity(pool, fe.user_taste(history, w.tags), w.tags), stats=stats, ages=ages,
-        numbers=w.numbers, codes=fe.category_codes(w.ranker_items))
-    return stage(frame.join(w.train_labelled.select("user_idx", "anime_idx", "label"), ["user_idx", "anime_idx"]), "train-features")
-
-
 @query("est_2")
 def est_2(w):
     """Feature importances of a ranker fitted on the training pools."""
-    return es.importances(w.spark, es.fit_ranker(train_features(w), iterations=5, depth=3))
+    return es.importances(w.spark, w.ranker)
+
+
+@query("est_2_scores")
+def est_2_scores(w):
+    """The evaluation pools scored by that ranker."""
+    return w.ranked(w.pool).withColumn("pred", F.round("pred", 6))
 
 
 @query("est_3")
@@ -483,7 +470,7 @@ def est_6(w):
 
 @query("est_7")
 def est_7(w):
-    """Sweep of clusterings over a grid of settings; equal settings run once."""
-    grid = es.knob_grid(w.spark, {"k": [4, 8], "use_text": [True, False], "text_dim": [32, 64]}, {"use_text": ["text_dim"]})
+    """Sweep of clusterings over a grid of settings; equal settings run once (without a cut ``dims`` means nothing)."""
+    grid = es.knob_grid(w.spark, {"k": [4, 8], "cut": [True, False], "dims": [16, 32]}, {"cut": ["dims"]})
     picked = es.random_settings(grid, 4, 7)
     return es.kmeans_sweep(w.ivec.where("anime_idx >= 2"), "vec", picked).withColumn("cost", F.round("cost", 3))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfwise.sources.adapters import DETAILS, LOG_ORDER, PROFILES, RATINGS
 
+POOL = 200
 _POS = "status IN ('completed', 'watching') AND NOT (score BETWEEN 1 AND 4)"
 _NEG = "(status = 'dropped' OR score BETWEEN 1 AND 4)"
 
@@ -175,7 +176,7 @@ VIEWS |= {
     "queries": "SELECT user_idx, anime_idx, score, split FROM examples WHERE split IN ('val', 'test')",
     "qmask": """SELECT user_idx, anime_idx FROM seen WHERE user_idx IN (SELECT user_idx FROM queries)
         EXCEPT SELECT user_idx, anime_idx FROM queries""",
-    "pool": _pool("SELECT * FROM uvec WHERE user_idx IN (SELECT user_idx FROM queries)", "qmask", 50),
+    "pool": _pool("SELECT * FROM uvec WHERE user_idx IN (SELECT user_idx FROM queries)", "qmask", POOL),
     "ritems": """
         SELECT x.anime_idx, x.is_cold, d.type, d.source, d.rating, d.demographics,
                CASE WHEN NOT x.is_cold THEN d.score END AS score, CASE WHEN NOT x.is_cold THEN d.popularity END AS popularity,
@@ -250,7 +251,7 @@ VIEWS |= {
     "tmask": "SELECT user_idx, anime_idx FROM tsup UNION SELECT user_idx, unnest(hard_neg_ids) FROM hardneg WHERE user_idx IN (SELECT user_idx FROM tsup)",
     "tvec0": _mean_vec("SELECT * FROM tsup"),
     "tvec": _unit("tvec0"),
-    "tpool": _pool("SELECT * FROM tvec", "tmask", 40,
+    "tpool": _pool("SELECT * FROM tvec", "tmask", POOL,
                    "SELECT anime_idx, vec FROM ivec WHERE anime_idx NOT IN (SELECT anime_idx FROM cold)"),
     "tlab": """
         SELECT p.*, coalesce(CASE WHEN t.score >= 10 THEN 4 WHEN t.score >= 9 THEN 3 WHEN t.score >= 7 THEN 2 WHEN t.score IS NOT NULL THEN 1 END, 0) AS label,
@@ -293,7 +294,7 @@ _WARM = """SELECT anime_idx, vec FROM ivec WHERE anime_idx NOT IN (SELECT anime_
 
 VIEWS |= {
     "adult": "SELECT anime_idx FROM items WHERE list_contains(genres, 'Hentai') OR rating = 'Rx - Hentai'",
-    "wpool": _pool("SELECT * FROM uvec", "seen", 40, _WARM),
+    "wpool": _pool("SELECT * FROM uvec", "seen", POOL, _WARM),
     "wpred": """
         SELECT p.*, round(0.5::DOUBLE * p.cos + 0.03::DOUBLE * n.mal_score + 0.02::DOUBLE * n.log_members
                           + 0.01::DOUBLE * (n.mal_score - s.u_mean_score), 6) AS pred

@@ -12,6 +12,7 @@ from shelfwise.operators import metrics as me
 from shelfwise.operators import vectors as ve
 from shelfwise.plans.oracle_views import _mean_vec, _pool, _unit, metrics_sql
 from shelfwise.plans.registry import query
+from shelfwise.plans.world import POOL
 
 D = 64
 _R = "[round(x, 6) + 0.0 FOR x IN vec] AS vec"
@@ -226,10 +227,7 @@ _FRAME = {"cos_uv": "p.cos", "pool_rank": "p.pool_rank::DOUBLE", "score_gap": "n
 
 
 def build_features(w):
-    return fe.feature_frame(
-        w.pool, sims=fe.history_similarity(w.pool, w.eval_history, w.ivec),
-        aff=fe.affinity(w.pool, fe.user_taste(w.eval_history, w.tags), w.tags), stats=w.eval_stats, ages=w.ages,
-        numbers=w.numbers, codes=fe.category_codes(w.ranker_items))
+    return w.frame(w.pool, w.eval_history, w.eval_stats, w.ages)
 
 
 _INTS = set(fe.CATEGORY)
@@ -316,7 +314,7 @@ def lbl_11(w):
 
 
 # -- metrics ------------------------------------------------------------------------------
-_KS = [10, 20, 50]
+_KS = me.KS
 _V6 = "round(value, 6) AS value"
 
 
@@ -368,7 +366,7 @@ _CSIDE = f"(SELECT user_idx, count(*) AS r_total FROM ({_CQ}) GROUP BY user_idx)
 
 
 def _cold_pool_sql(items: str) -> str:
-    pool = _pool(f"SELECT * FROM uvec WHERE user_idx IN (SELECT user_idx FROM ({_CQ}))", _CMASK, 50, items)
+    pool = _pool(f"SELECT * FROM uvec WHERE user_idx IN (SELECT user_idx FROM ({_CQ}))", _CMASK, POOL, items)
     return f"SELECT p.*, (q.user_idx IS NOT NULL)::INT AS label FROM ({pool}) p LEFT JOIN ({_CQ}) q ON p.user_idx = q.user_idx AND p.anime_idx = q.anime_idx"
 
 
@@ -379,7 +377,7 @@ _COLD_FULL = _cold_pool_sql("SELECT anime_idx, vec FROM ivec")
 def _cold_metrics(w, only):
     q = w.examples.where("split IN ('val_cold', 'test_cold')")
     users = w.uvec.join(q.select("user_idx"), "user_idx", "left_semi")
-    pool = ve.masked_top_k(users, w.ivec, lb.eval_mask(w.seen_rows, q), 50, only=only)
+    pool = ve.masked_top_k(users, w.ivec, lb.eval_mask(w.seen_rows, q), POOL, only=only)
     liked = lb.liked_queries(q, w.eval_stats)
     ranked = me.rank_pool(lb.label_eval(pool, q, liked), "cos")
     return me.evaluate(ranked, lb.query_totals(q, liked), _KS, pooled=True, liked=True)
@@ -409,34 +407,34 @@ _BASE = metrics_sql("SELECT * FROM lpool", "cos", _KS)
 
 @query("evl_9", f"""SELECT alpha, pareto, round(lead_value, 6) AS lead_value FROM (
 SELECT alpha, bool_and(s.value >= b.value - 1e-9) AND bool_or(s.metric = 'ndcg@10' AND s.value > b.value) AS pareto,
-bool_or(s.metric = 'recall@50' AND s.value >= b.value - 1e-9) AS keeps, max(s.value) FILTER (WHERE s.metric = 'ndcg@10') AS lead_value
-FROM ({_SWEEP}) s JOIN ({_BASE}) b ON s.metric = b.metric WHERE s.alpha > 0 AND s.metric IN ('recall@10', 'recall@50', 'ndcg@10', 'ndcg@50') GROUP BY alpha)
+bool_or(s.metric = 'recall@100' AND s.value >= b.value - 1e-9) AS keeps, max(s.value) FILTER (WHERE s.metric = 'ndcg@10') AS lead_value
+FROM ({_SWEEP}) s JOIN ({_BASE}) b ON s.metric = b.metric WHERE s.alpha > 0 AND s.metric IN ('recall@10', 'recall@100', 'ndcg@10', 'ndcg@100') GROUP BY alpha)
 WHERE pareto OR keeps ORDER BY pareto DESC, lead_value DESC, alpha LIMIT 1""")
 def evl_9(w):
     swept = me.sweep(w.labelled, w.side, _KS)
     base = me.evaluate(me.rank_pool(w.labelled, "cos"), w.side, _KS)
-    pick = me.pareto_pick(swept.where("alpha > 0"), base, "alpha", ["recall@10", "recall@50", "ndcg@10", "ndcg@50"], "ndcg@10", "recall@50")
+    pick = me.pareto_pick(swept.where("alpha > 0"), base, "alpha", me.SELECTION, "ndcg@10", "recall@100")
     return pick.withColumn("lead_value", F.round("lead_value", 6))
 
 
 @query("evl_10", f"""SELECT metric, {_V6}, round(expected, 6) AS expected, round(abs(value - expected), 6) AS diff,
 CASE WHEN metric LIKE 'n_users%' THEN value = expected ELSE abs(value - expected) <= 2e-3 END AS ok
-FROM (SELECT metric, value, value + (CASE metric WHEN 'recall@10' THEN 0.001 WHEN 'recall@20' THEN 0.01 ELSE 0 END)::DOUBLE AS expected FROM ({_BASE}) WHERE metric NOT LIKE 'ndcg%')""")
+FROM (SELECT metric, value, value + (CASE metric WHEN 'recall@10' THEN 0.001 WHEN 'recall@50' THEN 0.01 ELSE 0 END)::DOUBLE AS expected FROM ({_BASE}) WHERE metric NOT LIKE 'ndcg%')""")
 def evl_10(w):
     """Gate against references that are off by nothing, a tolerated and an untolerated amount."""
     m = me.evaluate(me.rank_pool(w.labelled, "cos"), w.side, _KS).where("metric NOT LIKE 'ndcg%'")
-    off = F.when(F.col("metric") == "recall@10", 0.001).when(F.col("metric") == "recall@20", 0.01).otherwise(0.0)
+    off = F.when(F.col("metric") == "recall@10", 0.001).when(F.col("metric") == "recall@50", 0.01).otherwise(0.0)
     out = me.baseline_gate(m, m.withColumn("value", F.col("value") + off))
     return out.withColumns({c: F.round(c, 6) for c in ("value", "expected", "diff")})
 
 
 @query("evl_11", f"""SELECT s.metric, round(s.value, 6) AS value, round(b.value, 6) AS baseline, round(s.value - b.value, 6) + 0.0 AS delta,
-round((SELECT value FROM ({_BASE}) WHERE metric = 'recall@50'), 6) AS pool_ceiling
+round((SELECT value FROM ({_BASE}) WHERE metric = 'recall@200'), 6) AS pool_ceiling
 FROM (SELECT * FROM ({_SWEEP}) WHERE alpha = 0.4) s JOIN ({_BASE}) b ON s.metric = b.metric""")
 def evl_11(w):
     base = me.evaluate(me.rank_pool(w.labelled, "cos"), w.side, _KS)
     chosen = me.evaluate(me.rank_pool(me.blend(w.labelled, 0.4), "score"), w.side, _KS)
-    out = me.report(chosen, base, "recall@50")
+    out = me.report(chosen, base, "recall@200")
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("value", "baseline", "delta", "pool_ceiling")})
 
 

@@ -9,6 +9,7 @@ from shelfwise.operators import recommend as re_
 from shelfwise.operators import vectors as ve
 from shelfwise.plans.oracle_views import _pool
 from shelfwise.plans.registry import query
+from shelfwise.plans.world import POOL
 
 D = 64
 _FACTS = "mal_id, title, type, year, mal_score, popularity, members, start_date, genres, themes, studios"
@@ -77,6 +78,13 @@ def rec_7(w):
     return re_.main_list(w.warm_pool.drop("pred"), w.warm_pool, 0.6, 20).withColumn("score", F.round("score", 6))
 
 
+@query("rec_7_ranked")
+def rec_7_ranked(w):
+    """The main list as served: warm pool, 29 features, fitted ranker, blend with the cosine."""
+    pool = w.warm_pool.drop("pred")
+    return re_.main_list(pool, w.ranked(pool), 0.6, 20).withColumns({c: F.round(c, 6) for c in ("score", "pred")})
+
+
 @query("rec_8", "SELECT user_idx, anime_idx, cos, CAST(pool_rank AS INTEGER) AS pool_rank FROM coldl")
 def rec_8(w):
     return re_.cold_list(w.uvec, w.ivec, w.seen_rows, w.cold, 10, w.adult)
@@ -118,11 +126,11 @@ def rec_12(w):
     return re_.locate(w.eval_users, re_.favourites(w.eval_history), w.main, projected, w.coords)
 
 
-@query("rec_13", """SELECT e.user_idx, e.split, coalesce(h.n, 0) AS history_count, coalesce(s.n, 0) AS total_entries, 'dataset' AS source, 0.6::DOUBLE AS alpha, 40 AS k_retrieve
+@query("rec_13", """SELECT e.user_idx, e.split, coalesce(h.n, 0) AS history_count, coalesce(s.n, 0) AS total_entries, 'dataset' AS source, 0.6::DOUBLE AS alpha, 200 AS k_retrieve
 FROM evalu e LEFT JOIN (SELECT user_idx, count(*) AS n FROM ehist GROUP BY user_idx) h ON e.user_idx = h.user_idx
 LEFT JOIN (SELECT user_idx, count(*) AS n FROM seen GROUP BY user_idx) s ON e.user_idx = s.user_idx""")
 def rec_13(w):
-    return re_.response_meta(w.split.where("split <> 'train'"), w.eval_history, w.seen_rows, "dataset", 0.6, 40)
+    return re_.response_meta(w.split.where("split <> 'train'"), w.eval_history, w.seen_rows, "dataset", 0.6, POOL)
 
 
 @query("rec_14", f"SELECT h.user_idx, h.anime_idx, h.score, h.pos, {_FACTS} FROM ehist h JOIN facts f ON h.anime_idx = f.anime_idx WHERE h.pos < 5")

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import atlas, cleaning, encoding, features, labels, recommend, splits, vectors
+from shelfwise.operators import atlas, cleaning, encoding, estimators, features, labels, recommend, splits, vectors
 from shelfwise.sources import adapters
 
 
+POOL = 200              # candidates retrieved per user
+FIT_USERS = 100_000     # bound on the users the ranker is fitted on, those of smallest hash
+
+
 class World:
     """One data set in one session. ``clean``, ``split``, ``marked`` and the pools are staged tables."""
 
@@ -164,7 +168,7 @@ class World:
     @cached_property
     def pool(self) -> DataFrame:
         asked = self.uvec.join(self.queries.select("user_idx"), "user_idx", "left_semi")
-        return stage(vectors.masked_top_k(asked, self.ivec, self.query_mask, 50), "pool")
+        return stage(vectors.masked_top_k(asked, self.ivec, self.query_mask, POOL), "pool")
 
     @cached_property
     def ranker_items(self) -> DataFrame:
@@ -226,12 +230,37 @@ class World:
     @cached_property
     def train_pool(self) -> DataFrame:
         vec = vectors.normalised(vectors.pool_mean(self.train_support, self.ivec, self.DIM), "vec")
-        return stage(vectors.masked_top_k(vec, self.ivec, self.train_mask, 40, exclude=self.cold), "train-pool")
+        return stage(vectors.masked_top_k(vec, self.ivec, self.train_mask, POOL, exclude=self.cold), "train-pool")
 
     @cached_property
     def train_labelled(self) -> DataFrame:
         return labels.label_train(self.train_pool, self.train_targets)
 
+    # -- ranker ------------------------------------------------------------------
+    def frame(self, pool: DataFrame, history: DataFrame, stats: DataFrame, ages: DataFrame) -> DataFrame:
+        """The 29 features of a pool whose users have these histories."""
+        return features.feature_frame(
+            pool, sims=features.history_similarity(pool, history, self.ivec),
+            aff=features.affinity(pool, features.user_taste(history, self.tags), self.tags), stats=stats, ages=ages,
+            numbers=self.numbers, codes=features.category_codes(self.ranker_items))
+
+    @cached_property
+    def train_features(self) -> DataFrame:
+        """Features and grades of the training pools of at most ``FIT_USERS`` users."""
+        users = stage(splits.sample_train_users(self.users, FIT_USERS).select("user_idx"), "fit-users")
+        pool, support = (df.join(users, "user_idx", "left_semi") for df in (self.train_pool, self.train_support))
+        frame = self.frame(pool, splits.ranked_history(support.withColumn("tie", F.lit(0))), features.user_stats(users, support),
+                           features.account_age(self.split.join(users, "user_idx", "left_semi"), self.profiles))
+        return stage(frame.join(self.train_labelled.select("user_idx", "anime_idx", "label"), ["user_idx", "anime_idx"]), "train-features")
+
+    @cached_property
+    def ranker(self):
+        return estimators.fit_ranker(self.train_features, iterations=5, depth=3)
+
+    def ranked(self, pool: DataFrame) -> DataFrame:
+        """A pool of evaluation users with the fitted ranker's ``pred``."""
+        return estimators.score_ranker(self.ranker, self.frame(pool, self.eval_history, self.eval_stats, self.ages))
+
     # -- recommendation ----------------------------------------------------------
     @cached_property
     def adult(self) -> DataFrame:
@@ -240,7 +269,7 @@ class World:
     @cached_property
     def warm_pool(self) -> DataFrame:
         """Warm, safe candidates with a linear stand-in prediction."""
-        pool = recommend.warm_pool(self.uvec, self.ivec, self.seen_rows, self.cold, self.adult, 40, 20)
+        pool = recommend.warm_pool(self.uvec, self.ivec, self.seen_rows, self.cold, self.adult, POOL, 20)
         joined = pool.join(self.numbers, "anime_idx").join(self.eval_stats, "user_idx")
         pred = (F.lit(0.5) * F.col("cos") + F.lit(0.03) * F.col("mal_score") + F.lit(0.02) * F.col("log_members")
                 + F.lit(0.01) * (F.col("mal_score") - F.col("u_mean_score")))

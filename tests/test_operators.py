@@ -55,6 +55,13 @@ def test_k_core_equals_brute_force(spark):
     assert want_users
 
 
+def test_k_core_warns_when_cut_short(spark):
+    # a chain: every round takes one end off
+    pairs = [(f"u{i}", j) for i in range(8) for j in (i, i + 1)]
+    with pytest.warns(UserWarning, match="not stable"):
+        cleaning.k_core(spark.createDataFrame(pairs, "username string, anime_id long"), 2, 2, max_rounds=1)
+
+
 def test_k_core_can_vanish(spark):
     users, items = cleaning.k_core(spark.createDataFrame([("a", 1)], "username string, anime_id long"))
     assert users.count() == 0 and items.count() == 0

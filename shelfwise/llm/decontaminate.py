@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: word pairs find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm.common import Words, chunks, map_batches, ngram_hashes
+from shelfwise.llm.common import Words, chunks, map_batches, mix
 
 PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 MATCH, MISMATCH, GAP = 2, -1, -1
+PAIR_BASE = np.uint64(0xD6E8FEB86659FD93)
+COMMON = 64                 # items that may share a word pair before it is left out where the rest suffices
 BLOCK_BYTES = 16 << 20      # benchmark text sent to the tasks at once
 
 
@@ -24,36 +26,55 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().translate(PUNCTUATION).split()
 
 
+def pair_hashes(hashes: np.ndarray, ahead: int) -> np.ndarray:
+    """Hash of each word with the one ``ahead`` places on; the same for every ``ahead``."""
+    return mix(mix(hashes[:-ahead]) + hashes[ahead:] * PAIR_BASE)
+
+
 class Items:
-    """The word hashes and n-gram seeds of a block of test items."""
+    """The word hashes and word pairs of a block of test items.
+
+    An alignment with a score of ``least`` of the item's own has M matches and at most ``2 * (M - least * m)`` edits for
+    an item of m words, so at least ``least * m - 1`` of its matches are followed by the next one with at most one edit
+    between: the two words are one or two apart in the item and in the text. ``need`` is that number, ``span`` the most
+    words such a passage can have. Both are bounds, so looking for ``need`` pairs within ``span`` words misses nothing.
+    """
 
-    def __init__(self, ids: list[int], texts: list[bytes], gram: int):
+    def __init__(self, ids: list[int], texts: list[bytes], gram: int, least: float):
         words = Words([normal_words(t) for t in texts])
         hashes = words.hashes()
         self.ids = ids
         self.words = [hashes[a:a + n] for a, n in zip(words.first.tolist(), words.counts.tolist())]
-        self.gram = gram
-        # items shorter than a seed are one seed by themselves and match only as a whole
+        self.need = np.ceil(least * words.counts - 1e-9).astype(np.int64) - 1
+        self.span = words.counts + np.floor(2 * words.counts * (1 - least) + 1e-9).astype(np.int64)
         keys, item, offset = [], [], []
         for i, w in enumerate(self.words):
-            g = ngram_hashes(w, gram)
-            keys.append(g)
-            item.append(np.full(len(g), i))
-            offset.append(np.arange(len(g)))
-        self.keys, self.item, self.offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, offset))
-        self.seeds = np.unique(self.keys)
-
-    def choose(self, counts: np.ndarray, reach: int) -> None:
-        """Of every ``reach`` consecutive seeds of an item keep the rarest: any copied run that long has one."""
-        rarity = counts[np.searchsorted(self.seeds, self.keys)]
-        keep = np.zeros(len(self.keys), bool)
-        for i in range(len(self.words)):
-            at = np.flatnonzero(self.item == i)
-            for k in range(max(1, len(at) - reach + 1)) if len(at) else ():
-                span = at[k:k + reach]
-                keep[span[np.argmin(rarity[span])]] = True
-        order = np.flatnonzero(keep)[np.argsort(self.keys[keep], kind="stable")]
-        self.keys, self.item, self.offset = self.keys[order], self.item[order], self.offset[order]
+            if len(w) < gram or self.need[i] < 1:
+                continue
+            for ahead in (1, 2):
+                g = pair_hashes(w, ahead)
+                keys.append(g)
+                item.append(np.full(len(g), i))
+                offset.append(np.arange(len(g)))
+        self.keys, self.item, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, offset))
+        if len(self.keys):
+            self._leave_out_common(offset)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.item = self.keys[order], self.item[order]
+
+    def _leave_out_common(self, offset: np.ndarray) -> None:
+        """Pairs at places whose pairs very many items share are not looked up, and ``need`` falls by one a place."""
+        _, same, n = np.unique(self.keys, return_inverse=True, return_counts=True)
+        keep = np.ones(len(self.keys), bool)
+        order = np.argsort(self.item, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
+            i = int(self.item[at[0]])
+            shared = np.bincount(offset[at], weights=n[same[at]])
+            places = np.argsort(-shared, kind="stable")[:int(self.need[i]) // 2]
+            places = places[shared[places] > COMMON]
+            keep[at[np.isin(offset[at], places)]] = False
+            self.need[i] -= len(places)
+        self.keys, self.item = self.keys[keep], self.item[keep]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,53 +103,43 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def candidates(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """``(item, first, stop)``: stretches of a text around seed hits of an item."""
-    grams = ngram_hashes(words, items.gram)
-    if not len(grams) or not len(items.keys):
+def candidates(words: Words, hashes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+    """``(text, item, first, stop)``: all stretches of the texts that hold enough word pairs of an item close together."""
+    if not len(items.keys) or not len(hashes):
         return []
-    low = np.searchsorted(items.keys, grams, "left")
-    hit = np.flatnonzero(items.keys[np.minimum(low, len(items.keys) - 1)] == grams)
-    if not len(hit):
+    owner = np.repeat(np.arange(len(words.counts)), words.counts)
+    places, lows, counts = [], [], []
+    for ahead in (1, 2):
+        if len(hashes) <= ahead:
+            continue
+        grams = pair_hashes(hashes, ahead)
+        low = np.searchsorted(items.keys, grams, "left")
+        hit = np.flatnonzero((items.keys[np.minimum(low, len(items.keys) - 1)] == grams) & (owner[:-ahead] == owner[ahead:]))
+        places.append(hit)
+        lows.append(low[hit])
+        counts.append(np.searchsorted(items.keys, grams[hit], "right") - low[hit])
+    place, low, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, lows, counts))
+    if not len(place):
         return []
-    found: dict[int, list[int]] = {}
-    stops = np.searchsorted(items.keys, grams[hit], "right")
-    for p, a, b in zip(hit.tolist(), low[hit].tolist(), stops.tolist()):
-        for k in range(a, b):
-            found.setdefault(int(items.item[k]), []).append(p - int(items.offset[k]))
-    out = []
-    for item, begins in found.items():
-        m = len(items.words[item])
-        begins.sort()
-        first = last = begins[0]
-        for s in begins[1:] + [None]:
-            if s is None or s > last + m:
-                out.append((item, max(0, first - m // 2), min(len(words), last + m + m // 2)))
-                first = s
-            last = s
-    return out
-
-
-def _seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each seed occurs."""
-    def run(batch):
-        total = np.zeros(len(items.seeds), np.int64)
-        texts = batch.column("text").to_pylist()
-        for part in chunks(texts):
-            words = Words([normal_words(t) for t in texts[part]])
-            grams = ngram_hashes(words.hashes(), items.gram)
-            owner = words.text_of(items.gram)[:len(grams)]
-            at = np.minimum(np.searchsorted(items.seeds, grams), len(items.seeds) - 1)
-            hit = (items.seeds[at] == grams) & (owner >= 0)
-            pairs = np.unique(np.stack([owner[hit], at[hit]]), axis=1)
-            total += np.bincount(pairs[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        return {"seed": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())}
-    rows = map_batches(docs.select("text"), run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.seeds), np.int64)
-    for r in rows:                                      # at most one row per seed of the block
-        counts[r.seed] = r.n
-    return counts
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    hits = np.unique(np.stack([items.item[np.repeat(low, n) + step], np.repeat(place, n)], axis=1), axis=0)
+    item, place = hits[:, 0], hits[:, 1]
+    last = np.arange(len(item)) + items.need[item] - 1
+    inside = np.minimum(last, len(item) - 1)
+    good = ((last < len(item)) & (item[inside] == item) & (owner[place[inside]] == owner[place])
+            & (place[inside] - place < items.span[item]))
+    item, place = item[good], place[good]
+    text, span = owner[place], items.span[item]
+    first = np.maximum(place - span, words.first[text])
+    stop = np.minimum(place + span, words.first[text] + words.counts[text])
+    out: list[list[int]] = []
+    for t, i, a, b in zip(text.tolist(), item.tolist(), first.tolist(), stop.tolist()):
+        if out and out[-1][:2] == [t, i] and a <= out[-1][3]:
+            out[-1][3] = b
+        else:
+            out.append([t, i, a, b])
+    # long stretches in pieces that overlap by the longest passage
+    return [(t, i, c, min(b, c + 8 * s)) for t, i, a, b in out for s in [int(items.span[i])] for c in range(a, max(a + 1, b - s), 7 * s)]
 
 
 def _matches(docs: DataFrame, items: Items, least: float) -> DataFrame:
@@ -138,10 +149,7 @@ def _matches(docs: DataFrame, items: Items, least: float) -> DataFrame:
         for part in chunks(texts):
             words = Words([normal_words(t) for t in texts[part]])
             hashes = words.hashes()
-            todo = []
-            for k, (a, n) in enumerate(zip(words.first.tolist(), words.counts.tolist())):
-                own = hashes[a:a + n]
-                todo += [(part.start + k, i, f, own[f:s]) for i, f, s in candidates(own, items)]
+            todo = [(part.start + t, i, a - int(words.first[t]), hashes[a:b]) for t, i, a, b in candidates(words, hashes, items)]
             todo.sort(key=lambda t: len(t[3]))
             for i in range(0, len(todo), 256):
                 some = todo[i:i + 256]
@@ -152,15 +160,14 @@ def _matches(docs: DataFrame, items: Items, least: float) -> DataFrame:
                         rows.append((ids[row], items.ids[item], share, first + stop))
         best_of: dict[tuple, tuple] = {}
         for doc, item, share, stop in rows:
-            if share > best_of.get((doc, item), (-1.0,))[0]:
-                best_of[doc, item] = (share, stop)
+            best_of[doc, item] = max((share, stop), best_of.get((doc, item), (-1.0, 0)))
         return {"doc_id": pa.array([d for d, _ in best_of], pa.int64()), "item_id": pa.array([i for _, i in best_of], pa.int64()),
                 "score": pa.array([v[0] for v in best_of.values()], pa.float64()),
                 "end_word": pa.array([v[1] for v in best_of.values()], pa.int64())}
     return map_batches(docs, run, "doc_id bigint, item_id bigint, score double, end_word bigint")
 
 
-def benchmark_blocks(benchmark: DataFrame, gram: int, block_bytes: int, id_col: str, text_col: str):
+def benchmark_blocks(benchmark: DataFrame, gram: int, least: float, block_bytes: int, id_col: str, text_col: str):
     """The test items in blocks of bounded size, each collected when its turn comes."""
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(
         "text IS NOT NULL").distinct()
@@ -169,28 +176,28 @@ def benchmark_blocks(benchmark: DataFrame, gram: int, block_bytes: int, id_col:
     for k in range(parts):
         block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).select("id", F.col("text").cast("binary")).collect()
         block.sort(key=lambda r: (r.id is None, r.id or 0, bytes(r.text)))
-        yield Items([r.id for r in block], [bytes(r.text) for r in block], gram)
+        yield Items([r.id for r in block], [bytes(r.text) for r in block], gram, least)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, gram: int = 3, reach: int = 3,
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, gram: int = 3,
                  block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, score, end_word)``: documents with a passage like a test item.
 
     ``score`` is the best local alignment (match 2, mismatch and gap -1) over that of the item with itself, at
     least ``least``; one row per id and item, with the best score. The benchmark, the stated query set, goes to
-    the tasks in blocks of ``block_bytes``; documents are read twice per block (seed counts, matches) and never
-    shuffled. A copied run of ``gram + reach - 1`` words has a seed, however common its words.
+    the tasks in blocks of ``block_bytes``; documents are read once per block and never shuffled. Every pair of
+    that score is found, however its edits are spread (:class:`Items`).
 
-    Null and empty texts and items match nothing, nor do items shorter than ``gram`` words. Repeated ids: as one
+    Null and empty texts and items match nothing, nor do items shorter than ``gram`` words or of which one word
+    alone would reach ``least``. Repeated ids: as one
     document where their rows meet in a batch, else by the final maximum. Null ids are reported as null.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     found = None
-    for items in benchmark_blocks(benchmark, gram, block_bytes, item_id, item_text):
-        if not len(items.seeds):
+    for items in benchmark_blocks(benchmark, gram, least, block_bytes, item_id, item_text):
+        if not len(items.keys):
             continue
-        items.choose(_seed_counts(rows, items), reach)
         part = _matches(rows, items, least)
         found = part if found is None else found.unionByName(part)
     if found is None:

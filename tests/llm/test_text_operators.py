@@ -152,3 +152,37 @@ def test_decontamination(spark):
     assert kept.count() == len(docs) - len(leaks) and kept.columns == frame(spark, []).columns
     assert decontaminate.contaminated(frame(spark, docs), bench.where("false")).count() == 0
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("common", [64, 0])
+def test_decontamination_finds_what_plain_alignment_finds(spark, monkeypatch, common):
+    """Copies with every k-th word replaced, doubled with filler or left out, against alignment of all pairs."""
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(30, 60))]) for i in range(8)] + [(8, ["v1", "v2", "v3"])]
+    docs = []
+    for d in range(70):
+        w = [rng.choice(vocabulary) for _ in range(100)]
+        passage, k = items[d % 8][1], d // 8
+        if k in (0, 1, 2, 3):
+            passage = [f"x{rng.randrange(10 ** 9)}" if j % (k + 2) == k + 1 else x for j, x in enumerate(passage)]
+        elif k in (4, 5):
+            passage = [y for j, x in enumerate(passage) for y in ([x, "filler"] if j % (k - 3) == 0 else [x])]
+        elif k in (6, 7):
+            passage = [x for j, x in enumerate(passage) if j % (k - 3)]
+        else:
+            passage = []
+        at = rng.randrange(100)
+        w[at:at] = passage
+        docs.append((d, w))
+    want = {}
+    for d, w in docs:
+        for i, x in items:
+            score = brute.smith_waterman(x, w) / 2 / len(x)
+            if score >= 0.5:
+                want[d, i] = score
+    assert {d // 8 for d, i in want if i == d % 8} >= {1, 2, 3, 4, 5, 6, 7}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id bigint, text string")
+    got = decontaminate.contaminated(frame(spark, [(d, " ".join(w)) for d, w in docs]), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm.common import components, map_batches
+from shelfwise.llm.common import Words, chunks, components, map_batches, ngram_hashes
 
 BITS = 64
 GROUP_LIMIT = 512       # larger groups of equal variants are linked by shared neighbourhoods instead
@@ -174,7 +174,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null ids last; then by a hash of the text)."""
-    rows = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    return _first_of_each(docs, near_duplicates(docs, shingle, max_bits, id_col, text_col), id_col, text_col)
+
+
+def _first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
     copies = rows.groupBy("root", "doc_id", "tkey").agg(F.count("*").alias("n"))
     kept = stage(copies.groupBy("root").agg(F.min_by("n", place).alias("n"), F.min(place).alias("m"))
@@ -188,3 +191,132 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# -- similarity of shingle sets --------------------------------------------------------
+SAMPLE, OFTEN, COMMON = 16, 4, 200_000      # one text in SAMPLE is counted; what is there OFTEN times is common, up to COMMON shingles
+CENTRES = 4
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct ``shingle``-word runs of each text; a shorter text is one run, one without words has none."""
+    words = Words([(t or b"").lower().split() for t in texts])
+    hashes = words.hashes()
+    out = []
+    for a, n in zip(words.first.tolist(), words.counts.tolist()):
+        out.append(np.unique(ngram_hashes(hashes[a:a + n], min(shingle, n)) if n else hashes[:0]).view(np.int64))
+    return out
+
+
+def set_key(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64)) if len(grams) else 0
+
+
+def _with_sets(docs: DataFrame, shingle: int, columns, schema: str) -> DataFrame:
+    """``columns(batch, rows, sets)`` of runs of texts."""
+    def run(batch):
+        texts = batch.column("text").to_pylist()
+        for part in chunks(texts):
+            yield columns(batch.slice(part.start, part.stop - part.start), shingle_sets(texts[part], shingle))
+    return map_batches(docs, run, schema)
+
+
+def _shared(batches):
+    """Of rows sorted by token and key: distinct ones whose token has several keys."""
+    held, known = None, False
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy() for c in ("token", "sig", "n")], axis=1)
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        if not len(rows):
+            continue
+        rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))]
+        same = rows[1:, 0] == rows[:-1, 0]
+        many = np.append(same, False) | np.append(known, same)
+        held, known = rows[-1:], bool(many[-1])
+        out = rows[:-1][many[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], ["token", "sig", "n"])
+    if held is not None and known:
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(3)], ["token", "sig", "n"])
+
+
+def similar_sets(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, tkey, root)``, one row per input row: components over pairs with a Jaccard similarity of ``least`` or more.
+
+    Exact: two sets that similar share one of the first ``n - ceil(least * n) + 1`` shingles in any order that is the
+    same for all texts. The order puts shingles that a sample finds common last, so few texts meet by them. Texts
+    that meet by a shingle are compared with ``CENTRES`` of them at most; then all pairs that this left in different
+    components are compared. Equal sets are one; texts without words are alike.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("tkey"),
+                       F.col(text_col).cast("binary").alias("text"))
+    marked = stage(_with_sets(rows, shingle, lambda batch, sets: {
+        "doc_id": batch.column("doc_id"), "tkey": batch.column("tkey"), "sig": pa.array([set_key(g) for g in sets], pa.int64())},
+        "doc_id bigint, tkey bigint, sig bigint"), "shingle-marks")
+
+    def sampled(batch, sets):
+        some = [g for g in sets if len(g) and set_key(g) % SAMPLE == 0]
+        return {"token": pa.array(np.concatenate(some) if some else np.zeros(0, np.int64), pa.int64())}
+    often = _with_sets(rows.select("text"), shingle, sampled, "token bigint").groupBy("token").count().where(F.col("count") >= OFTEN)
+    common = [r.token for r in often.orderBy(F.desc("count"), "token").limit(COMMON).collect()]
+    tokens = np.array(sorted(common), np.int64)
+    rank = np.zeros(len(tokens) + 1, np.int64)
+    rank[np.searchsorted(tokens, np.array(common, np.int64))] = np.arange(len(common), 0, -1)
+
+    def prefix(g: np.ndarray) -> np.ndarray:
+        size = len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1
+        if not len(tokens):
+            return g[:size]
+        at = np.minimum(np.searchsorted(tokens, g), len(tokens) - 1)
+        return g[np.argsort(np.where(tokens[at] == g, rank[at], 0), kind="stable")[:size]]
+
+    def prefixes(batch, sets):
+        firsts = [prefix(g) if len(g) else g for g in sets]
+        n = [len(f) for f in firsts]
+        return {"token": pa.array(np.concatenate(firsts), pa.int64()), "sig": pa.array(np.repeat([set_key(g) for g in sets], n), pa.int64()),
+                "n": pa.array(np.repeat([len(g) for g in sets], n), pa.int64())}
+    schema = "token bigint, sig bigint, n bigint"
+    meets = stage(_with_sets(rows.select("text"), shingle, prefixes, schema).repartition("token")
+                  .sortWithinPartitions("token", "sig").mapInArrow(_shared, schema), "shingle-meets")
+
+    # the sets of texts that meet another
+    firsts = marked.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("m")).join(
+        meets.select("sig").distinct(), "sig", "left_semi").select("m.doc_id", "m.tkey").distinct()
+    firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"))
+    texts = rows.join(firsts, rows.doc_id.eqNullSafe(firsts["_id"]) & (rows.tkey == firsts["_key"]), "left_semi").select("text")
+    sets = stage(_with_sets(texts, shingle, lambda batch, sets: {
+        "sig": pa.array([set_key(g) for g in sets], pa.int64()), "grams": pa.array([g.tolist() for g in sets], pa.list_(pa.int64()))},
+        "sig bigint, grams array<bigint>").dropDuplicates(["sig"]), "shingle-sets")
+
+    def close(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= F.greatest(n, m) * least - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(
+            sets.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
+        return both.where(F.col("same") >= (F.col("all") - F.col("same")) * least - 1e-9).select("a", "b")
+
+    def pair(a: Column, b: Column) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    centre = F.xxhash64("sig", F.pmod("token", F.lit(CENTRES)))
+    centres = meets.groupBy("token").agg(F.min_by(F.struct("sig", "n"), centre).alias("c"))
+    tried = stage(meets.join(centres, "token").where((F.col("sig") != F.col("c.sig")) & close(F.col("n"), F.col("c.n")))
+                  .select(*pair(F.col("sig"), F.col("c.sig"))).distinct(), "shingle-pairs")
+    edges = stage(verified(tried), "shingle-links")
+    roots = components(edges)
+    left = meets.join(roots, meets.sig == roots.node, "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    # tokens whose texts are all in one component are done
+    open_ = left.groupBy("token").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("token")
+    left = stage(left.join(open_, "token", "left_semi"), "shingle-open")
+    x, y = left.alias("x"), left.alias("y")
+    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & close(F.col("x.n"), F.col("y.n")))
+    more = more.select(*pair(F.col("x.sig"), F.col("y.sig"))).distinct().join(tried, ["a", "b"], "left_anti")
+    roots = components(edges.unionByName(verified(more)))
+    return marked.join(roots, marked.sig == roots.node, "left").select("doc_id", "tkey", F.coalesce("root", "sig").alias("root"))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of :func:`similar_sets`, chosen as by :func:`keep_one`."""
+    return _first_of_each(docs, similar_sets(docs, shingle, least, id_col, text_col), id_col, text_col)

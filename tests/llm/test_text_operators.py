@@ -186,3 +186,39 @@ def test_decontamination_finds_what_plain_alignment_finds(spark, monkeypatch, co
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id bigint, text string")
     got = decontaminate.contaminated(frame(spark, [(d, " ".join(w)) for d, w in docs]), bench).collect()
     assert {(r.doc_id, r.item_id): r.score for r in got} == want
+
+
+@pytest.mark.parametrize("often", [4, 1])
+def test_similar_sets_match_plain(spark, corpus, monkeypatch, often):
+    """Components at a five-word similarity of .8, just below and just above it, against all pairs."""
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    rng = random.Random(4)
+    rows = corpus + ODD
+    for k in range(40):
+        w = [f"t{k}_{i}" for i in range(200)]
+        rows = rows + [(1000 + 10 * k, " ".join(w))]
+        for j in range(1, 4):
+            v = list(w)
+            for at in rng.sample(range(200), rng.randrange(1, 8)):
+                v[at] = "new"
+            rows.append((1000 + 10 * k + j, " ".join(v)))
+    rows += [(3000 + k, " ".join([f"f{i}" for i in range(100)] + [f"g{k}_{i}" for i in range(k % 14)])) for k in range(80)]
+    sets = []
+    for _, t in rows:
+        w = brute.words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) * 5 >= len(a | sets[j]) * 4 and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    groups, want = {}, {}
+    for r in simhash.similar_sets(frame(spark, rows)).collect():
+        groups.setdefault(r.root, []).append((str(r.doc_id), r.tkey))
+    keys = {t: k for t, k in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").select("text", simhash.text_key("text")).collect()}
+    for (d, t), x in zip(rows, label):
+        want.setdefault(x, []).append((str(d), keys[t]))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    kept = simhash.keep_one_similar(frame(spark, rows))
+    assert kept.count() == len(want) and kept.columns == frame(spark, []).columns
+    assert simhash.keep_one_similar(frame(spark, [])).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
 from shelfwise.llm.common import Words, chunks, map_batches, mix
+from shelfwise.llm.simhash import text_key
 
 PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -144,7 +145,8 @@ def candidates(words: Words, hashes: np.ndarray, items: Items) -> list[tuple[int
 
 def _matches(docs: DataFrame, items: Items, least: float) -> DataFrame:
     def run(batch):
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist()))
+        texts = batch.column("text").to_pylist()
         rows: list[tuple] = []
         for part in chunks(texts):
             words = Words([normal_words(t) for t in texts[part]])
@@ -161,10 +163,11 @@ def _matches(docs: DataFrame, items: Items, least: float) -> DataFrame:
         best_of: dict[tuple, tuple] = {}
         for doc, item, share, stop in rows:
             best_of[doc, item] = max((share, stop), best_of.get((doc, item), (-1.0, 0)))
-        return {"doc_id": pa.array([d for d, _ in best_of], pa.int64()), "item_id": pa.array([i for _, i in best_of], pa.int64()),
+        return {"doc_id": pa.array([d for (d, _), _ in best_of], pa.int64()), "tkey": pa.array([t for (_, t), _ in best_of], pa.int64()),
+                "item_id": pa.array([i for _, i in best_of], pa.int64()),
                 "score": pa.array([v[0] for v in best_of.values()], pa.float64()),
                 "end_word": pa.array([v[1] for v in best_of.values()], pa.int64())}
-    return map_batches(docs, run, "doc_id bigint, item_id bigint, score double, end_word bigint")
+    return map_batches(docs, run, "doc_id bigint, tkey bigint, item_id bigint, score double, end_word bigint")
 
 
 def benchmark_blocks(benchmark: DataFrame, gram: int, least: float, block_bytes: int, id_col: str, text_col: str):
@@ -190,10 +193,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, gram
     that score is found, however its edits are spread (:class:`Items`).
 
     Null and empty texts and items match nothing, nor do items shorter than ``gram`` words or of which one word
-    alone would reach ``least``. Repeated ids: as one
-    document where their rows meet in a batch, else by the final maximum. Null ids are reported as null.
+    alone would reach ``least``. Repeated ids are reported as one document, null ids as null.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    found = _found(docs, benchmark, least, gram, block_bytes, id_col, text_col, item_id, item_text)
+    place = F.struct("score", "end_word")
+    return found.groupBy("doc_id", "item_id").agg(F.max(place).alias("m")).select("doc_id", "item_id", "m.score", "m.end_word")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least: float, gram: int, block_bytes: int, id_col: str, text_col: str, item_id: str,
+           item_text: str) -> DataFrame:
+    """The matches of every row, told apart by id and ``tkey``, a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("tkey"),
+                       F.col(text_col).cast("binary").alias("text"))
     found = None
     for items in benchmark_blocks(benchmark, gram, least, block_bytes, item_id, item_text):
         if not len(items.keys):
@@ -201,13 +212,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, gram
         part = _matches(rows, items, least)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = rows.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score double, end_word bigint")
-    place = F.struct("score", "end_word")
-    return found.groupBy("doc_id", "item_id").agg(F.max(place).alias("m")).select("doc_id", "item_id", "m.score", "m.end_word")
+        found = rows.sparkSession.createDataFrame([], "doc_id bigint, tkey bigint, item_id bigint, score double, end_word bigint")
+    return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that :func:`contaminated` reports; rows with a null id are judged by text alone."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    bad = stage(bad, "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, gram: int = 3, block_bytes: int = BLOCK_BYTES,
+          id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that have a passage as in :func:`contaminated`; rows that share an id, or have none, are
+    judged each by its own text."""
+    bad = _found(docs, benchmark, least, gram, block_bytes, id_col, text_col, item_id, item_text)
+    bad = stage(bad.select(F.col("doc_id").alias("_bad"), F.col("tkey").alias("_key")).distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(bad["_bad"]) & (text_key(text_col) == bad["_key"]), "left_anti")

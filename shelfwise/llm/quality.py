@@ -45,6 +45,11 @@ def meta_features(lang: Column, source: Column, n_chars: Column) -> Column:
     return F.array(*bucket(lang, BUCKETS), *bucket(source, 2 * BUCKETS), size, size * size, n_chars.isNull().cast("double"))
 
 
+def row_key(*cols: str) -> Column:
+    """Hash of what a row is scored by; a null is a value of its own."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).cast("string"), F.col(c).isNull())])
+
+
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
     return LogisticRegression(featuresCol="features", labelCol="label", maxIter=40, regParam=1e-4).fit(
         rows.select(array_to_vector(view).alias("features"), F.col("label").cast("double").alias("label")))
@@ -56,9 +61,11 @@ def _scored(rows: DataFrame, model: LogisticRegressionModel, view: str, out: str
     return done.withColumn(out, vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.98, id_col: str = "doc_id", text_col: str = "text",
+def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.98, id_col: str = "doc_id", text_col: str = "text",
                    lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
-    """``(doc_id, score, text_score, meta_score)``, one row per input row: the probability of label 1.
+    """``(doc_id, tkey, score, text_score, meta_score)``, one row per input row: the probability of label 1.
+
+    ``tkey`` (a hash of the text and the page data) tells rows with the same id apart.
 
     A fifth of the labelled rows (by hash of the id) is kept for calibration. In each round both views are fitted
     on the rest and on what the other view was ``sure`` of among the unlabelled rows. The log-odds of each view
@@ -70,13 +77,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: fl
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(
         F.round(F.avg(label_col)).cast("double").alias("label"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
-                       meta_features(F.col(lang_col), F.col(source_col), F.col(size_col)).alias("meta"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(text_col, lang_col, source_col, size_col).alias("tkey"),
+                       F.col(text_col).cast("binary").alias("text"), meta_features(F.col(lang_col), F.col(source_col), F.col(size_col)).alias("meta"))
 
     def features(batch):
-        return {"doc_id": batch.column("doc_id"), "meta": batch.column("meta"),
+        return {"doc_id": batch.column("doc_id"), "tkey": batch.column("tkey"), "meta": batch.column("meta"),
                 "words": pa.array([text_features(t).astype(np.float32) for t in batch.column("text").to_pylist()], pa.list_(pa.float32()))}
-    seen = map_batches(rows, features, "doc_id bigint, meta array<double>, words array<float>").withColumn(
+    seen = map_batches(rows, features, "doc_id bigint, tkey bigint, meta array<double>, words array<float>").withColumn(
         "words", F.col("words").cast("array<double>"))
     seen = stage(seen.join(known, "doc_id", "left"), "quality-views")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
@@ -87,7 +94,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: fl
     if len(kinds) < 2 or len(checks) < 2:
         every = kinds | checks
         flat = every.get(1.0, 0) / sum(every.values()) if len(every) == 2 else (next(iter(every)) if every else 1.0)
-        return seen.select("doc_id", *[F.lit(float(flat)).alias(c) for c in ("score", "text_score", "meta_score")])
+        return seen.select("doc_id", "tkey", *[F.lit(float(flat)).alias(c) for c in ("score", "text_score", "meta_score")])
 
     views = ("words", "meta")
     models = {v: _fit(train, v) for v in views}
@@ -100,7 +107,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: fl
             taught[own] = _fit(train.select(own, "label").unionByName(pseudo), own)
         models = taught
 
-    both = _scored(_scored(seen, models["words"], "words", "a"), models["meta"], "meta", "b").select("doc_id", "label", "a", "b")
+    both = _scored(_scored(seen, models["words"], "words", "a"), models["meta"], "meta", "b").select("doc_id", "tkey", "label", "a", "b")
     kept = stage(both.where(F.col("label").isNotNull() & held), "quality-check")
     platt = {}
     for c in ("a", "b"):
@@ -110,13 +117,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: fl
 
     def sigmoid(x: Column) -> Column:
         return 1 / (1 + F.exp(-x))
-    return both.select("doc_id", sigmoid(platt["a"] + platt["b"] - prior).alias("score"), sigmoid(platt["a"]).alias("text_score"),
+    return both.select("doc_id", "tkey", sigmoid(platt["a"] + platt["b"] - prior).alias("score"), sigmoid(platt["a"]).alias("text_score"),
                        sigmoid(platt["b"]).alias("meta_score"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those scored below ``least``; an id that several rows share goes only if all of them do."""
-    scores = quality_scores(docs, labels, id_col=id_col, **options)
-    bad = scores.groupBy("doc_id").agg(F.max("score").alias("score")).where(F.col("score") < least)
-    bad = stage(bad.select(F.col("doc_id").alias("_bad")), "rejected")
-    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(bad["_bad"]), "left_anti")
+def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``(doc_id, score, text_score, meta_score)`` of :func:`row_scores`, one row per input row."""
+    return row_scores(docs, labels, **options).drop("tkey")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+              source_col: str = "source", size_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` without the rows scored below ``least``; rows that share an id, or have none, are judged each by itself."""
+    cols = {"text_col": text_col, "lang_col": lang_col, "source_col": source_col, "size_col": size_col}
+    bad = row_scores(docs, labels, id_col=id_col, **cols, **options).where(F.col("score") < least)
+    bad = stage(bad.select(F.col("doc_id").alias("_bad"), F.col("tkey").alias("_key")).distinct(), "rejected")
+    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(bad["_bad"]) & (row_key(*cols.values()) == bad["_key"]), "left_anti")

@@ -158,6 +158,15 @@ def test_quality_learns_and_keeps(spark):
     assert quality.quality_scores(frame(spark, []), labels).count() == 0
 
 
+def test_quality_judges_rows_that_share_an_id(spark):
+    good = [f"the river runs over stone {i} slowly." for i in range(100)]
+    junk = [" ".join(w.upper() + "!!" for w in t.split()) for t in good]
+    rows = list(enumerate(good + junk)) + [(None, good[0]), (None, junk[0]), (900, good[1]), (900, junk[1])]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(200)], "doc_id bigint, quality int")
+    kept = {(r.doc_id, r.text) for r in quality.keep_good(frame(spark, rows), labels).collect()}
+    assert kept & set(rows[200:]) == {rows[200], rows[202]}
+
+
 def test_folding():
     assert toxicity.folded("1d1ot, ЅTUPID l0ser! m0r0n 1234 ＦＵＬＬ heat$$$") == ["idiot", "stupid", "loser", "moron", "1234", "full", "heat"]
     assert toxicity.folded(None) == [] and toxicity.folded(" . ") == []

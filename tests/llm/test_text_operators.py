@@ -222,3 +222,11 @@ def test_similar_sets_match_plain(spark, corpus, monkeypatch, often):
     kept = simhash.keep_one_similar(frame(spark, rows))
     assert kept.count() == len(want) and kept.columns == frame(spark, []).columns
     assert simhash.keep_one_similar(frame(spark, [])).count() == 0
+
+
+def test_rows_are_judged_each_by_its_text(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, f"x {item} y"), (None, "clean"), (5, item), (5, "clean too"), (6, None)]
+    kept = decontaminate.clean(frame(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("5", "clean too"), ("6", "None"), ("None", "clean")]

@@ -72,7 +72,8 @@ def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float
     are then calibrated (Platt) on the kept rows and added, less the prior they share.
 
     Labels that are null are ignored; several for one id: their mean, rounded. Without labels of both kinds every
-    score is their share (1 if there are none), so nothing is rejected for want of labels. Null and empty texts,
+    score is 1, so nothing is rejected for want of labels; with both, but not both in the fifth and in the rest, the
+    views are fitted on all labels and not calibrated. Null and empty texts,
     null page data and null ids are scored like any others.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(
@@ -91,10 +92,12 @@ def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float
     free = seen.where("label IS NULL")
     kinds = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
     checks = {r.label: r["count"] for r in check.groupBy("label").count().collect()}
-    if len(kinds) < 2 or len(checks) < 2:
-        every = kinds | checks
-        flat = every.get(1.0, 0) / sum(every.values()) if len(every) == 2 else (next(iter(every)) if every else 1.0)
-        return seen.select("doc_id", "tkey", *[F.lit(float(flat)).alias(c) for c in ("score", "text_score", "meta_score")])
+    if len(kinds.keys() | checks.keys()) < 2:
+        return seen.select("doc_id", "tkey", *[F.lit(1.0).alias(c) for c in ("score", "text_score", "meta_score")])
+    calibrated = len(kinds) == len(checks) == 2
+    if not calibrated:
+        train = seen.where(F.col("label").isNotNull())
+        checks = {k: kinds.get(k, 0) + checks.get(k, 0) for k in (0.0, 1.0)}
 
     views = ("words", "meta")
     models = {v: _fit(train, v) for v in views}
@@ -108,11 +111,12 @@ def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float
         models = taught
 
     both = _scored(_scored(seen, models["words"], "words", "a"), models["meta"], "meta", "b").select("doc_id", "tkey", "label", "a", "b")
-    kept = stage(both.where(F.col("label").isNotNull() & held), "quality-check")
-    platt = {}
-    for c in ("a", "b"):
-        m = LogisticRegression(maxIter=40, regParam=1e-4).fit(kept.select(array_to_vector(F.array(c)).alias("features"), "label"))
-        platt[c] = F.col(c) * float(m.coefficients[0]) + float(m.intercept)
+    platt = {c: F.col(c) for c in ("a", "b")}
+    if calibrated:
+        kept = stage(both.where(F.col("label").isNotNull() & held), "quality-check")
+        for c in platt:
+            m = LogisticRegression(maxIter=40, regParam=1e-4).fit(kept.select(array_to_vector(F.array(c)).alias("features"), "label"))
+            platt[c] = F.col(c) * float(m.coefficients[0]) + float(m.intercept)
     prior = float(np.log(checks[1.0] / checks[0.0]))
 
     def sigmoid(x: Column) -> Column:

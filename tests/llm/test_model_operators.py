@@ -167,6 +167,18 @@ def test_quality_judges_rows_that_share_an_id(spark):
     assert kept & set(rows[200:]) == {rows[200], rows[202]}
 
 
+def test_quality_with_few_labels(spark):
+    good = [f"the river runs over stone {i} slowly." for i in range(60)]
+    junk = [" ".join(w.upper() + "!!" for w in t.split()) for t in good]
+    rows = list(enumerate(good + junk))
+    # one label of its kind: it is in the held fifth or in the rest, never in both
+    few = spark.createDataFrame([(0, 1)] + [(i, 0) for i in range(60, 90)], "doc_id bigint, quality int")
+    kept = [r.doc_id for r in quality.keep_good(frame(spark, rows), few).collect()]
+    assert sorted(kept) == list(range(60))
+    zeros = quality.quality_scores(frame(spark, rows), few.where("quality = 0"))
+    assert {r.score for r in zeros.collect()} == {1.0}
+
+
 def test_folding():
     assert toxicity.folded("1d1ot, ЅTUPID l0ser! m0r0n 1234 ＦＵＬＬ heat$$$") == ["idiot", "stupid", "loser", "moron", "1234", "full", "heat"]
     assert toxicity.folded(None) == [] and toxicity.folded(" . ") == []

@@ -96,31 +96,61 @@ def windows(places: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def grams(places: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct phrases at ``at``: place of one, phrase number of every place, occurrences. Exact: numbers of
-    shorter phrases and the next word make one 64-bit number."""
-    number = places[at].astype(np.int64)
+def grams(places: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct phrases at ``at``: place of one, phrase number of every place, occurrences, and what :func:`located`
+    needs. Exact: the number of the shorter phrase and the next word make one 64-bit number."""
+    number, levels = places[at].astype(np.int64), []
     for j in range(1, k):
         if j > 1:
-            number = np.unique(number, return_inverse=True)[1]
+            level, number = np.unique(number, return_inverse=True)
+            levels.append(level)
         number = number << 32 | places[at + j].astype(np.int64)
-    _, first, number, n = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-    return at[first], number, n
+    level, first, number, n = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+    return at[first], number, n, [*levels, level]
+
+
+def located(levels: list[np.ndarray], phrase: list[np.ndarray]) -> np.ndarray:
+    """Numbers of phrases (a column per word) that occur among those of ``grams``."""
+    number = phrase[0].astype(np.int64)
+    for level, word in zip(levels, phrase[1:]):
+        number = np.searchsorted(level, number << 32 | word.astype(np.int64))
+    return number
+
+
+def _rows(chunk: int | None, places: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    first, _, n, _ = grams(places, windows(places, k), k)
+    for i in range(0, len(first), 1 << 18):
+        some = first[i:i + (1 << 18)]
+        cols = {f"w{j}": pa.array(places[some + j]) for j in range(k)}
+        own = {} if chunk is None else {"chunk": pa.repeat(pa.scalar(chunk, pa.int64()), len(some))}
+        # what repeats from row to row comes first, which compresses well
+        yield pa.RecordBatch.from_pydict({"w0": cols.pop("w0")} | own | {"n": pa.array(n[i:i + len(some)], pa.int64())} | cols)
 
 
 def _count(k: int):
-    """A chunk's distinct phrases of ``k`` words."""
+    """Distinct phrases of ``k`` words of every chunk."""
     def run(batches):
         for batch in batches:
             for row in batch.select(["chunk", "size", "places"]).to_pylist():
-                places = _places(row["size"], row["places"])
-                first, _, n = grams(places, windows(places, k), k)
-                for i in range(0, len(first), 1 << 18):
-                    some = first[i:i + (1 << 18)]
-                    cols = {f"w{j}": pa.array(places[some + j]) for j in range(k)}
-                    yield pa.RecordBatch.from_pydict(cols | {
-                        "chunk": pa.repeat(pa.scalar(row["chunk"], pa.int64()), len(some)),
-                        "gram": pa.array(np.arange(i, i + len(some)), pa.int32()), "n": pa.array(n[i:i + len(some)], pa.int64())})
+                yield from _rows(row["chunk"], _places(row["size"], row["places"]), k)
+    return run
+
+
+def _count_last(k: int):
+    """Distinct phrases of all chunks of a language that a task reads, some at a time: no place is looked for again."""
+    def run(batches):
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for row in batch.select(["lang", "size", "places"]).to_pylist():
+                held.setdefault(row["lang"], []).extend((_places(row["size"], row["places"]), np.full(1, -1, np.int32)))
+                size += row["size"]
+                if size >= HELD // 4:
+                    for parts in held.values():
+                        yield from _rows(None, np.concatenate(parts), k)
+                    held, size = {}, 0
+        for parts in held.values():
+            yield from _rows(None, np.concatenate(parts), k)
     return run
 
 
@@ -150,9 +180,9 @@ def _frequent(k: int):
         row = left.to_pylist()[0]
         places = _places(row["size"], row["places"])
         at = windows(places, k)
-        first, number, _ = grams(places, at, k)
+        first, number, _, levels = grams(places, at, k)
         good = np.zeros(len(first), bool)
-        good[right.column("gram").to_numpy()] = True
+        good[located(levels, [right.column(f"w{j}").to_numpy() for j in range(k)])] = True
         at = at[good[number]]
         begins = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
         length = np.diff(np.append(begins, len(at))) + k                # the words of a run, and its end
@@ -192,20 +222,23 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, cover: int = 80,
     known = stage(known.select(F.struct("lang", "word").alias("key"), "a"), "frequent-words")
     names = stage(dense_index(known, "key", "id").select("key.lang", "key.word", "id", "a"), "word-ids")
     hits = own.join(names.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), "local", "id")
-    old, relation = base, stage(base.select("chunk", "lang", "size", "places").groupBy("chunk").cogroup(hits.groupBy("of"))
-                                .applyInArrow(_frequent_words, RELATION), "places-1")
+    relation = stage(base.select("chunk", "lang", "size", "places").groupBy("chunk").cogroup(hits.groupBy("of"))
+                     .applyInArrow(_frequent_words, RELATION), "places-1")
     counted = [names.select(F.array("id").alias("key"), "a")]
     for k in range(2, longest + 1):
         ids = [f"w{j}" for j in range(k)]
-        schema = ", ".join(f"{c} int" for c in ids) + ", chunk bigint, gram int, n bigint"
+        rest = "".join(f", {c} int" for c in ids[1:])
+        if k == longest:
+            hits = relation.mapInArrow(_count_last(k), f"w0 int, n bigint{rest}").groupBy(*ids).agg(F.sum("n").alias("a"))
+            counted.append(hits.where(F.col("a") >= least).select(F.array(*ids).alias("key"), "a"))
+            break
         all_of = F.sum("n").over(Window.partitionBy(*ids))
-        hits = relation.mapInArrow(_count(k), schema).withColumn("a", all_of).where(F.col("a") >= least)
-        hits = stage(hits, f"frequent-{k}")
+        hits = relation.mapInArrow(_count(k), f"w0 int, chunk bigint, n bigint{rest}").withColumn("a", all_of)
+        hits = stage(hits.where(F.col("a") >= least).select("chunk", *ids, "a"), f"frequent-{k}")
         counted.append(hits.select(F.array(*ids).alias("key"), "a").distinct())
-        if k < longest:
-            old, relation = relation, stage(relation.groupBy("chunk").cogroup(hits.select(F.col("chunk").alias("of"), "gram").groupBy("of"))
-                                            .applyInArrow(_frequent(k), RELATION), f"places-{k}")
-            discard(old)
+        found = hits.select(F.col("chunk").alias("of"), *ids).groupBy("of")
+        old, relation = relation, stage(relation.groupBy("chunk").cogroup(found).applyInArrow(_frequent(k), RELATION), f"places-{k}")
+        discard(old)
     counts = counted[0]
     for more in counted[1:]:
         counts = counts.unionByName(more)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.staging import stage
+from shelfwise.functions.staging import discard, stage
 from shelfwise.llm.common import Words, chunks, components, map_batches, ngram_hashes
 
 BITS = 64
@@ -195,7 +195,8 @@ def fingerprint_hex(fp: Column) -> Column:
 
 # -- similarity of shingle sets --------------------------------------------------------
 SAMPLE, OFTEN, COMMON = 16, 4, 200_000      # one text in SAMPLE is counted; what is there OFTEN times is common, up to COMMON shingles
-CENTRES = 4
+CENTRES, MOST_CENTRES = 4, 64         # texts that the others of a token are compared with, at first and at last
+CROWD = 64                          # components of a token that are few enough for all their pairs
 
 
 def shingle_sets(texts: list[bytes | None], shingle: int) -> list[np.ndarray]:
@@ -213,19 +214,33 @@ def set_key(grams: np.ndarray) -> int:
 
 
 def _with_sets(docs: DataFrame, shingle: int, columns, schema: str) -> DataFrame:
-    """``columns(batch, rows, sets)`` of runs of texts."""
+    """``columns(batch, sets)`` of runs of texts; ``sets`` holds one array per row, the same object for equal texts."""
     def run(batch):
         texts = batch.column("text").to_pylist()
         for part in chunks(texts):
-            yield columns(batch.slice(part.start, part.stop - part.start), shingle_sets(texts[part], shingle))
+            own = dict.fromkeys(texts[part])
+            own = dict(zip(own, shingle_sets(list(own), shingle)))
+            yield columns(batch.slice(part.start, part.stop - part.start), [own[t] for t in texts[part]])
     return map_batches(docs, run, schema)
 
 
+def pack_set(grams: np.ndarray) -> bytes:
+    """Sorted hashes as compressed steps, a byte plane after the other."""
+    steps = np.diff(np.sort(grams.view(np.uint64)), prepend=np.uint64(0))
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack_set(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
+
+
 def _shared(batches):
     """Of rows sorted by token and key: distinct ones whose token has several keys."""
+    names = ("token", "sig", "n", "pos")
     held, known = None, False
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy() for c in ("token", "sig", "n")], axis=1)
+        rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
         if held is not None:
             rows = np.concatenate([held, rows])
         if not len(rows):
@@ -235,85 +250,137 @@ def _shared(batches):
         many = np.append(same, False) | np.append(known, same)
         held, known = rows[-1:], bool(many[-1])
         out = rows[:-1][many[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], ["token", "sig", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(4)], list(names))
     if held is not None and known:
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(3)], ["token", "sig", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(4)], list(names))
+
+
+def _compare(columns: list[str], read, similar):
+    """Of rows sorted by pair, two each: pairs for which ``similar(n, set, m, set)`` holds."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            out = []
+            for a, b, n, *more in zip(*(batch.column(c).to_pylist() for c in ["a", "b", "n", *columns])):
+                if held is None or held[:2] != (a, b):
+                    held = (a, b, n, read(n, *more))
+                else:
+                    if similar(*held[2:], n, read(n, *more)):
+                        out.append((a, b))
+                    held = None
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+    return run
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _common(rows: DataFrame, shingle: int) -> list[int]:
+    """At most ``COMMON`` shingles that a sample of the distinct texts has ``OFTEN`` times, the commonest first."""
+    some = rows.where(F.pmod("tkey", F.lit(SAMPLE)) == 0).dropDuplicates(["tkey"]).select("text")
+    often = _with_sets(some, shingle, lambda batch, sets: {"token": pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64())},
+                       "token bigint").groupBy("token").count().where(F.col("count") >= OFTEN)
+    return [r.token for r in often.orderBy(F.desc("count"), "token").limit(COMMON).collect()]
 
 
 def similar_sets(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, tkey, root)``, one row per input row: components over pairs with a Jaccard similarity of ``least`` or more.
 
     Exact: two sets that similar share one of the first ``n - ceil(least * n) + 1`` shingles in any order that is the
-    same for all texts. The order puts shingles that a sample finds common last, so few texts meet by them. Texts
-    that meet by a shingle are compared with ``CENTRES`` of them at most; then all pairs that this left in different
-    components are compared. Equal sets are one; texts without words are alike.
+    same for all texts, and at the first one they share each has enough left behind it. The order puts shingles that a
+    sample finds common last, so texts that share no more than a common passage do not meet. Texts that meet by a
+    shingle are compared with ``CENTRES`` of them at most; while that leaves a crowd of components, with more of them;
+    then all pairs that are still in different components and may be similar by size and place are compared. Equal sets are one; texts without words are alike; an
+    empty table gives no rows. Shingles are shuffled for the first text of a set in each batch alone, and sets only for
+    pairs that are compared.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("tkey"),
-                       F.col(text_col).cast("binary").alias("text"))
-    marked = stage(_with_sets(rows, shingle, lambda batch, sets: {
-        "doc_id": batch.column("doc_id"), "tkey": batch.column("tkey"), "sig": pa.array([set_key(g) for g in sets], pa.int64())},
-        "doc_id bigint, tkey bigint, sig bigint"), "shingle-marks")
-
-    def sampled(batch, sets):
-        some = [g for g in sets if len(g) and set_key(g) % SAMPLE == 0]
-        return {"token": pa.array(np.concatenate(some) if some else np.zeros(0, np.int64), pa.int64())}
-    often = _with_sets(rows.select("text"), shingle, sampled, "token bigint").groupBy("token").count().where(F.col("count") >= OFTEN)
-    common = [r.token for r in often.orderBy(F.desc("count"), "token").limit(COMMON).collect()]
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_key(f"`{text_col}`").alias("tkey"),
+                       F.col(f"`{text_col}`").cast("binary").alias("text"))
+    common = _common(rows, shingle)
     tokens = np.array(sorted(common), np.int64)
     rank = np.zeros(len(tokens) + 1, np.int64)
     rank[np.searchsorted(tokens, np.array(common, np.int64))] = np.arange(len(common), 0, -1)
 
     def prefix(g: np.ndarray) -> np.ndarray:
-        size = len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1
+        size = len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1 if len(g) else 0
         if not len(tokens):
             return g[:size]
         at = np.minimum(np.searchsorted(tokens, g), len(tokens) - 1)
         return g[np.argsort(np.where(tokens[at] == g, rank[at], 0), kind="stable")[:size]]
 
-    def prefixes(batch, sets):
-        firsts = [prefix(g) if len(g) else g for g in sets]
-        n = [len(f) for f in firsts]
-        return {"token": pa.array(np.concatenate(firsts), pa.int64()), "sig": pa.array(np.repeat([set_key(g) for g in sets], n), pa.int64()),
-                "n": pa.array(np.repeat([len(g) for g in sets], n), pa.int64())}
-    schema = "token bigint, sig bigint, n bigint"
-    meets = stage(_with_sets(rows.select("text"), shingle, prefixes, schema).repartition("token")
-                  .sortWithinPartitions("token", "sig").mapInArrow(_shared, schema), "shingle-meets")
-
-    # the sets of texts that meet another
-    firsts = marked.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("m")).join(
-        meets.select("sig").distinct(), "sig", "left_semi").select("m.doc_id", "m.tkey").distinct()
-    firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"))
-    texts = rows.join(firsts, rows.doc_id.eqNullSafe(firsts["_id"]) & (rows.tkey == firsts["_key"]), "left_semi").select("text")
-    sets = stage(_with_sets(texts, shingle, lambda batch, sets: {
-        "sig": pa.array([set_key(g) for g in sets], pa.int64()), "grams": pa.array([g.tolist() for g in sets], pa.list_(pa.int64()))},
-        "sig bigint, grams array<bigint>").dropDuplicates(["sig"]), "shingle-sets")
-
-    def close(n: Column, m: Column) -> Column:
-        return F.least(n, m) >= F.greatest(n, m) * least - 1e-9
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(
-            sets.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
-        return both.where(F.col("same") >= (F.col("all") - F.col("same")) * least - 1e-9).select("a", "b")
+    def marks(batch, sets):
+        sigs = [set_key(g) for g in sets]
+        first: dict[int, int] = {}
+        firsts = [prefix(g) if first.setdefault(s, i) == i else g[:0] for i, (s, g) in enumerate(zip(sigs, sets))]
+        ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+        return {"doc_id": batch.column("doc_id"), "tkey": batch.column("tkey"), "sig": pa.array(sigs, pa.int64()),
+                "n": pa.array(list(map(len, sets)), pa.int64()), "prefix": pa.ListArray.from_arrays(ends, np.concatenate(firsts))}
+    marked = stage(_with_sets(rows, shingle, marks, "doc_id bigint, tkey bigint, sig bigint, n bigint, prefix array<bigint>"), "shingle-marks")
+    meets = marked.select(F.posexplode("prefix").alias("pos", "token"), "sig", "n").select("token", "sig", "n", F.col("pos").cast("bigint").alias("pos"))
+    schema = "token bigint, sig bigint, n bigint, pos bigint"
+    meets = stage(meets.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_shared, schema), "shingle-meets")
+
+    def may(n: Column, i: Column, m: Column, j: Column) -> Column:
+        return ((F.least(n, m) >= F.greatest(n, m) * least - 1e-9)
+                & (F.least(n - i, m - j) >= (n + m) * (least / (1 + least)) - 1e-6))
 
     def pair(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    centre = F.xxhash64("sig", F.pmod("token", F.lit(CENTRES)))
-    centres = meets.groupBy("token").agg(F.min_by(F.struct("sig", "n"), centre).alias("c"))
-    tried = stage(meets.join(centres, "token").where((F.col("sig") != F.col("c.sig")) & close(F.col("n"), F.col("c.n")))
-                  .select(*pair(F.col("sig"), F.col("c.sig"))).distinct(), "shingle-pairs")
-    edges = stage(verified(tried), "shingle-links")
-    roots = components(edges)
-    left = meets.join(roots, meets.sig == roots.node, "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
-    # tokens whose texts are all in one component are done
-    open_ = left.groupBy("token").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("token")
-    left = stage(left.join(open_, "token", "left_semi"), "shingle-open")
+    def by_pair(pairs: DataFrame, sets: DataFrame, *how) -> DataFrame:
+        asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
+        both = asked.join(sets, "sig").drop("sig")
+        return both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compare(*how), "a bigint, b bigint")
+
+    def enough(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        """What the prefixes share, and all that may follow the one that ends first, reaches the limit."""
+        return _same(x, y) + max(n - len(x), m - len(y)) >= (n + m) * (least / (1 + least)) - 1e-6
+
+    def alike(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        same = _same(x, y)
+        return same >= (n + m - same) * least - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``pairs`` that are similar: first by their prefixes, then by whole sets, made again for their texts alone."""
+        prefixes = marked.where(F.size("prefix") > 0).select("sig", "n", "prefix").dropDuplicates(["sig"])
+        pairs = stage(by_pair(pairs, prefixes, ["prefix"], lambda n, x: np.array(x, np.int64), enough), "shingle-likely")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        one = marked.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("m"))
+        one = one.select(F.col("m.doc_id").alias("_id"), F.col("m.tkey").alias("_key")).distinct()
+        texts = rows.join(one, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.tkey == F.col("_key")), "left_semi").select("text")
+        sets = _with_sets(texts, shingle, lambda batch, sets: {
+            "sig": pa.array([set_key(g) for g in sets], pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64()),
+            "packed": pa.array([pack_set(g) for g in sets], pa.binary())}, "sig bigint, n bigint, packed binary").dropDuplicates(["sig"])
+        return by_pair(pairs, sets, ["packed"], lambda n, packed: unpack_set(packed, n), alike)
+
+    left, tried, edges, centres = meets.withColumn("root", F.col("sig")), None, None, CENTRES
+    while True:
+        centre = F.xxhash64("sig", F.pmod("token", F.lit(centres)), F.lit(centres))
+        chosen = left.groupBy("token").agg(F.min_by(F.struct("sig", "n", "pos", "root"), centre).alias("c"))
+        new = left.join(chosen, "token").where((F.col("root") != F.col("c.root")) & may(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+        new = new.select(*pair(F.col("sig"), F.col("c.sig"))).distinct()
+        new = stage(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+        tried = new if tried is None else tried.unionByName(new)
+        edges = stage(verified(new) if edges is None else edges.unionByName(verified(new)), "shingle-links")
+        roots = components(edges)
+        named = meets.join(roots, meets.sig == roots.node, "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
+        # tokens whose texts are all in one component are done
+        several = named.select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1")
+        several = stage(several, "shingle-several")
+        left = stage(named.join(several.select("token"), "token", "left_semi"), "shingle-open")
+        crowd = several.agg(F.coalesce(F.max("roots"), F.lit(0))).first()[0]
+        if centres >= MOST_CENTRES or crowd <= CROWD:
+            break
+        centres *= 4
     x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & close(F.col("x.n"), F.col("y.n")))
-    more = more.select(*pair(F.col("x.sig"), F.col("y.sig"))).distinct().join(tried, ["a", "b"], "left_anti")
-    roots = components(edges.unionByName(verified(more)))
+    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root"))
+                  & may(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    more = stage(more.select(*pair(F.col("x.sig"), F.col("y.sig"))).distinct().join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+    discard(meets, left)
+    if not more.isEmpty():
+        edges = stage(edges.unionByName(verified(more)), "shingle-links")
+        roots = components(edges)
     return marked.join(roots, marked.sig == roots.node, "left").select("doc_id", "tkey", F.coalesce("root", "sig").alias("root"))
 
 

@@ -191,6 +191,9 @@ _EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, status STRING, v
 _PAGE_SCHEMA = "page_id BIGINT, ts TIMESTAMP, html STRING"
 
 
+FILES = 4           # files of an appended batch
+
+
 def _in_files(df, by, path, parts=3, overlap=False):
     """Write ``df`` as ``parts`` appended batches in ``by`` order; ``overlap`` repeats earlier rows as an at-least-once log does."""
     lo, hi = df.agg(F.min(by)).scalar(), df.agg(F.max(by)).scalar()
@@ -200,10 +203,15 @@ def _in_files(df, by, path, parts=3, overlap=False):
         cond = F.col("_part") == i
         if overlap and i:
             cond = cond | ((F.col("_part") == i - 1) & (F.col(by) % 5 == 0))
-        tagged.where(cond).drop("_part").coalesce(1).write.mode("append").json(path)
+        tagged.where(cond).drop("_part").repartition(FILES).write.mode("append").json(path)
     return path
 
 
+def _stream(w, path, schema):
+    """One appended batch at a time."""
+    return st.read_log(w.spark, path, schema, FILES)
+
+
 def _event_files(w, overlap=False):
     return _in_files(crawl_states(w), "event_id", _folder(w, "events"), overlap=overlap)
 
@@ -213,20 +221,26 @@ def _page_files(w):
     return _in_files(w.table("pages").select("page_id", ts, "html"), "page_id", _folder(w, "pages"))
 
 
+def _discovered(w, horizon_minutes):
+    registry = st.NameRegistry(w.spark, _folder(w, "registry"), buckets=16)
+    sightings = st.name_sightings(_stream(w, _page_files(w), _PAGE_SCHEMA), HREF)
+    st.run_batches(st.fresh_names(sightings, horizon_minutes), registry.add, _folder(w, "cp"), mode="update")
+    return registry
+
+
 @query("str_1", "SELECT DISTINCT lower(name) AS key FROM links")
 def str_1(w):
-    out = _folder(w, "names")
-    st.run_append(st.discovered_names(st.read_log(w.spark, _page_files(w), _PAGE_SCHEMA), HREF), out, _folder(w, "cp"))
-    return w.spark.read.schema("key STRING").parquet(out)
+    """Recent names are state that expires; older ones are recognised by the registry."""
+    return _discovered(w, 2).table().select("key")
 
 
 @query("str_2", "SELECT user_id, CAST(floor(value) AS BIGINT) % 10 AS slot, arg_max(status, event_id) AS status, max(event_id) AS event_id FROM clog GROUP BY 1, 2")
 def str_2(w):
     """At-least-once files merged to the newest row per key; the last batch is delivered twice."""
     schema = "user_id BIGINT, slot BIGINT, event_id BIGINT, status STRING"
-    keyed = st.read_log(w.spark, _event_files(w, overlap=True), _EVENT_SCHEMA).select(
+    keyed = _stream(w, _event_files(w, overlap=True), _EVENT_SCHEMA).select(
         "user_id", (F.floor("value") % 10).alias("slot"), "event_id", "status")
-    table = st.KeepLastTable(w.spark, _folder(w, "keep-last"), ["user_id", "slot"], "event_id", schema, buckets=8)
+    table = st.KeepLastTable(w.spark, _folder(w, "keep-last"), ["user_id", "slot"], "event_id", schema, fan=2)
 
     def twice(batch, batch_id):
         table.merge(batch, batch_id)
@@ -238,17 +252,17 @@ def str_2(w):
 @query("str_3", "SELECT status, count(*) AS n FROM clog GROUP BY status")
 def str_3(w):
     board = st.StatusBoard(w.spark, _folder(w, "board"))
-    st.run_batches(st.live_status(st.read_log(w.spark, _event_files(w), _EVENT_SCHEMA)), board.show, _folder(w, "cp"), mode="complete")
+    st.run_batches(st.live_status(_stream(w, _event_files(w), _EVENT_SCHEMA)), board.show, _folder(w, "cp"), mode="complete")
     return board.table()
 
 
 @query("str_4", """SELECT 1704067200 + first // 60 * 60 AS start, count(*) AS n_new FROM (
 SELECT lower(name) AS key, min(page_id * 7) AS first FROM links GROUP BY 1) GROUP BY 1""")
 def str_4(w):
-    pages = st.read_log(w.spark, _page_files(w), _PAGE_SCHEMA)
-    registry = st.NameRegistry(w.spark, _folder(w, "registry"))
-    st.run_batches(st.name_sightings(pages, HREF), registry.add, _folder(w, "cp"))
-    return registry.per_interval().withColumn("start", F.unix_timestamp("start"))
+    """First sightings, counted by event-time windows of a second stream."""
+    registry, board = _discovered(w, 60), st.IntervalBoard(w.spark, _folder(w, "intervals"))
+    st.run_batches(st.names_per_interval(registry.stream(), late="100 days"), board.show, _folder(w, "cp"), mode="update")
+    return board.table().withColumn("start", F.unix_timestamp("start"))
 
 
 @query("str_5", "SELECT run, n FROM (SELECT unnest([1, 2, 3]) AS run, unnest([(SELECT count(*) FROM clog WHERE event_id < 5000), (SELECT count(*) FROM clog WHERE event_id < 5000), (SELECT count(*) FROM clog)]) AS n)")
@@ -260,19 +274,26 @@ def str_5(w):
     counts = []
     for run, new in ((1, early), (2, None), (3, late)):
         if new is not None:
-            new.coalesce(1).write.mode("append").json(path)
-        st.run_append(st.read_log(w.spark, path, _EVENT_SCHEMA), out, cp)
+            new.repartition(FILES).write.mode("append").json(path)
+        st.run_append(_stream(w, path, _EVENT_SCHEMA), out, cp)
         counts.append((run, w.spark.read.schema(_EVENT_SCHEMA).parquet(out).count()))
     return w.spark.createDataFrame(counts, "run INT, n BIGINT")
 
 
-@query("str_6", "SELECT event_id, user_id, status FROM clog WHERE user_id IN (SELECT user_id FROM clog GROUP BY user_id HAVING arg_max(status, event_id) = 'ok')")
+_PARTS = """(SELECT event_id, user_id, status, least((event_id - lo) * 3 // (hi - lo + 1), 2) AS part
+FROM clog, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM clog))"""
+
+
+@query("str_6", f"""SELECT p.event_id, p.user_id, p.status FROM {_PARTS} p JOIN (
+SELECT user_id, upto, arg_max(status, event_id) AS newest FROM {_PARTS}, (SELECT unnest([0, 1, 2]) AS upto) WHERE part <= upto GROUP BY ALL) n
+ON n.user_id = p.user_id AND n.upto = p.part WHERE newest = 'ok'""")
 def str_6(w):
-    ok = stage(lg.latest_state(crawl_states(w), "user_id", "event_id", ["status"]).where("status = 'ok'"), "eligible")
+    """Rows of users whose newest status is ok when their file comes."""
+    states = st.KeepLastTable(w.spark, _folder(w, "states"), ["user_id"], "event_id", "user_id BIGINT, event_id BIGINT, status STRING")
     out = _folder(w, "gated")
-    gated = st.eligible_only(st.read_log(w.spark, _event_files(w), _EVENT_SCHEMA), ok, "user_id")
-    st.run_append(gated.select("event_id", "user_id", "status"), out, _folder(w, "cp"))
-    return w.spark.read.schema("event_id BIGINT, user_id BIGINT, status STRING").parquet(out)
+    gate = st.Gate(states, "user_id", out, F.col("status") == "ok", ["event_id", "user_id", "status"])
+    st.run_batches(_stream(w, _event_files(w), _EVENT_SCHEMA), gate.step, _folder(w, "cp"))
+    return w.spark.read.schema("event_id BIGINT, user_id BIGINT, status STRING").parquet(out).drop("batch")
 
 
 # -- checks: our own tables (0 expected) beside tables with planted faults ------------------------

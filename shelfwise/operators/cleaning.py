@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import quantiles
-from shelfwise.functions.staging import stage
+from shelfwise.functions.staging import discard, stage
 
 # Columns dropped from each raw table.
 DETAILS_DROP = ["title_japanese", "url", "image_url", "end_date", "year", "season", "producers",
@@ -49,13 +48,13 @@ def drop_orphans(ratings: DataFrame, profiles: DataFrame, details: DataFrame) ->
 
 
 def keep_last(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of every key. An aggregate, so repeats of a hot key combine before the shuffle.
+    """The last row of every key. A rank with a limit of one, which each task applies before the shuffle.
 
     A row without an order value comes before all others; equal ones are told apart by the other columns.
     """
     rest = [c for c in log.columns if c not in keys and c != order]
-    last = F.max(F.struct(order, *rest)).alias("_last")
-    return log.groupBy(*keys).agg(last).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order), *[F.desc(c) for c in rest])
+    return log.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(*keys, *rest)
 
 
 def clean_ratings(ratings: DataFrame, profiles: DataFrame, details: DataFrame) -> DataFrame:
@@ -122,31 +121,41 @@ def without_users(ratings: DataFrame, users: DataFrame) -> DataFrame:
     return ratings.join(users.select("username"), "username", "left_anti")
 
 
-def k_core(pairs: DataFrame, user_min: int = 10, item_min: int = 20, max_rounds: int = 20):
-    """Peel users with few items, then items with few users, until the size is stable.
+def k_core(pairs: DataFrame, user_min: int = 10, item_min: int = 20, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(users, items) of the largest part in which every user has ``user_min`` pairs and every item ``item_min``.
 
-    Pairs are written once; a round only rewrites the surviving keys. Counts never grow, so
-    filtering the original pairs by the last keys equals filtering round after round.
-    Returns (users, items) as staged tables. ``max_rounds`` that end before the size is stable are
-    reported with a warning: what is left then may hold keys below the minima.
+    Degrees are counted once. A round drops the keys that have fallen below their minimum and takes their pairs
+    off the other side's degrees; it reads only the hash buckets that hold a dropped key, and goes on, however many
+    rounds that takes, until neither side drops any. Pairs lie in two copies, by user and by item; a round writes
+    degrees alone. At most ``buckets`` numbers a round reach the driver.
     """
-    pairs = stage(pairs.select("username", "anime_id"), "kcore-pairs")
-    items, last_size = None, -1
-    for _ in range(max_rounds):
-        live = pairs if items is None else pairs.join(items, "anime_id", "left_semi")
-        users = stage(value_counts(live, "username").where(F.col("n") >= user_min)
-                      .select("username"), "kcore-users")
-        live = live.join(users, "username", "left_semi")
-        counted = stage(value_counts(live, "anime_id").where(F.col("n") >= item_min), "kcore-items")
-        items = counted.select("anime_id")
-        size = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]     # one row
-        if size == last_size:
-            break
-        last_size = size
-    else:
-        warnings.warn(f"k-core not stable after {max_rounds} rounds", stacklevel=2)
-    survivors = pairs.join(items, "anime_id", "left_semi").join(users, "username", "left_semi")
-    return survivors.select("username").distinct(), survivors.select("anime_id").distinct()
+    sides = {"username": ("anime_id", user_min), "anime_id": ("username", item_min)}
+
+    def bucket(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+    by = {key: stage(pairs.select(key, other, bucket(key)).hint("rebalance", "bucket"), f"kcore-by-{key}", partition_by=["bucket"])
+          for key, (other, _) in sides.items()}
+    degree = {key: stage(value_counts(by[key], key), "kcore-degrees") for key in sides}
+    quiet = 0
+    while quiet < 2:
+        for key, (other, least) in sides.items():
+            dropped = stage(degree[key].where(F.col("n") < least).select(key), "kcore-dropped")
+            touched = [r[0] for r in dropped.select(bucket(key)).distinct().collect()]
+            if not touched:
+                quiet += 1
+                if quiet >= 2:
+                    break
+                continue
+            quiet = 0
+            lost = by[key].where(F.col("bucket").isin(touched)).join(dropped, key, "left_semi").groupBy(other).agg(F.count("*").alias("lost"))
+            live = degree[key].where(F.col("n") >= least)
+            left = degree[other].join(lost, other, "left").select(other, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
+            old = degree
+            degree = {key: stage(live, "kcore-degrees"), other: stage(left, "kcore-degrees")}
+            discard(dropped, *old.values())
+    discard(*by.values())
+    return degree["username"].select("username"), degree["anime_id"].select("anime_id")
 
 
 def restrict(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

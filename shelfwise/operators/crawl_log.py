@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.recommend import list_entries
@@ -194,12 +194,12 @@ def search_results(nodes: DataFrame, column: str, known: DataFrame) -> DataFrame
 
 
 def latest_state(log: DataFrame, key: str, seq: str, fields: list[str]) -> DataFrame:
-    """Newest record per key (insert or replace); combines on the map side, so a hot key is no burden.
+    """Newest record per key (insert or replace); a task passes on one record per key.
 
     A record without a sequence value is the oldest; equal ones are told apart by the fields.
     """
-    last = F.max(F.struct(F.col(seq).alias("_seq"), F.struct(*fields).alias("s"))).alias("_last")
-    return log.groupBy(key).agg(last).select(key, "_last.s.*")
+    newest = Window.partitionBy(key).orderBy(F.desc(seq), *[F.desc(c) for c in fields])
+    return log.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(key, *fields)
 
 
 def split_favourites(profiles: DataFrame, column: str) -> DataFrame:

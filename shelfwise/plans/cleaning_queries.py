@@ -180,22 +180,22 @@ def cln_9(w):
     return _rounded_stats(w.stats)
 
 
-@query("cln_10", "SELECT username, spam_pos, const_rater, physical, nan_lister, flagged FROM flagged")
+@query("cln_10", "SELECT username, spam_pos, const_rater, physical, nan_lister, flagged FROM flagged_low")
 def cln_10(w):
-    return w.flagged.select("username", *cl.RULE_NAMES, "flagged")
+    return w.flagged_low.select("username", *cl.RULE_NAMES, "flagged")
 
 
-@query("cln_11", """SELECT 'spam_pos' AS rule, count(*) FILTER (WHERE spam_pos) AS total, count(*) FILTER (WHERE spam_pos AND NOT (const_rater OR physical OR nan_lister)) AS exclusive FROM flagged
-UNION ALL SELECT 'const_rater', count(*) FILTER (WHERE const_rater), count(*) FILTER (WHERE const_rater AND NOT (spam_pos OR physical OR nan_lister)) FROM flagged
-UNION ALL SELECT 'physical', count(*) FILTER (WHERE physical), count(*) FILTER (WHERE physical AND NOT (spam_pos OR const_rater OR nan_lister)) FROM flagged
-UNION ALL SELECT 'nan_lister', count(*) FILTER (WHERE nan_lister), count(*) FILTER (WHERE nan_lister AND NOT (spam_pos OR const_rater OR physical)) FROM flagged""")
+@query("cln_11", """SELECT 'spam_pos' AS rule, count(*) FILTER (WHERE spam_pos) AS total, count(*) FILTER (WHERE spam_pos AND NOT (const_rater OR physical OR nan_lister)) AS exclusive FROM flagged_low
+UNION ALL SELECT 'const_rater', count(*) FILTER (WHERE const_rater), count(*) FILTER (WHERE const_rater AND NOT (spam_pos OR physical OR nan_lister)) FROM flagged_low
+UNION ALL SELECT 'physical', count(*) FILTER (WHERE physical), count(*) FILTER (WHERE physical AND NOT (spam_pos OR const_rater OR nan_lister)) FROM flagged_low
+UNION ALL SELECT 'nan_lister', count(*) FILTER (WHERE nan_lister), count(*) FILTER (WHERE nan_lister AND NOT (spam_pos OR const_rater OR physical)) FROM flagged_low""")
 def cln_11(w):
-    return cl.rule_contribution(w.flagged)
+    return cl.rule_contribution(w.flagged_low)
 
 
-@query("cln_12", "SELECT username, n, watched, rated FROM flagged WHERE flagged ORDER BY watched DESC, username LIMIT 20")
+@query("cln_12", "SELECT username, n, watched, rated FROM flagged_low WHERE flagged ORDER BY watched DESC, username LIMIT 20")
 def cln_12(w):
-    return cl.top_flagged(w.flagged).select("username", "n", "watched", "rated")
+    return cl.top_flagged(w.flagged_low).select("username", "n", "watched", "rated")
 
 
 @query("cln_13", "SELECT username, anime_id FROM clean WHERE username NOT IN (SELECT username FROM flagged WHERE flagged)")
@@ -293,8 +293,7 @@ SELECT count(*) FILTER (WHERE spam_pos) AS a, count(*) FILTER (WHERE const_rater
 FROM flagged WHERE NOT coalesce(flagged, false))""")
 def cln_23(w):
     kept = cl.without_users(w.clean, w.flagged.where("flagged"))
-    rules = cl.BotRules(spam_count=30, spam_mean=6.0, const_count=8, const_std=2.2, watched_max=48, unrated_min_watched=1)
-    return cl.rule_contribution(cl.bot_rules(cl.user_stats(kept), rules)).select("rule", "total")
+    return cl.rule_contribution(cl.bot_rules(cl.user_stats(kept), cl.BotRules())).select("rule", "total")
 
 
 @query("cln_24", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")

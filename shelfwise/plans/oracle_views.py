@@ -42,6 +42,10 @@ VIEWS: dict[str, str] = {
                count(*) FILTER (WHERE score > 0) AS rated, avg(score) FILTER (WHERE score > 0) AS mean_score,
                stddev_samp(score) FILTER (WHERE score > 0) AS std_score FROM clean GROUP BY username""",
     "flagged": """
+        SELECT *, spam_pos OR const_rater OR physical OR nan_lister AS flagged FROM (
+          SELECT *, rated > 2000 AND mean_score > 9.0 AS spam_pos, rated > 500 AND std_score < 0.3 AS const_rater,
+                 watched > 5000 AS physical, watched > 1000 AND mean_score IS NULL AS nan_lister FROM stats)""",
+    "flagged_low": """
         SELECT *, spam_pos OR const_rater OR physical OR nan_lister AS flagged FROM (
           SELECT *, rated > 30 AND mean_score > 6.0 AS spam_pos, rated > 8 AND std_score < 2.2 AS const_rater,
                  watched > 48 AS physical, watched > 1 AND mean_score IS NULL AS nan_lister FROM stats)""",

@@ -118,10 +118,9 @@ def vec_11_blocks(w):
 
 
 @query("vec_12", "SELECT user_idx, anime_idx, cos, CAST(pool_rank AS INTEGER) AS pool_rank FROM (" + _pool(
-    "SELECT * FROM uvec", "ehist", 15, "SELECT anime_idx, vec FROM ivec WHERE anime_idx % 3 = 0") + ")")
+    "SELECT * FROM uvec", "ehist", 15, "SELECT anime_idx, vec FROM ivec WHERE anime_idx IN (SELECT anime_idx FROM coords)") + ")")
 def vec_12(w):
-    on_map = w.item_index.where("anime_idx >= 2 AND anime_idx % 3 = 0")
-    return ve.nearest_allowed(w.uvec, w.ivec, on_map, w.eval_history, 15)
+    return ve.nearest_allowed(w.uvec, w.ivec, w.coords, w.eval_history, 15)
 
 
 _UNITS = "(SELECT anime_idx, [x / n FOR x IN vec] AS vec FROM (SELECT anime_idx, vec, sqrt(list_sum([y * y FOR y IN vec])) AS n FROM ivec))"

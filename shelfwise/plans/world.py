@@ -62,7 +62,11 @@ class World:
 
     @cached_property
     def flagged(self) -> DataFrame:
-        """Bot rules at thresholds that fire on the small data."""
+        return cleaning.bot_rules(self.stats, cleaning.BotRules())
+
+    @cached_property
+    def flagged_low(self) -> DataFrame:
+        """The rules at low thresholds, for the reports on them: those of the pipeline hardly fire on benchmark data."""
         return cleaning.bot_rules(self.stats, cleaning.BotRules(
             spam_count=30, spam_mean=6.0, const_count=8, const_std=2.2, watched_max=48, unrated_min_watched=1))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.functions.staging import stage
 from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, metrics, recommend, sampling, splits, vectors
 
 
@@ -55,11 +56,25 @@ def test_k_core_equals_brute_force(spark):
     assert want_users
 
 
-def test_k_core_warns_when_cut_short(spark):
-    # a chain: every round takes one end off
-    pairs = [(f"u{i}", j) for i in range(8) for j in (i, i + 1)]
-    with pytest.warns(UserWarning, match="not stable"):
-        cleaning.k_core(spark.createDataFrame(pairs, "username string, anime_id long"), 2, 2, max_rounds=1)
+def test_k_core_peels_to_the_end(spark):
+    # a chain: every round takes one end off; beside it a square that stays
+    pairs = {(f"u{i:02}", j) for i in range(14) for j in (i, i + 1)} | {(u, i) for u in "ab" for i in (100, 101)}
+    users, items = cleaning.k_core(spark.createDataFrame(list(pairs), "username string, anime_id long"), 2, 2, buckets=8)
+    assert ({r.username for r in users.collect()}, {r.anime_id for r in items.collect()}) == ({"a", "b"}, {100, 101})
+
+
+def test_k_core_round_reads_the_buckets_of_dropped_keys(spark, monkeypatch):
+    written = []
+
+    def noted(df, name, **options):
+        out = stage(df, name, **options)
+        written.append((name, out.count()))
+        return out
+    monkeypatch.setattr(cleaning, "stage", noted)
+    pairs = [(f"u{i}", j) for i in range(40) for j in range(30)] + [("x", 1), ("y", 2)]
+    cleaning.k_core(spark.createDataFrame(pairs, "username string, anime_id long"), 2, 2)
+    assert [n for name, n in written if name.startswith("kcore-by")] == [1202, 1202]       # pairs are written once
+    assert [n for name, n in written if name == "kcore-dropped"] == [2, 0, 0]
 
 
 def test_k_core_can_vanish(spark):

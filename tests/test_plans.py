@@ -24,13 +24,17 @@ def test_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(split" in plan(spark, "src_5")
 
 
-@pytest.mark.parametrize("key", ["vec_11", "smp_3", "spl_13", "rec_7"])
+@pytest.mark.parametrize("key", ["vec_11", "smp_3", "spl_13", "rec_7", "cln_4", "cln_24", "log_13"])
 def test_top_per_group_limits_before_the_shuffle(spark, key):
     assert "WindowGroupLimit" in plan(spark, key)
 
 
-@pytest.mark.parametrize("key,partial", [("cln_4", "partial_max_by"), ("log_2", "partial_min_by"), ("log_13", "partial_max_by"),
-                                         ("vec_2", "partial_sum"), ("cln_9", "partial_avg")])
+@pytest.mark.parametrize("key", ["cln_4", "cln_24", "log_13"])
+def test_newest_rows_are_not_aggregated_by_sorting(spark, key):
+    assert "SortAggregate" not in plan(spark, key)
+
+
+@pytest.mark.parametrize("key,partial", [("log_2", "partial_min_by"), ("vec_2", "partial_sum"), ("cln_9", "partial_avg")])
 def test_hot_keys_combine_on_the_map_side(spark, key, partial):
     assert partial in plan(spark, key)
 

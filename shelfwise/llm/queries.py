@@ -56,8 +56,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the token files of all documents hold, read back."""
     path = tokens.token_path(spark)
-    ranks = tokens.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER, 2, path)
-    return tokens.crc_column(tokens.read_tokens(spark, path, ranks))
+    tokens.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER, 2, path)
+    return tokens.crc_column(tokens.read_tokens(spark, path))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

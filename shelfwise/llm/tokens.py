@@ -168,8 +168,8 @@ def rank_table(tokens: DataFrame, kind: str) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text",
-                 block_ids: int = BLOCK_IDS) -> np.ndarray:
-    """Write the token files of ``docs`` in ascending id order (nulls first) below ``path``; returns the rank table.
+                 block_ids: int = BLOCK_IDS) -> None:
+    """Write the token files of ``docs`` in ascending id order (nulls first) below ``path``, the table of ranks beside them.
 
     Files are numbered in id order. Rows that repeat an id are kept, ordered by their ids' bytes. The text is
     tokenized once: ids go to the shared folder, are counted, and are dealt by ranges of the document id.
@@ -208,15 +208,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     (dealt.mapInArrow(blocks, "shard bigint, before bigint, docs array<bigint>, sizes array<bigint>, control binary, data binary")
-     .write.option("compression", "zstd").parquet(path))
-    return by_rank
+     .write.option("compression", "zstd").parquet(f"{path}/blocks"))
+    # bounded by the vocabulary
+    (spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks"))
 
 
-def read_tokens(spark: SparkSession, path: str, by_rank: np.ndarray) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document in the files at ``path``, decoded by table lookup.
 
-    ``start`` counts the ids of all documents before it; ``ids`` are little-endian 32-bit bytes.
+    ``start`` counts the ids of all documents before it; ``ids`` are little-endian 32-bit bytes. All it needs is in
+    the files: any later session can read them.
     """
+    by_rank = np.frombuffer(spark.read.parquet(f"{path}/ranks").first().ids, "<u4")
+
     def run(batch):
         for shard, before, docs, sizes, control, data in zip(*(batch.column(c).to_pylist() for c in (
                 "shard", "before", "docs", "sizes", "control", "data"))):
@@ -227,7 +231,7 @@ def read_tokens(spark: SparkSession, path: str, by_rank: np.ndarray) -> DataFram
             yield {"shard": pa.array([shard] * len(docs), pa.int64()), "doc_id": pa.array(docs, pa.int64()),
                    "within": pa.array(before + begin, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
                    "ids": pa.array([raw[4 * a:4 * b] for a, b in zip(begin.tolist(), ends.tolist())], pa.binary())}
-    files = spark.read.parquet(path)
+    files = spark.read.parquet(f"{path}/blocks")
     # one row per shard, of which a file set has no more than the writer's shuffle partitions
     sums = files.select("shard", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n"))
     shards = sums.groupBy("shard").agg(F.sum("n").alias("total"))

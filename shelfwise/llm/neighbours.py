@@ -15,7 +15,7 @@ from shelfwise.functions.staging import stage
 
 @dataclass(frozen=True)
 class Curves:
-    """``share``: how far to look along each curve, to either side, as a share of all rows."""
+    """``share``: how far to look along each curve, to either side, as a share of all rows, in blocks of ``least_block`` or more."""
 
     curves: int = 16
     dims: int = 8
@@ -24,6 +24,7 @@ class Curves:
     shift: float = 0.3
     sample: int = 20_000
     seed: int = 7
+    least_block: int = 1024
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,14 +85,16 @@ class Grid:
         return np.column_stack(out)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)`` of vectors that are not null or zero and hold only finite numbers, of the commonest length."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> DataFrame:
+    """``(id, v)`` of vectors that are not null or zero and hold only finite numbers, of the commonest length or that given."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
-    return rows.where(F.size("v") == (length.n if length else 0))
+    if length is None:
+        common = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
+        length = common.n if common else 0
+    return rows.where(F.size("v") == length)
 
 
 def _matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -153,7 +156,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: Curves
     and cut into blocks of equal size; a query visits the blocks within ``share`` of the rows to either side.
     A group holds one block and at most some thousands of queries.
 
-    Vectors that are null, zero, of another length, or hold null or non-finite numbers take no part, nor do null
+    Vectors that are null, zero, of another length than most stored ones, or hold null or non-finite numbers take no part, nor do null
     ids; repeated ids with equal vectors count once, with different ones each is searched and the best score kept.
     """
     spark = vectors.sparkSession
@@ -162,10 +165,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: Curves
     classes = stage(rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
                     .groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
                     .select(F.col("ids")[0].alias("id"), "v", "ids"), "vector-classes")
-    asked = stage(usable(queries, id_col, vec_col).distinct(), "vector-queries")
-    total, asked_n = classes.count(), asked.count()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not total or not asked_n:
+    stored_length = classes.select(F.size("v").alias("n")).first()
+    if stored_length is None:
+        return spark.createDataFrame([], schema)
+    asked = stage(usable(queries, id_col, vec_col, stored_length.n).distinct(), "vector-queries")
+    total, asked_n = classes.count(), asked.count()
+    if not asked_n:
         return spark.createDataFrame([], schema)
     longest = classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(curves.sample).select("v").toArrow().column("v")
@@ -182,7 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: Curves
 
     length = total + asked_n
     reach = curves.share * length
-    block = int(min(max(reach / 3, 1024), 16384))
+    block = int(min(max(reach / 3, curves.least_block), 16384))
     steps = int(-(-reach // block))
     shares = int((2 * steps + 1) * block * asked_n / length // 16384) + 1
     placed = numbered.join(F.broadcast(begins), "part").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -45,8 +46,8 @@ def test_packed_values_round_trip():
 def test_token_files_round_trip(spark):
     rows = ODD + [LONG, (-4, "ümlaut <|endoftext|>")]
     path = tokens.token_path(spark)
-    ranks = tokens.write_tokens(frame(spark, rows), TOKENIZER, 2, path, block_ids=50)
-    got = tokens.read_tokens(spark, path, ranks).collect()
+    tokens.write_tokens(frame(spark, rows), TOKENIZER, 2, path, block_ids=50)
+    got = tokens.read_tokens(spark, path).collect()
     want = sorted(((d is not None, d or 0), ids_of(t) + [2]) for d, t in rows)
     assert sorted(((r.doc_id is not None, r.doc_id or 0), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
     got.sort(key=lambda r: r.start)
@@ -55,10 +56,11 @@ def test_token_files_round_trip(spark):
         assert r.start == at and r.n_tokens == len(r.ids) // 4
         at += r.n_tokens
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(d for d, _ in rows if d is not None) and got[0].doc_id is None
-    crc = {r.ids_crc32 for r in tokens.crc_column(tokens.read_tokens(spark, path, ranks)).collect()}
+    crc = {r.ids_crc32 for r in tokens.crc_column(tokens.read_tokens(spark, path)).collect()}
     assert crc == {zlib.crc32(np.array(i, "<u4").tobytes()) for _, i in want}
     empty = tokens.token_path(spark)
-    assert tokens.read_tokens(spark, empty, tokens.write_tokens(frame(spark, []), TOKENIZER, 2, empty)).count() == 0
+    tokens.write_tokens(frame(spark, []), TOKENIZER, 2, empty)
+    assert tokens.read_tokens(spark, empty).count() == 0
 
 
 def test_best_cuts_is_optimal():
@@ -128,7 +130,7 @@ def test_mined_rules_match_plain(spark):
     known = spark.createDataFrame(labels + [(None, 0, 1)], "doc_id bigint, quality int, toxic int")
     tokens_of = {r.page_id: frozenset(r.t) for r in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
     rows = [(tokens_of[i], q == 0 or t == 1) for i, q, t in labels]
-    share, sets = sum(b for _, b in rows) / len(rows), {frozenset(c) for t, _ in rows for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    share, sets = sum(b for _, b in rows) / len(rows), {frozenset(c) for t, _ in rows for n in range(1, min(len(t), 4) + 1) for c in combinations(sorted(t), n)}
     sure = {}
     for s in sets:
         inside = [b for t, b in rows if s <= t]
@@ -142,6 +144,30 @@ def test_mined_rules_match_plain(spark):
     assert len(got) == 302
 
 
+def test_long_urls_are_mined_in_time_and_judged_whole(spark):
+    parts = [f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    bad = "http://a.bad.com/" + "/".join(parts)
+    near = ["http://a.bad.com/" + "/".join(parts[:k] + parts[k + 1:]) for k in range(20)]
+    good = [f"http://b.good.com/{p}/{k}" for k, p in enumerate(parts[:20])]
+    urls = [bad] * 20 + near + good
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    start = time.time()
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels, {}).collect()}
+    assert got == {i: "block" if i < 40 else "allow" for i in range(60)} and time.time() - start < 60
+    rules = url_rules.mine_rules(spark.createDataFrame([(["x", "y"], True)] * 3 + [(["x"], False)] * 7, "tokens array<string>, bad boolean"))
+    assert {(tuple(r.rule), r.key, r.confidence, round(r.support, 6)) for r in rules.collect()} == {(("y",), "y", 1.0, .3), (("x", "y"), "y", 1.0, .3)}
+
+
+def test_neighbours_take_the_stored_length(spark):
+    rng = random.Random(3)
+    stored = [(i, [rng.random() for _ in range(4)]) for i in range(30)] + [(100 + i, [1.0] * 6) for i in range(10)]
+    vectors = spark.createDataFrame(stored, "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(vectors, vectors.where("vec_id >= 98 OR vec_id = 1"), 5).collect()
+    assert {r.query_id for r in got} == {1} and len(got) == 5
+    assert neighbours.nearest(vectors, vectors.where("vec_id >= 100"), 5).count() == 0
+
+
 def test_quality_learns_and_keeps(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice(["the", "river", "runs", "over", "stones", "slowly"]) for _ in range(40)) + "." for _ in range(300)]

@@ -180,6 +180,15 @@ def map_24(w):
     return at.soft_colours(shares, palette).withColumns({c: F.round(c, 6) for c in ("r", "g", "b")})
 
 
+@query("map_24_soft")
+def map_24_soft(w):
+    """Colours by the shares of the fitted mixture."""
+    shares = w.mixture.select("anime_idx", F.posexplode("shares").alias("label", "p"))
+    palette = w.spark.range(w.SOFT).select(F.col("id").cast("int").alias("label"),
+                                           *[((F.col("id") * k % 11) / 10).alias(c) for c, k in (("r", 37), ("g", 53), ("b", 71))])
+    return at.soft_colours(shares, palette).withColumns({c: F.round(c, 6) for c in ("r", "g", "b")})
+
+
 @query("map_25", f"""SELECT c.anime_idx, round(c.x, 6) AS x, round(c.y, 6) AS y, b.title, coalesce(k.label, -1) AS label,
 coalesce(n.name, 'noise') AS cluster FROM coords c LEFT JOIN mbase b ON c.anime_idx = b.anime_idx LEFT JOIN ivec k ON c.anime_idx = k.anime_idx LEFT JOIN ({_named('mlogodds')}) n ON k.label = n.label""")
 def map_25(w):

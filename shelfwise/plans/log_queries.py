@@ -453,10 +453,21 @@ def chk_19(w):
 @query("est_1")
 def est_1(w):
     """Learned unit vectors of the items in training examples."""
-    _, items = es.learn_vectors(w.examples.where("split = 'train'"), rank=16, iterations=5)
+    _, items = es.learn_vectors(w.examples.where("split = 'train'"))
     return items.withColumn("vec", rounded(F.col("vec"), 4))
 
 
+@query("est_1_content")
+def est_1_content(w):
+    """Vectors of all items, cold ones too, from their genres, themes, studios and year."""
+    _, learned = es.learn_vectors(w.examples.where("split = 'train'"))
+    feats = en.multi_hot(en.multi_hot(w.items, "genres", "g"), "themes", "t")
+    year = F.array(F.coalesce((F.year(F.try_to_timestamp("start_date")) - 2000) / 10.0, F.lit(0.0)))
+    feats = feats.select("anime_idx", F.concat(F.col("g").cast("array<double>"), F.col("t").cast("array<double>"), year).alias("x"))
+    out = es.fit_content(feats, learned, "anime_idx", "x").vectors(feats, "anime_idx", "x")
+    return out.withColumn("vec", rounded(F.col("vec"), 4))
+
+
 @query("est_2")
 def est_2(w):
     """Feature importances of a ranker fitted on the training pools."""
@@ -476,7 +487,8 @@ def est_3(w):
 
 @query("est_4")
 def est_4(w):
-    return es.gaussian_mixture(w.ivec.where("anime_idx >= 2"), "anime_idx", ["vec"], 4).select("anime_idx", "label", rounded(F.col("shares"), 4).alias("shares"))
+    """Hard labels and shares of a mixture of diagonal Gaussians."""
+    return w.mixture.select("anime_idx", "label", rounded(F.col("shares"), 4).alias("shares"))
 
 
 @query("est_5")

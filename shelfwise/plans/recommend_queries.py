@@ -34,10 +34,17 @@ def animelist_pages(w):
 _LIVE = "SELECT c.username, i.anime_idx, c.status, c.score FROM clean c JOIN items i ON c.anime_id = i.mal_id WHERE c.anime_id % 29 <> 0"
 
 
-@query("rec_2", f"""SELECT username, list(anime_idx ORDER BY score DESC, anime_idx) AS history_ids, list(score ORDER BY score DESC, anime_idx) AS history_scores
-FROM ({_LIVE}) WHERE status IN ('completed', 'watching') AND NOT (score BETWEEN 1 AND 4) GROUP BY username""")
+_POS = "FILTER (WHERE status IN ('completed', 'watching') AND NOT (score BETWEEN 1 AND 4))"
+
+
+@query("rec_2", f"""SELECT username, coalesce(list(anime_idx ORDER BY score DESC, anime_idx) {_POS}, []) AS history_ids,
+coalesce(list(score ORDER BY score DESC, anime_idx) {_POS}, []) AS history_scores, list(DISTINCT anime_idx ORDER BY anime_idx) AS seen_ids FROM ({_LIVE}) GROUP BY username""")
 def rec_2(w):
-    return re_.live_history(animelist_pages(w), "page", w.items)[0]
+    """History and seen set of a list as it comes; a user without positives has an empty history."""
+    history, seen = re_.live_history(animelist_pages(w), "page", w.items)
+    every = seen.groupBy("username").agg(F.array_sort(F.collect_set("anime_idx")).alias("seen_ids"))
+    out = every.join(history, "username", "left")
+    return out.select("username", *[F.coalesce(c, F.array().cast(dict(history.dtypes)[c])).alias(c) for c in ("history_ids", "history_scores")], "seen_ids")
 
 
 

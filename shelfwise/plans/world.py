@@ -302,7 +302,7 @@ class World:
         return safe.select("anime_idx", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
 
     # -- map ---------------------------------------------------------------------
-    BINS, SIGMA = 32, 1.5
+    BINS, SIGMA, SOFT = 32, 1.5, 12
 
     @cached_property
     def map_base(self) -> DataFrame:
@@ -313,6 +313,11 @@ class World:
         """Given cluster label per item."""
         return self.ivec.where("anime_idx >= 2").select("anime_idx", "label")
 
+    @cached_property
+    def mixture(self) -> DataFrame:
+        """Soft clusters of the real items' vectors."""
+        return estimators.diagonal_mixture(self.ivec.where("anime_idx >= 2"), "anime_idx", "vec", self.SOFT)[0]
+
     @cached_property
     def clustered(self) -> DataFrame:
         return stage(self.map_base.join(self.clusters, "anime_idx"), "clustered")

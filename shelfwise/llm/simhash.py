@@ -255,19 +255,12 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(4)], list(names))
 
 
-def _compare(columns: list[str], read, similar):
-    """Of rows sorted by pair, two each: pairs for which ``similar(n, set, m, set)`` holds."""
+def _compare(read, similar):
+    """Of pairs with both sets: those for which ``similar(n, set, m, set)`` holds."""
     def run(batches):
-        held = None
         for batch in batches:
-            out = []
-            for a, b, n, *more in zip(*(batch.column(c).to_pylist() for c in ["a", "b", "n", *columns])):
-                if held is None or held[:2] != (a, b):
-                    held = (a, b, n, read(n, *more))
-                else:
-                    if similar(*held[2:], n, read(n, *more)):
-                        out.append((a, b))
-                    held = None
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "x", "m", "y")))
+            out = [(a, b) for a, b, n, x, m, y in rows if similar(n, read(n, x), m, read(m, y))]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
     return run
 
@@ -328,10 +321,12 @@ def similar_sets(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
     def pair(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    def by_pair(pairs: DataFrame, sets: DataFrame, *how) -> DataFrame:
-        asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
-        both = asked.join(sets, "sig").drop("sig")
-        return both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compare(*how), "a bigint, b bigint")
+    def by_pair(pairs: DataFrame, sets: DataFrame, column: str, read, similar) -> DataFrame:
+        # the first set travels to the second, where the two are compared
+        x = sets.select(F.col("sig").alias("a"), "n", F.col(column).alias("x"))
+        y = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col(column).alias("y"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y")
+        return both.mapInArrow(_compare(read, similar), "a bigint, b bigint")
 
     def enough(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
         """What the prefixes share, and all that may follow the one that ends first, reaches the limit."""
@@ -344,15 +339,15 @@ def similar_sets(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
     def verified(pairs: DataFrame) -> DataFrame:
         """``pairs`` that are similar: first by their prefixes, then by whole sets, made again for their texts alone."""
         prefixes = marked.where(F.size("prefix") > 0).select("sig", "n", "prefix").dropDuplicates(["sig"])
-        pairs = stage(by_pair(pairs, prefixes, ["prefix"], lambda n, x: np.array(x, np.int64), enough), "shingle-likely")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        pairs = stage(by_pair(pairs, prefixes, "prefix", lambda n, x: np.array(x, np.int64), enough), "shingle-likely")
+        asked = pairs.select(F.col("a").alias("sig")).distinct().unionByName(pairs.select(F.col("b").alias("sig")).distinct()).distinct()
         one = marked.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("m"))
         one = one.select(F.col("m.doc_id").alias("_id"), F.col("m.tkey").alias("_key")).distinct()
         texts = rows.join(one, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.tkey == F.col("_key")), "left_semi").select("text")
         sets = _with_sets(texts, shingle, lambda batch, sets: {
             "sig": pa.array([set_key(g) for g in sets], pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64()),
             "packed": pa.array([pack_set(g) for g in sets], pa.binary())}, "sig bigint, n bigint, packed binary").dropDuplicates(["sig"])
-        return by_pair(pairs, sets, ["packed"], lambda n, packed: unpack_set(packed, n), alike)
+        return by_pair(pairs, stage(sets, "shingle-sets"), "packed", lambda n, packed: unpack_set(packed, n), alike)
 
     left, tried, edges, centres = meets.withColumn("root", F.col("sig")), None, None, CENTRES
     while True:

@@ -45,6 +45,25 @@ def test_quantiles_with_hot_group_and_ties(spark):
     assert near.q == vals[int(np.floor((len(vals) - 1) * 0.9 + 0.5))]
 
 
+def test_order_statistics_cut_heavy_bins_again(spark):
+    """One outlier presses all other values of a group into one bin; a third of its rows are equal."""
+    rng = np.random.default_rng(5)
+    heavy = [*rng.normal(0, 1, 3000), *[0.25] * 1500, 1e300]
+    rows = [("heavy", float(v)) for v in heavy] + [("low", float(v)) for v in (-1e300, *rng.random(400))] + [("small", 2.0), ("small", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = {n: F.floor((F.col("_n") - 1) * F.lit(p)) for n, p in {"lo": 0.0, "q": 0.2, "m": 0.5, "p": 0.999, "hi": 1.0}.items()}
+    got = {r.g: r for r in quantiles.order_statistics(df, ["g"], "v", at, bin_values=8).collect()}
+    for g in ("heavy", "low", "small"):
+        vals = sorted(v for k, v in rows if k == g)
+        assert got[g]["_n"] == len(vals)
+        for n, p in {"lo": 0.0, "q": 0.2, "m": 0.5, "p": 0.999, "hi": 1.0}.items():
+            assert got[g][n] == vals[int((len(vals) - 1) * p)]
+    whole = quantiles.order_statistics(df.where("g = 'heavy'"), [], "v", at, bin_values=8).first()
+    assert whole.m == got["heavy"].m and whole["_n"] == len(heavy)
+    empty = quantiles.order_statistics(df.where("g = 'none'"), ["g"], "v", at, bin_values=8)
+    assert empty.count() == 0
+
+
 def test_mean_and_unit_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [0.0, 0.0])], "g int, v array<double>")
     got = {r.g: r for r in df.groupBy("g").agg(mean_of(F.col("v"), 2).alias("m")).withColumn("u", unit(F.col("m"))).collect()}

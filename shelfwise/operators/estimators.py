@@ -1,4 +1,4 @@
-"""Learned parts on MLlib. These are other algorithms than a two-tower net, LambdaRank or a neural projection;
+"""Learned parts, on MLlib or as sums that Spark adds up. These are other algorithms than a two-tower net, LambdaRank or a neural projection;
 their quality is not comparable with published numbers of those."""
 
 from __future__ import annotations
@@ -9,16 +9,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.keys import hash_u32
 from shelfwise.functions.staging import stage, stage_root
 from shelfwise.functions.vectors import unit
+from shelfwise.operators import ranker
 from shelfwise.operators.features import FEATURES
 
 SEED = 42
@@ -84,24 +84,17 @@ def fit_content(items: DataFrame, learned: DataFrame, key: str, column: str, rid
     return ContentModel(np.linalg.solve(both[:, :p] + penalty, both[:, p:]))
 
 
-def _assembled(frame: DataFrame) -> DataFrame:
-    filled = frame.withColumn("u_account_age", F.coalesce("u_account_age", F.lit(-1.0)))
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(filled)
+def fit_ranker(frame: DataFrame, trees: int = 20, depth: int = 3) -> ranker.Ranker:
+    """Listwise boosted trees on graded labels (column ``label``)."""
+    return ranker.fit(frame, FEATURES, trees=trees, depth=depth)
 
 
-def fit_ranker(frame: DataFrame, iterations: int = 20, depth: int = 5):
-    """Boosted regression trees on graded labels (column ``label``)."""
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=0.1,
-                       subsamplingRate=0.8, seed=SEED)
-    return gbt.fit(_assembled(frame).withColumn("label", F.col("label").cast("double")))
+def score_ranker(model: ranker.Ranker, frame: DataFrame) -> DataFrame:
+    return model.score(frame, ["user_idx", "anime_idx"])
 
 
-def score_ranker(model, frame: DataFrame) -> DataFrame:
-    return model.transform(_assembled(frame)).select("user_idx", "anime_idx", F.col("prediction").alias("pred"))
-
-
-def importances(spark, model) -> DataFrame:
-    rows = [(n, float(v)) for n, v in zip(FEATURES, model.featureImportances.toArray())]
+def importances(spark, model: ranker.Ranker) -> DataFrame:
+    rows = [(n, float(v)) for n, v in zip(FEATURES, model.importances())]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 

@@ -259,7 +259,7 @@ class World:
 
     @cached_property
     def ranker(self):
-        return estimators.fit_ranker(self.train_features, iterations=5, depth=3)
+        return estimators.fit_ranker(self.train_features)
 
     def ranked(self, pool: DataFrame) -> DataFrame:
         """A pool of evaluation users with the fitted ranker's ``pred``."""

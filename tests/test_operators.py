@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, metrics, recommend, sampling, splits, vectors
+from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, metrics, ranker, recommend, sampling, splits, vectors
 
 
 def rows(df, *cols):
@@ -451,3 +451,73 @@ def test_content_vectors_reach_cold_items(spark):
     cold = list(range(32, 42))
     hits = [sum((c - 2) % 2 == r.user_idx % 2 for c in sorted(cold, key=lambda c: -got[c] @ np.array(r.vec))[:5]) for r in users.collect()]
     assert np.mean(hits) / 5 > 0.9                                  # any fixed order reaches .5
+
+
+def _planted_pools(spark, users, seed):
+    """Pools in which the cosine is noise; what is relevant is a mix of a feature and its fit to the user."""
+    rng = np.random.default_rng(seed)
+    data = []
+    for u in range(users):
+        for i in range(30):
+            cos, a, b = rng.random(3)
+            taste = 2 * (u % 2) - 1
+            odds = 1 / (1 + np.exp(-(6 * a + 4 * taste * (b - .5) - 6)))
+            data.append((u, i, float(cos), float(a), float(taste * b), None if rng.random() < .1 else float(rng.random()), int(rng.random() < odds) * int(rng.integers(1, 4))))
+    return spark.createDataFrame(data, "user_idx int, anime_idx int, cos double, a double, b double, gap double, label int")
+
+
+def _ndcg(rows, score, k=10):
+    out = []
+    for u in {r.user_idx for r in rows}:
+        mine = sorted((r for r in rows if r.user_idx == u), key=lambda r: (-score(r), r.anime_idx))
+        hit = [float(r.label > 0) for r in mine]
+        ideal = sum(1 / np.log2(j + 2) for j in range(min(k, int(sum(hit)))))
+        if ideal:
+            out.append(sum(h / np.log2(j + 2) for j, h in enumerate(hit[:k])) / ideal)
+    return np.mean(out)
+
+
+def test_listwise_ranker_beats_the_cosine(spark):
+    names = ["cos", "a", "b", "gap"]
+    model = ranker.fit(_planted_pools(spark, 160, 1).repartition(6), names, trees=12)
+    held = _planted_pools(spark, 60, 2)
+    rows_ = held.collect()
+    pred = {(r.user_idx, r.anime_idx): r.pred for r in model.score(held, ["user_idx", "anime_idx"]).collect()}
+    assert len(pred) == len(rows_)
+    ranked, plain = _ndcg(rows_, lambda r: pred[r.user_idx, r.anime_idx]), _ndcg(rows_, lambda r: r.cos)
+    assert ranked > plain + 0.15
+    gains = dict(zip(names, model.importances()))
+    assert gains["a"] > gains["b"] > max(gains["cos"], gains["gap"]) and abs(sum(gains.values()) - 1) < 1e-9
+
+
+def test_listwise_gradients_and_splits(spark):
+    labels, scores = np.array([0, 3, 1, 0]), np.array([.4, -.2, .4, .1])
+    pull, curve = ranker.lambdas(labels, scores)
+    place = [0, 3, 1, 2]                                             # a tie stands in pool order
+    ideal = 7 / np.log2(2) + 1 / np.log2(3)
+    want, bend = np.zeros(4), np.zeros(4)
+    for i in range(4):
+        for j in range(4):
+            if labels[i] > labels[j]:
+                p = 1 / (1 + np.exp(scores[i] - scores[j]))
+                w = abs(2.0 ** labels[i] - 2.0 ** labels[j]) * abs(1 / np.log2(place[i] + 2) - 1 / np.log2(place[j] + 2)) / ideal
+                want[i] += p * w
+                want[j] -= p * w
+                bend[[i, j]] += p * (1 - p) * w
+    assert np.allclose(pull, want) and np.allclose(curve, bend)
+    assert not ranker.lambdas(np.array([2, 2]), np.zeros(2))[0].any()
+    # the first tree's root against all cuts of all features
+    df = _planted_pools(spark, 40, 3)
+    names = ["cos", "a", "b", "gap"]
+    model = ranker.fit(df.repartition(5), names, trees=1, depth=1)
+    rows_ = sorted(df.collect())
+    x = np.array([[np.nan if v is None else v for v in (r.cos, r.a, r.b, r.gap)] for r in rows_])
+    got = [ranker.lambdas(np.array([r.label for r in rows_ if r.user_idx == u]), np.zeros(30)) for u in range(40)]
+    g, h = np.concatenate(got, axis=1)
+    codes = model.codes(x)
+    best = max((g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), f, c, g[m].sum() / (h[m].sum() + 1), g[~m].sum() / (h[~m].sum() + 1))
+               for f in range(4) for c in range(64) for m in [codes[:, f] <= c] if h[m].sum() > 1e-3 and h[~m].sum() > 1e-3)
+    tree = model.trees[0]
+    assert (tree.features[0], tree.cuts[0]) == best[1:3] and np.allclose(tree.values, 0.2 * np.array(best[3:]))
+    none = ranker.fit(df.where("label > 9"), names, trees=2)
+    assert {r.pred for r in none.score(df, ["user_idx", "anime_idx"]).collect()} == {0.0}

@@ -94,6 +94,12 @@ def map_11(w):
     return at.points(w.coords, w.map_base, w.clusters).withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
+@query("map_11_layout")
+def map_11_layout(w):
+    """The points table on the places of the neighbour graph."""
+    return at.points(w.layout, w.map_base, w.clusters).withColumns({c: F.round(c, 4) for c in ("x", "y")})
+
+
 @query("map_12", "SELECT label, round(cx, 6) AS cx, round(cy, 6) AS cy FROM manchors")
 def map_12(w):
     return at.label_anchors(w.points).withColumns({c: F.round(c, 6) for c in ("cx", "cy")})

@@ -13,6 +13,7 @@ from shelfwise.operators import crawl_log as lg
 from shelfwise.operators import encoding as en
 from shelfwise.operators import estimators as es
 from shelfwise.operators import labels as lb
+from shelfwise.operators import layout as la
 from shelfwise.operators import sampling as sm
 from shelfwise.plans.recommend_queries import animelist_pages
 from shelfwise.plans.registry import query
@@ -501,6 +502,21 @@ def est_6(w):
     return es.project(w.ivec.where("anime_idx >= 2"), "anime_idx", "vec").withColumns({c: F.round(c, 4) for c in ("x", "y")})
 
 
+@query("est_6_layout")
+def est_6_layout(w):
+    """Places of the safe items from their neighbour graph."""
+    return w.layout.withColumns({c: F.round(c, 4) for c in ("x", "y")})
+
+
+@query("est_6_kept")
+def est_6_kept(w):
+    """Share of linked items that stay neighbours on the map, for the layout and for the principal components."""
+    flat = es.project(w.ivec.join(w.layout, "anime_idx", "left_semi"), "anime_idx", "vec")
+    graph, components = (la.kept_neighbours(w.links, places).select(F.lit(name).alias("method"), F.round("share", 4).alias("share"))
+                         for name, places in (("graph", w.layout), ("components", flat)))
+    return graph.unionByName(components)
+
+
 @query("est_7")
 def est_7(w):
     """Sweep of clusterings over a grid of settings; equal settings run once (without a cut ``dims`` means nothing)."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import atlas, cleaning, encoding, estimators, features, labels, recommend, splits, vectors
+from shelfwise.operators import atlas, cleaning, encoding, estimators, features, labels, layout, recommend, splits, vectors
 from shelfwise.sources import adapters
 
 
@@ -301,6 +301,16 @@ class World:
         safe = self.ivec.where("anime_idx >= 2").join(self.adult, "anime_idx", "left_anti")
         return safe.select("anime_idx", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """Neighbour graph of the safe real items."""
+        return stage(layout.neighbour_graph(self.ivec.join(self.adult, "anime_idx", "left_anti")), "links")
+
+    @cached_property
+    def layout(self) -> DataFrame:
+        """Map places learned from that graph."""
+        return stage(layout.spectral_layout(self.links), "layout")
+
     # -- map ---------------------------------------------------------------------
     BINS, SIGMA, SOFT = 32, 1.5, 12
 

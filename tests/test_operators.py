@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, metrics, ranker, recommend, sampling, splits, vectors
+from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, layout, metrics, ranker, recommend, sampling, splits, vectors
 
 
 def rows(df, *cols):
@@ -521,3 +521,28 @@ def test_listwise_gradients_and_splits(spark):
     assert (tree.features[0], tree.cuts[0]) == best[1:3] and np.allclose(tree.values, 0.2 * np.array(best[3:]))
     none = ranker.fit(df.where("label > 9"), names, trees=2)
     assert {r.pred for r in none.score(df, ["user_idx", "anime_idx"]).collect()} == {0.0}
+
+
+def test_layout_is_the_graphs_leading_eigenvectors(spark):
+    """A rolled-up sheet: the layout keeps neighbours that the principal components lay on top of others."""
+    rng = np.random.default_rng(4)
+    n = 300
+    t, h = 1.5 * np.pi * (1 + 2 * rng.random(n)), rng.random(n)
+    sheet = np.column_stack([t * np.cos(t), t * np.sin(t), 8 * h])
+    # distances of the sheet as inner products of unit vectors
+    centre = np.column_stack([np.exp(-((sheet - c) ** 2).sum(axis=1) / 12) for c in sheet[::3]])
+    items = spark.createDataFrame([(2 + i, v.tolist()) for i, v in enumerate(centre)], "anime_idx int, vec array<double>").repartition(3)
+    links = stage(layout.neighbour_graph(items, 6), "test-links")
+    a = np.zeros((n, n))
+    for r in links.collect():
+        a[r.src - 2, r.dst - 2] = r.w
+    assert np.allclose(a, a.T) and (a > 0).sum(axis=1).min() >= 6 and not a.diagonal().any()
+    d = a.sum(axis=1)
+    true = np.linalg.eigvalsh((np.eye(n) + a / np.sqrt(np.outer(d, d))) / 2)[::-1][:3]
+    found, values = layout.eigenvectors(links, 3, steps=4, rounds=12, tolerance=1e-4)
+    x = np.array([r.x for r in found.orderBy("id").collect()])
+    assert np.allclose(x.T @ x, np.eye(3), atol=1e-6) and np.abs(values - true).max() < 5e-3
+    places = layout.spectral_layout(links, steps=4, rounds=12)
+    flat = estimators.project(items, "anime_idx", "vec").withColumns({c: F.col(c) * 10 for c in "xy"})
+    share, plain = (layout.kept_neighbours(links, p, 10).first().share for p in (places, flat))
+    assert places.count() == n and share > plain

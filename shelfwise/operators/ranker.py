@@ -174,22 +174,31 @@ def best_splits(sums: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray,
     return feature, cut, top, np.stack([left[at], right[at]], axis=2)
 
 
-def fit(frame: DataFrame, names: list[str], *, group: str = "user_idx", item: str = "anime_idx", label: str = "label",
-        trees: int = 20, depth: int = 3, rate: float = 0.2, least: float = 1e-3) -> Ranker:
-    """Fit on a frame of features and grades (column ``label``, 0 for none).
+@dataclass(frozen=True)
+class Prepared:
+    """Features in bins, one staged row per group, for as many fits as are wanted."""
 
-    Bins end at approximate percentiles of each feature. A leaf's value is the sum of pulls over the sum of curvatures
-    of its rows, times ``rate``; a child needs a curvature of ``least``. An empty frame gives a model that scores 0.
-    """
+    names: list[str]
+    edges: list[np.ndarray]
+    packed: DataFrame
+
+
+def prepare(frame: DataFrame, names: list[str], *, group: str = "user_idx", item: str = "anime_idx", label: str = "label") -> Prepared:
+    """Bins end at approximate percentiles of each feature; ``label`` holds grades, 0 for none."""
     wide = frame.select(*[F.col(n).cast("double").alias(n) for n in names])
     steps = [i / BINS for i in range(1, BINS)]
     edges = [np.unique(np.array(e, float)) for e in wide.approxQuantile(names, steps, 0.002)]
-    model = Ranker(names, edges, depth, [], np.zeros(len(names)))
-    packed = stage(_pack(frame, model, group, item, label), "ranker-groups")
+    return Prepared(names, edges, stage(_pack(frame, Ranker(names, edges, 0), group, item, label), "ranker-groups"))
+
+
+def boost(data: Prepared, trees: int = 20, depth: int = 3, rate: float = 0.2, least: float = 1e-3) -> Ranker:
+    """A leaf's value is the sum of pulls over the sum of curvatures of its rows, times ``rate``; a child needs a
+    curvature of ``least``. Without rows the model scores 0."""
+    model = Ranker(data.names, data.edges, depth, [], np.zeros(len(data.names)))
     for _ in range(trees):
         tree = Tree(np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, BINS + 1), np.zeros(1 << depth))
         for level in range(depth):
-            feature, cut, gain, sides = best_splits(_level(packed, model, tree, level), least)
+            feature, cut, gain, sides = best_splits(_level(data.packed, model, tree, level), least)
             here = slice((1 << level) - 1, (1 << level + 1) - 1)
             tree.features[here], tree.cuts[here] = feature, cut
             np.add.at(model.gains, feature, gain)
@@ -198,5 +207,13 @@ def fit(frame: DataFrame, names: list[str], *, group: str = "user_idx", item: st
         if not tree.values.any():
             break
         model.trees.append(tree)
-    discard(packed)
+    return model
+
+
+def fit(frame: DataFrame, names: list[str], *, group: str = "user_idx", item: str = "anime_idx", label: str = "label",
+        **settings) -> Ranker:
+    """One fit on a frame of features and grades, by the settings of ``boost``."""
+    data = prepare(frame, names, group=group, item=item, label=label)
+    model = boost(data, **settings)
+    discard(data.packed)
     return model

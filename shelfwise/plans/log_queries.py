@@ -523,3 +523,9 @@ def est_7(w):
     grid = es.knob_grid(w.spark, {"k": [4, 8], "cut": [True, False], "dims": [16, 32]}, {"cut": ["dims"]})
     picked = es.random_settings(grid, 4, 7)
     return es.kmeans_sweep(w.ivec.where("anime_idx >= 2"), "vec", picked).withColumn("cost", F.round("cost", 3))
+
+
+@query("est_7_ranker")
+def est_7_ranker(w):
+    """Metrics of every setting of the ranker on the evaluation pools."""
+    return w.sweep.withColumn("value", F.round("value", 4))

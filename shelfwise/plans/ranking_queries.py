@@ -451,6 +451,15 @@ def evl_12(w):
     return board.select("version", "run_name", F.round("test_recall", 6).alias("test_recall"))
 
 
+@query("evl_12_sweep")
+def evl_12_sweep(w):
+    """The leaderboard of the ranker's sweep, by NDCG at 10."""
+    by = ["run_name", "trees", "depth", "rate"]
+    runs = me.pivot_metrics(w.sweep, by, {"ndcg@10": "ndcg10", "recall@50": "recall50"})
+    board = me.leaderboard(runs.withColumn("source", F.lit(0)), ["run_name"], "source", "ndcg10")
+    return board.select(*by, F.round("ndcg10", 4).alias("ndcg10"), F.round("recall50", 4).alias("recall50"))
+
+
 _CSIDE_L = f"(SELECT user_idx, count(*) AS r_total FROM ({_CQ}) GROUP BY user_idx)"
 
 

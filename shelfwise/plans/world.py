@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.staging import stage
-from shelfwise.operators import atlas, cleaning, encoding, estimators, features, labels, layout, recommend, splits, vectors
+from shelfwise.functions.staging import stage, stage_root
+from shelfwise.operators import atlas, cleaning, encoding, estimators, features, labels, layout, recommend, splits, tuning, vectors
 from shelfwise.sources import adapters
 
 
@@ -261,6 +262,18 @@ class World:
     def ranker(self):
         return estimators.fit_ranker(self.train_features)
 
+    @cached_property
+    def sweep(self) -> DataFrame:
+        """Settings of the ranker, judged on the evaluation pools."""
+        grid = estimators.knob_grid(self.spark, {"trees": [8], "depth": [2, 3], "rate": [0.1, 0.3]}, {})
+        held = self.frame(self.pool, self.eval_history, self.eval_stats, self.ages)
+        kept = [c for c in features.FEATURES if c != "pool_rank"]
+        held = stage(held.select("user_idx", "anime_idx", *kept).join(
+            self.labelled.select("user_idx", "anime_idx", F.col("pool_rank").cast("double").alias("pool_rank"), "label"),
+            ["user_idx", "anime_idx"]), "held-features")
+        board = f"{stage_root(self.spark)}/board-{uuid.uuid4().hex}"
+        return tuning.ranker_sweep(self.train_features, held, self.side, features.FEATURES, grid, board, ks=[10, 50])
+
     def ranked(self, pool: DataFrame) -> DataFrame:
         """A pool of evaluation users with the fitted ranker's ``pred``."""
         return estimators.score_ranker(self.ranker, self.frame(pool, self.eval_history, self.eval_stats, self.ages))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, layout, metrics, ranker, recommend, sampling, splits, vectors
+from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, layout, metrics, ranker, recommend, sampling, splits, tuning, vectors
 
 
 def rows(df, *cols):
@@ -546,3 +546,24 @@ def test_layout_is_the_graphs_leading_eigenvectors(spark):
     flat = estimators.project(items, "anime_idx", "vec").withColumns({c: F.col(c) * 10 for c in "xy"})
     share, plain = (layout.kept_neighbours(links, p, 10).first().share for p in (places, flat))
     assert places.count() == n and share > plain
+
+
+def test_ranker_sweep_fits_each_setting_once(spark, tmp_path, monkeypatch):
+    names, board = ["cos", "a", "b", "gap"], str(tmp_path / "board")
+    train, held = _planted_pools(spark, 60, 1), _planted_pools(spark, 30, 2).withColumn("pool_rank", F.col("anime_idx"))
+    held = stage(held.withColumn("label", (F.col("label") > 0).cast("int")), "held")
+    side = held.groupBy("user_idx").agg(F.sum("label").alias("r_total"))
+    grid = estimators.knob_grid(spark, {"trees": [1, 4], "depth": [2], "rate": [0.3]}, {})
+    fits, boost = [], ranker.boost
+    monkeypatch.setattr(ranker, "boost", lambda data, **s: fits.append(s["trees"]) or boost(data, **s))
+    one = grid.where("trees = 1")
+    first = tuning.ranker_sweep(train, held, side, names, one.unionByName(one), board, ks=[10])
+    assert first.count() == 3 and fits == [1]                           # a setting twice is one run
+    both = tuning.ranker_sweep(train, held, side, names, grid, board, ks=[10])
+    assert fits == [1, 4] and both.select("run_name").distinct().count() == 2
+    again = tuning.ranker_sweep(train, held, side, names, grid, board, ks=[10])
+    assert fits == [1, 4] and again.count() == 6
+    value = {r.trees: r.value for r in again.where("metric = 'ndcg@10'").collect()}
+    model = ranker.fit(train, names, trees=4, depth=2, rate=0.3)
+    pred = {(r.user_idx, r.anime_idx): r.pred for r in model.score(held, ["user_idx", "anime_idx"]).collect()}
+    assert abs(value[4] - _ndcg(held.collect(), lambda r: pred[r.user_idx, r.anime_idx])) < 1e-9

@@ -15,6 +15,8 @@ from shelfwise.functions.vectors import dot, mean_of, scaled_sum, unit
 SCORE_PLACES = 6
 BROADCAST_BYTES = 64 << 20          # largest item matrix sent whole to every task
 USER_BLOCK, ITEM_BLOCK = 4096, 16384
+CELLS, CELL_ITEMS = 64, 2048        # cells that items are ordered by: at most so many, of about so many items or more
+LANES, MAX_TASKS = 16, 20000        # lists per user that are merged at most, and tasks at most
 SCORE_ROWS = 256                    # users scored at once inside a task
 
 
@@ -129,15 +131,21 @@ def list_slices(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [values[a:b] if ok else values[:0] for a, b, ok in zip(ends[:-1], ends[1:], arr.is_valid().to_numpy(zero_copy_only=False))]
 
 
+def _masked_scores(vecs: np.ndarray, masks: list[np.ndarray], ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Rounded products of users and items, minus infinity where masked; ``ids`` ascending."""
+    scores = np.round(vecs @ matrix.T, SCORE_PLACES) + 0.0
+    for r, mask in enumerate(masks):
+        if len(mask):
+            pos = np.minimum(np.searchsorted(ids, mask), len(ids) - 1)
+            scores[r, pos[ids[pos] == mask]] = -np.inf
+    return scores
+
+
 def _masked_best(uids: np.ndarray, vecs: np.ndarray, masks: list[np.ndarray], ids: np.ndarray, matrix: np.ndarray,
                  k: int) -> Iterator[pa.RecordBatch]:
     """Best k unmasked items of one item block for each user; ``ids`` ascending."""
     for at in range(0, len(uids), SCORE_ROWS):
-        scores = np.round(vecs[at:at + SCORE_ROWS] @ matrix.T, SCORE_PLACES) + 0.0
-        for r, mask in enumerate(masks[at:at + SCORE_ROWS]):
-            if len(mask):
-                pos = np.minimum(np.searchsorted(ids, mask), len(ids) - 1)
-                scores[r, pos[ids[pos] == mask]] = -np.inf
+        scores = _masked_scores(vecs[at:at + SCORE_ROWS], masks[at:at + SCORE_ROWS], ids, matrix)
         rows, cols = _top_rows(scores, k)
         yield pa.RecordBatch.from_arrays(
             [pa.array(uids[at:at + SCORE_ROWS][rows], pa.int32()), pa.array(ids[cols], pa.int32()), pa.array(scores[rows, cols])],
@@ -169,42 +177,154 @@ def _by_broadcast(users: DataFrame, shared, mask: DataFrame, k: int) -> DataFram
     return users.select("user_idx", "vec").join(masks, "user_idx", "left").mapInArrow(score, _TOP_SCHEMA)
 
 
-def _by_blocks(users: DataFrame, items: DataFrame, mask: DataFrame, k: int,
-               user_block: int, item_block: int) -> DataFrame:
-    """Blocked matrix product: a task sees one bounded block of users and one of items."""
+class Running:
+    """The k best items so far of one block of users, while items come by in pieces.
+
+    No item of a piece scores over ``min(u . c + |u| r, |u| s)`` for its centre c, its radius r and its longest vector s.
+    A user whose k-th score is above that leaves the piece out; ``scored`` counts the products that were made.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.chunks, self.scored = k, [], 0
+
+    def add_users(self, uids: np.ndarray, vecs: np.ndarray, masks: list[np.ndarray]) -> None:
+        for at in range(0, len(uids), SCORE_ROWS):
+            cut = slice(at, at + SCORE_ROWS)
+            n = len(uids[cut])
+            self.chunks.append({"uids": uids[cut], "vecs": vecs[cut], "size": np.linalg.norm(vecs[cut], axis=1), "masks": masks[cut],
+                                "rows": np.zeros(0, np.int64), "ids": np.zeros(0, np.int64), "scores": np.zeros(0), "kth": np.full(n, -np.inf)})
+
+    def see(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, matrix = ids[order], matrix[order]
+        centre = matrix.mean(axis=0)
+        radius, longest = np.linalg.norm(matrix - centre, axis=1).max(), np.linalg.norm(matrix, axis=1).max()
+        for c in self.chunks:
+            bound = np.minimum(c["vecs"] @ centre + c["size"] * radius, c["size"] * longest)
+            active = np.flatnonzero(~(bound + 10.0 ** -SCORE_PLACES < c["kth"]))        # scores are rounded
+            if len(active):
+                self.scored += len(active) * len(ids)
+                self._merge(c, active, ids, _masked_scores(c["vecs"][active], [c["masks"][r] for r in active], ids, matrix))
+
+    def _merge(self, c: dict, active: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        kth = c["kth"][active]
+        if np.isfinite(kth).all():
+            rows, cols = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+        else:
+            rows, cols = _top_rows(scores, self.k)
+        if not len(rows):
+            return
+        all_rows = np.concatenate([c["rows"], active[rows]])
+        all_ids = np.concatenate([c["ids"], ids[cols]])
+        all_scores = np.concatenate([c["scores"], scores[rows, cols]])
+        order = np.lexsort((all_ids, -all_scores, all_rows))
+        all_rows = all_rows[order]
+        order = order[np.arange(len(order)) - np.searchsorted(all_rows, all_rows) < self.k]
+        c["ids"], c["scores"] = all_ids[order], all_scores[order]
+        c["rows"] = np.concatenate([c["rows"], active[rows]])[order]
+        n = np.bincount(c["rows"], minlength=len(c["uids"]))
+        full = np.flatnonzero(n >= self.k)
+        c["kth"][full] = c["scores"][np.cumsum(n)[full] - 1]
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for c in self.chunks:
+            yield pa.RecordBatch.from_arrays([pa.array(c["uids"][c["rows"]], pa.int32()), pa.array(c["ids"], pa.int32()), pa.array(c["scores"])],
+                                             names=["user_idx", "anime_idx", "cos"])
+
+
+def _with_ranks(items: DataFrame, pivots: np.ndarray, asking: int) -> DataFrame:
+    """``(id, vec, size, ranks)``: the length of each item, and per user cell the place of the item's cell in that cell's order."""
+    half = (pivots ** 2).sum(axis=1) / 2
+    place = np.argsort(np.argsort(-(pivots[:asking] @ pivots.T), axis=1, kind="stable"), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = flat_vectors(b["vec"])
+                ranks = place[:, np.argmax(m @ pivots.T - half, axis=1)].T.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b["id"], b["vec"], pa.array(np.linalg.norm(m, axis=1)), pa.array(list(ranks), pa.list_(pa.int32()))],
+                                                 names=["id", "vec", "size", "ranks"])
+    return items.select(F.col("anime_idx").cast("int").alias("id"), "vec").mapInArrow(run, "id int, vec array<double>, size double, ranks array<int>")
+
+
+def _with_cells(users: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``(id, vec, cell)``: the pivot with the largest product with the user's vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = np.argmax(flat_vectors(b["vec"]) @ pivots.T, axis=1)
+                yield pa.RecordBatch.from_arrays([b["id"], b["vec"], pa.array(cell, pa.int32())], names=["id", "vec", "cell"])
+    return users.select(F.col("user_idx").cast("int").alias("id"), "vec").mapInArrow(run, "id int, vec array<double>, cell int")
+
+
+def _by_blocks(users: DataFrame, items: DataFrame, mask: DataFrame, k: int, user_block: int, item_block: int, lanes: int | None) -> DataFrame:
+    """A task keeps one block of like users and their best items so far, and items stream past it, the likeliest cells first.
+
+    Items are dealt to ``lanes``, so at most ``lanes * k`` rows a user leave the tasks. In memory are a block of users with
+    their lists and ``item_block`` items. At most ``CELLS`` vectors and as many counts reach the driver.
+    """
     spark = users.sparkSession
-    u_of = F.floor(F.col("user_idx") / user_block).cast("int")
-    i_of = F.floor(F.col("anime_idx") / item_block).cast("int")
-    sides = (users.agg(F.max(u_of)).first()[0], items.agg(F.max(i_of)).first()[0])     # two numbers
-    if None in sides:
+    n_users, n_items = users.count(), items.count()
+    if not n_users or not n_items:
         return spark.createDataFrame([], _TOP_SCHEMA)
-    masks = (mask.groupBy("user_idx", i_of.alias("ib"))
-             .agg(F.collect_set("anime_idx").alias("mask")))                          # at most item_block entries
-    left = (users.select("user_idx", "vec", u_of.alias("ub"),
-                         F.explode(F.sequence(F.lit(0), F.lit(sides[1]))).alias("ib"))
-            .join(masks, ["user_idx", "ib"], "left").toDF("user_idx", "ib", "vec", "ub", "mask"))
-    right = items.select("anime_idx", "vec", i_of.alias("ib"),
-                         F.explode(F.sequence(F.lit(0), F.lit(sides[0]))).alias("ub")).toDF("anime_idx", "vec", "ib", "ub")
-
-    def score(u: pa.Table, v: pa.Table) -> pa.Table:
-        if not u.num_rows or not v.num_rows:
-            return pa.table({"user_idx": pa.array([], pa.int32()), "anime_idx": pa.array([], pa.int32()), "cos": pa.array([], pa.float64())})
-        v = v.sort_by("anime_idx")
-        return pa.Table.from_batches(_masked_best(u["user_idx"].to_numpy(), flat_vectors(u["vec"]), list_slices(u["mask"]),
-                                                  v["anime_idx"].to_numpy(), flat_vectors(v["vec"]), k))
-    return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(score, _TOP_SCHEMA)
+    cells = min(CELLS, -(-n_items // CELL_ITEMS))
+    pivots = np.array([r.vec for r in items.orderBy(F.xxhash64("anime_idx"), "anime_idx").limit(cells).select("vec").collect()])
+    asking = min(len(pivots), -(-n_users // user_block))
+    located = _with_cells(users, pivots[:asking])
+    sizes = dict(located.groupBy("cell").count().collect())
+    blocks = [-(-sizes.get(c, 0) // user_block) for c in range(asking)]
+    first = np.concatenate([[0], np.cumsum(blocks)]).tolist()
+    lanes = lanes or max(1, min(LANES, -(-spark.sparkContext.defaultParallelism // first[-1])))
+    tasks = min(first[-1] * lanes, MAX_TASKS)
+
+    def of(values: list[int], cell: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(cell) + 1)
+
+    masks = mask.groupBy(F.col("user_idx").alias("id")).agg(F.collect_set("anime_idx").alias("mask"))      # at most one entry per item
+    every_lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    left = (located.join(masks, "id", "left").select("id", "vec", "mask", "cell", every_lane)
+            .withColumn("block", of(first[:-1], "cell") + F.pmod(F.xxhash64("id"), of(blocks, "cell")).cast("int"))
+            .select((F.col("block") * lanes + F.col("lane")).alias("g"), F.lit(-1).alias("rank"), F.lit(0.0).alias("size"), "id", "vec", "mask"))
+    right = (_with_ranks(items, pivots, asking).select("id", "vec", "size", F.posexplode("ranks").alias("cell", "rank"))
+             .where(of(blocks, "cell") > 0)
+             .select("id", "vec", "size", "rank", F.explode(F.sequence(of(first[:-1], "cell"), of(first[1:], "cell") - 1)).alias("block"))
+             .select((F.col("block") * lanes + F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int")).alias("g"), "rank", "size", "id", "vec",
+                     F.lit(None).cast("array<int>").alias("mask")))
+    streamed = (left.unionByName(right).repartitionById(tasks, F.col("g") % tasks)
+                .sortWithinPartitions("g", "rank", F.desc("size"), "id"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, Running(k)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, rank, ids = (b[c].to_numpy() for c in ("g", "rank", "id"))
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(rank) != 0)) + 1).tolist(), b.num_rows]
+            for at, end in zip(cuts[:-1], cuts[1:]):
+                if g[at] != now:
+                    yield from state.out()
+                    now, state = g[at], Running(k)
+                piece = b.slice(at, end - at)
+                if rank[at] < 0:
+                    state.add_users(ids[at:end], flat_vectors(piece["vec"]), list_slices(piece["mask"]))
+                    continue
+                matrix = flat_vectors(piece["vec"])
+                for i in range(0, end - at, item_block):
+                    state.see(ids[at:end][i:i + item_block], matrix[i:i + item_block])
+        yield from state.out()
+    return streamed.mapInArrow(score, _TOP_SCHEMA)
 
 
 def masked_top_k(users: DataFrame, items: DataFrame, mask: DataFrame, k: int, *,
                  exclude: DataFrame | None = None, only: DataFrame | None = None,
                  broadcast_bytes: int = BROADCAST_BYTES,
-                 user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+                 user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK, lanes: int | None = None) -> DataFrame:
     """The k best items per user by inner product, exact, with their 0-based ``pool_rank``.
 
     Never returned: the special items, ``exclude``, anything outside ``only``, and the user's
     ``mask`` rows. Scores are rounded to 6 places, ties go to the lower index, and a user with
     fewer than k items left gets those alone. A small item matrix (counted first) goes to every
-    task; a larger one is multiplied block by block.
+    task; a larger one streams past blocks of users, who leave out what cannot beat their k-th score.
     """
     able = items.where("anime_idx >= 2").select("anime_idx", "vec")
     if exclude is not None:
@@ -216,7 +336,7 @@ def masked_top_k(users: DataFrame, items: DataFrame, mask: DataFrame, k: int, *,
     if shared is not None:
         best = _by_broadcast(users, shared, mask, k)
     else:
-        best = _by_blocks(users, able, mask, k, user_block, item_block)
+        best = _by_blocks(users, able, mask, k, user_block, item_block, lanes)
     order = Window.partitionBy("user_idx").orderBy(F.desc("cos"), "anime_idx")
     return (best.withColumn("pool_rank", F.row_number().over(order)).where(F.col("pool_rank") <= k)
             .withColumn("pool_rank", F.col("pool_rank") - 1))

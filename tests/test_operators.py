@@ -154,6 +154,48 @@ def test_top_k_equals_brute_force(spark, limit):
     assert rows(got, "user_idx", "anime_idx", "pool_rank") == sorted(want)
 
 
+def _clustered(rng, n, d=16, groups=12):
+    centres = rng.normal(size=(groups, d)) * 3
+    return centres[rng.integers(0, groups, n)] + rng.normal(size=(n, d)) * 0.05
+
+
+def test_pieces_that_cannot_beat_the_kth_score_are_left_out():
+    rng = np.random.default_rng(11)
+    items, users = _clustered(rng, 4000), _clustered(np.random.default_rng(12), 300)
+    masks = [rng.integers(0, 4000, int(n)).astype(np.int32) for n in rng.integers(0, 50, 300)]
+    state = vectors.Running(10)
+    state.add_users(np.arange(300), users, masks)
+    near = np.argsort(-(items @ users.mean(axis=0)), kind="stable")
+    for i in range(0, 4000, 50):
+        state.see(near[i:i + 50], items[near[i:i + 50]])
+    got = {}
+    for b in state.out():
+        for u, i in zip(b["user_idx"].to_pylist(), b["anime_idx"].to_pylist()):
+            got.setdefault(u, []).append(i)
+    for u in range(300):
+        scores = np.round(items @ users[u], 6)
+        scores[masks[u]] = -np.inf
+        assert got[u] == np.lexsort((np.arange(4000), -scores))[:10].tolist()
+    assert state.scored < 0.9 * 300 * 4000
+
+
+def test_blocked_top_k_equals_the_shared_one_and_sends_few_rows(spark):
+    rng = np.random.default_rng(13)
+    items = _clustered(rng, 5000)
+    items[100:200] = items[0]                                     # ties
+    items[4000:] *= np.linspace(0.1, 1, 1000)[:, None]            # lengths differ
+    users = np.vstack([_clustered(rng, 400), np.zeros((3, 16))])
+    uid = [7 * u + 1_000_000 for u in range(len(users))]          # ids with gaps
+    item_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "anime_idx int, vec array<double>")
+    user_df = spark.createDataFrame([(u, v.tolist()) for u, v in zip(uid, users)], "user_idx int, vec array<double>")
+    mask_df = spark.createDataFrame([(uid[u], int(i)) for u in range(0, 400, 3) for i in rng.integers(0, 5000, 40)], "user_idx int, anime_idx int")
+    want = rows(vectors.masked_top_k(user_df, item_df, mask_df, 20), "user_idx", "anime_idx", "cos", "pool_rank")
+    got = vectors.masked_top_k(user_df, item_df, mask_df, 20, broadcast_bytes=0, user_block=64, item_block=300, lanes=3)
+    assert rows(got, "user_idx", "anime_idx", "cos", "pool_rank") == want
+    sent = vectors._by_blocks(user_df, item_df.where("anime_idx >= 2"), mask_df, 20, 64, 300, 3)
+    assert sent.groupBy("user_idx").count().agg({"count": "max"}).first()[0] <= 3 * 20
+
+
 def test_top_k_without_items(spark):
     u = spark.createDataFrame([(0, [1.0])], "user_idx int, vec array<double>")
     i = spark.createDataFrame([(0, [1.0])], "anime_idx int, vec array<double>")

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: word pairs find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare word pairs of the test items are joined to the texts, Smith-Waterman alignment scores the passages."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from shelfwise.llm.simhash import text_key
 PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 MATCH, MISMATCH, GAP = 2, -1, -1
 PAIR_BASE = np.uint64(0xD6E8FEB86659FD93)
-COMMON = 64                 # items that may share a word pair before it is left out where the rest suffices
+COMMON = 64                 # occurrences in the corpus beyond which a place of an item is no seed where the rest suffices
+LEFT = 4                    # an item keeps so great a part of the pairs it needs to be sought, whatever their counts
 BLOCK_BYTES = 16 << 20      # benchmark text sent to the tasks at once
 
 
@@ -33,12 +34,14 @@ def pair_hashes(hashes: np.ndarray, ahead: int) -> np.ndarray:
 
 
 class Items:
-    """The word hashes and word pairs of a block of test items.
+    """The word hashes and seeds (word pairs) of a block of test items.
 
     An alignment with a score of ``least`` of the item's own has M matches and at most ``2 * (M - least * m)`` edits for
     an item of m words, so at least ``least * m - 1`` of its matches are followed by the next one with at most one edit
     between: the two words are one or two apart in the item and in the text. ``need`` is that number, ``span`` the most
-    words such a passage can have. Both are bounds, so looking for ``need`` pairs within ``span`` words misses nothing.
+    words such a passage can have. An item may lose any of its places if ``need`` falls by one for each, so its places
+    that are common in the corpus are left out and the rare ones sought: ``need`` of them within ``span`` words. These
+    are bounds, so nothing is missed.
     """
 
     def __init__(self, ids: list[int], texts: list[bytes], gram: int, least: float):
@@ -48,7 +51,7 @@ class Items:
         self.words = [hashes[a:a + n] for a, n in zip(words.first.tolist(), words.counts.tolist())]
         self.need = np.ceil(least * words.counts - 1e-9).astype(np.int64) - 1
         self.span = words.counts + np.floor(2 * words.counts * (1 - least) + 1e-9).astype(np.int64)
-        keys, item, offset = [], [], []
+        keys, item, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
             if len(w) < gram or self.need[i] < 1:
                 continue
@@ -57,25 +60,54 @@ class Items:
                 keys.append(g)
                 item.append(np.full(len(g), i))
                 offset.append(np.arange(len(g)))
-        self.keys, self.item, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, offset))
-        if len(self.keys):
-            self._leave_out_common(offset)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.item = self.keys[order], self.item[order]
-
-    def _leave_out_common(self, offset: np.ndarray) -> None:
-        """Pairs at places whose pairs very many items share are not looked up, and ``need`` falls by one a place."""
-        _, same, n = np.unique(self.keys, return_inverse=True, return_counts=True)
-        keep = np.ones(len(self.keys), bool)
-        order = np.argsort(self.item, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            i = int(self.item[at[0]])
-            shared = np.bincount(offset[at], weights=n[same[at]])
-            places = np.argsort(-shared, kind="stable")[:int(self.need[i]) // 2]
-            places = places[shared[places] > COMMON]
-            keep[at[np.isin(offset[at], places)]] = False
-            self.need[i] -= len(places)
-        self.keys, self.item = self.keys[keep], self.item[keep]
+        self.item, self.offset = np.concatenate(item), np.concatenate(offset)
+        self.keys, self.seed = np.unique(np.concatenate(keys), return_inverse=True)
+        self._maybe = None
+
+    def choose(self, counts: np.ndarray) -> None:
+        """Leave out the places of each item whose pairs occur most in the corpus; ``counts`` are those of ``keys``."""
+        if not len(self.item):
+            return
+        _, first, place = np.unique(self.item * (self.offset.max() + 1) + self.offset, return_index=True, return_inverse=True)
+        weight = np.bincount(place, weights=counts[self.seed])
+        item = self.item[first]
+        order = np.lexsort((self.offset[first], -weight, item))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+        spare = self.need - np.maximum(1, self.need // LEFT)
+        out = (rank < spare[item]) & (weight > COMMON)
+        self.need = self.need - np.bincount(item[out], minlength=len(self.need))
+        keep = ~out[place]
+        self.item, self.offset = self.item[keep], self.offset[keep]
+        used, seed = np.unique(self.seed[keep], return_inverse=True)
+        self.keys, self.seed = self.keys[used], seed
+
+    def table(self) -> pa.Table:
+        """One row per seed and item that has it."""
+        rows = np.unique(self.seed * len(self.ids) + self.item)
+        seed, item = np.divmod(rows, max(1, len(self.ids)))
+        return pa.table({"seed": pa.array(seed, pa.int32()), "item": pa.array(item, pa.int32()),
+                         "need": pa.array(self.need[item], pa.int32()), "span": pa.array(self.span[item], pa.int32())})
+
+    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(seed, place)`` of every seed in the texts."""
+        if self._maybe is None:                     # most pairs fail at a table of their last bits
+            bits = max(16, int(8 * len(self.keys)).bit_length())
+            self._mask, self._maybe = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
+            self._maybe[self.keys & self._mask] = True
+        owner = np.repeat(np.arange(len(words.counts)), words.counts)
+        seeds, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for ahead in (1, 2):
+            if len(hashes) <= ahead or not len(self.keys):
+                continue
+            grams = pair_hashes(hashes, ahead)
+            place = np.flatnonzero(self._maybe[grams & self._mask])
+            place = place[owner[place] == owner[place + ahead]]
+            seed = np.minimum(np.searchsorted(self.keys, grams[place]), len(self.keys) - 1)
+            hit = self.keys[seed] == grams[place]
+            seeds.append(seed[hit])
+            places.append(place[hit])
+        return np.concatenate(seeds), np.concatenate(places)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,70 +136,88 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def candidates(words: Words, hashes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """``(text, item, first, stop)``: all stretches of the texts that hold enough word pairs of an item close together."""
-    if not len(items.keys) or not len(hashes):
-        return []
-    owner = np.repeat(np.arange(len(words.counts)), words.counts)
-    places, lows, counts = [], [], []
-    for ahead in (1, 2):
-        if len(hashes) <= ahead:
-            continue
-        grams = pair_hashes(hashes, ahead)
-        low = np.searchsorted(items.keys, grams, "left")
-        hit = np.flatnonzero((items.keys[np.minimum(low, len(items.keys) - 1)] == grams) & (owner[:-ahead] == owner[ahead:]))
-        places.append(hit)
-        lows.append(low[hit])
-        counts.append(np.searchsorted(items.keys, grams[hit], "right") - low[hit])
-    place, low, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, lows, counts))
-    if not len(place):
-        return []
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hits = np.unique(np.stack([items.item[np.repeat(low, n) + step], np.repeat(place, n)], axis=1), axis=0)
-    item, place = hits[:, 0], hits[:, 1]
-    last = np.arange(len(item)) + items.need[item] - 1
-    inside = np.minimum(last, len(item) - 1)
-    good = ((last < len(item)) & (item[inside] == item) & (owner[place[inside]] == owner[place])
-            & (place[inside] - place < items.span[item]))
-    item, place = item[good], place[good]
-    text, span = owner[place], items.span[item]
-    first = np.maximum(place - span, words.first[text])
-    stop = np.minimum(place + span, words.first[text] + words.counts[text])
+def _words_of(texts: list[bytes | None]):
+    """``(slice, words, hashes)`` for runs of texts of bounded size."""
+    for part in chunks(texts):
+        words = Words([normal_words(t) for t in texts[part]])
+        yield part, words, words.hashes()
+
+
+def seed_counts(rows: DataFrame, items: Items) -> np.ndarray:
+    """How often each seed occurs in all texts: tasks add up, so at most one number a seed and task is shuffled."""
+    def run(batches):
+        total = np.zeros(len(items.keys), np.int64)
+        for batch in batches:
+            for _, words, hashes in _words_of(batch.column("text").to_pylist()):
+                total += np.bincount(items.hits(words, hashes)[0], minlength=len(total))
+        seed = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"seed": pa.array(seed, pa.int32()), "n": pa.array(total[seed], pa.int64())})
+    found = rows.select("text").mapInArrow(run, "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(items.keys), np.int64)
+    out[found["seed"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def candidates(rows: DataFrame, items: Items) -> DataFrame:
+    """``(doc_id, tkey, found)``: texts with enough seeds of an item close together, the items and where such stretches begin."""
+    def run(batch):
+        ids, keys = batch.column("doc_id"), batch.column("tkey")
+        for part, words, hashes in _words_of(batch.column("text").to_pylist()):
+            seed, place = items.hits(words, hashes)
+            text = np.searchsorted(words.first + words.counts, place, "right")
+            at = pa.array(part.start + text)
+            yield {"doc_id": ids.take(at), "tkey": keys.take(at), "seed": pa.array(seed, pa.int32()),
+                   "place": pa.array(place - words.first[text] if len(text) else place, pa.int32())}
+    hits = map_batches(rows, run, "doc_id bigint, tkey bigint, seed int, place int")
+    near = (hits.join(rows.sparkSession.createDataFrame(items.table()), "seed")
+            .groupBy("doc_id", "tkey", "item", "need", "span").agg(F.sort_array(F.collect_set("place")).alias("p"))
+            .where(F.size("p") >= F.col("need")))
+    begins = F.filter(F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda j: F.when(
+        F.get("p", j + F.col("need") - 1) - F.get("p", j) < F.col("span"), F.get("p", j))), lambda x: x.isNotNull())
+    return (near.select("doc_id", "tkey", "item", begins.alias("begins")).where(F.size("begins") > 0)
+            .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("item", "begins")).alias("found")))       # at most one entry an item
+
+
+def stretches(begins: list[int], span: int, n: int) -> list[tuple[int, int]]:
+    """What a passage of ``span`` words around these places may cover in a text of n words; long ones in overlapping pieces."""
     out: list[list[int]] = []
-    for t, i, a, b in zip(text.tolist(), item.tolist(), first.tolist(), stop.tolist()):
-        if out and out[-1][:2] == [t, i] and a <= out[-1][3]:
-            out[-1][3] = b
+    for place in begins:
+        a, b = max(place - span, 0), min(place + span, n)
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
         else:
-            out.append([t, i, a, b])
-    # long stretches in pieces that overlap by the longest passage
-    return [(t, i, c, min(b, c + 8 * s)) for t, i, a, b in out for s in [int(items.span[i])] for c in range(a, max(a + 1, b - s), 7 * s)]
+            out.append([a, b])
+    return [(c, min(b, c + 8 * span)) for a, b in out for c in range(a, max(a + 1, b - span), 7 * span)]
+
 
+def _matches(rows: DataFrame, items: Items, least: float) -> DataFrame:
+    near = candidates(rows, items).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), "found")
+    joined = rows.join(near, rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["tkey"] == F.col("_key")))
 
-def _matches(docs: DataFrame, items: Items, least: float) -> DataFrame:
     def run(batch):
-        ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist()))
-        texts = batch.column("text").to_pylist()
-        rows: list[tuple] = []
-        for part in chunks(texts):
-            words = Words([normal_words(t) for t in texts[part]])
-            hashes = words.hashes()
-            todo = [(part.start + t, i, a - int(words.first[t]), hashes[a:b]) for t, i, a, b in candidates(words, hashes, items)]
-            todo.sort(key=lambda t: len(t[3]))
+        found = batch.column("found").to_pylist()
+        best_of: dict[tuple, tuple] = {}
+        for part, words, hashes in _words_of(batch.column("text").to_pylist()):
+            todo = []
+            for t, (first, n) in enumerate(zip(words.first.tolist(), words.counts.tolist())):
+                for f in found[part.start + t]:
+                    for a, b in stretches(f["begins"], int(items.span[f["item"]]), n):
+                        todo.append((part.start + t, f["item"], a, hashes[first + a:first + b]))
+            todo.sort(key=lambda x: len(x[3]))
             for i in range(0, len(todo), 256):
                 some = todo[i:i + 256]
-                best, end = align([items.words[t[1]] for t in some], [t[3] for t in some])
-                for (row, item, first, _), score, stop in zip(some, best.tolist(), end.tolist()):
-                    share = score / (MATCH * len(items.words[item]))
+                score, end = align([items.words[x[1]] for x in some], [x[3] for x in some])
+                for (row, item, a, _), top, stop in zip(some, score.tolist(), end.tolist()):
+                    share = top / (MATCH * len(items.words[item]))
                     if share >= least:
-                        rows.append((ids[row], items.ids[item], share, first + stop))
-        best_of: dict[tuple, tuple] = {}
-        for doc, item, share, stop in rows:
-            best_of[doc, item] = max((share, stop), best_of.get((doc, item), (-1.0, 0)))
-        return {"doc_id": pa.array([d for (d, _), _ in best_of], pa.int64()), "tkey": pa.array([t for (_, t), _ in best_of], pa.int64()),
-                "item_id": pa.array([i for _, i in best_of], pa.int64()),
+                        best_of[row, item] = max((share, a + stop), best_of.get((row, item), (-1.0, 0)))
+        at = pa.array([row for row, _ in best_of], pa.int64())
+        return {"doc_id": batch.column("doc_id").take(at), "tkey": batch.column("tkey").take(at),
+                "item_id": pa.array([items.ids[i] for _, i in best_of], pa.int64()),
                 "score": pa.array([v[0] for v in best_of.values()], pa.float64()),
                 "end_word": pa.array([v[1] for v in best_of.values()], pa.int64())}
-    return map_batches(docs, run, "doc_id bigint, tkey bigint, item_id bigint, score double, end_word bigint")
+    return map_batches(joined.select("doc_id", "tkey", "text", "found"), run,
+                       "doc_id bigint, tkey bigint, item_id bigint, score double, end_word bigint")
 
 
 def benchmark_blocks(benchmark: DataFrame, gram: int, least: float, block_bytes: int, id_col: str, text_col: str):
@@ -188,12 +238,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, gram
     """``(doc_id, item_id, score, end_word)``: documents with a passage like a test item.
 
     ``score`` is the best local alignment (match 2, mismatch and gap -1) over that of the item with itself, at
-    least ``least``; one row per id and item, with the best score. The benchmark, the stated query set, goes to
-    the tasks in blocks of ``block_bytes``; documents are read once per block and never shuffled. Every pair of
-    that score is found, however its edits are spread (:class:`Items`).
+    least ``least``; one row per id and item, with the best score. The benchmark, the stated query set, is worked
+    on in blocks of ``block_bytes``, one after the other. Per block documents are read three times: to count the
+    seeds in the whole corpus, to join the rare ones with the items, and to align the texts with enough of them.
+    Every pair of that score is found, however its edits are spread (:class:`Items`).
 
     Null and empty texts and items match nothing, nor do items shorter than ``gram`` words or of which one word
-    alone would reach ``least``. Repeated ids are reported as one document, null ids as null.
+    alone would reach ``least``. Repeated ids are reported as one document, null ids as null. A very long text is
+    aligned in overlapping pieces; of equal scores the later ``end_word`` counts; empty tables give an empty one.
     """
     found = _found(docs, benchmark, least, gram, block_bytes, id_col, text_col, item_id, item_text)
     place = F.struct("score", "end_word")
@@ -209,7 +261,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, gram: int, block
     for items in benchmark_blocks(benchmark, gram, least, block_bytes, item_id, item_text):
         if not len(items.keys):
             continue
-        part = _matches(rows, items, least)
+        items.choose(seed_counts(rows, items))
+        part = stage(_matches(rows, items, least), "matches")           # a block's seeds leave the tasks before the next come
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "doc_id bigint, tkey bigint, item_id bigint, score double, end_word bigint")

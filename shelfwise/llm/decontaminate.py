@@ -17,7 +17,7 @@ PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.pun
 MATCH, MISMATCH, GAP = 2, -1, -1
 PAIR_BASE = np.uint64(0xD6E8FEB86659FD93)
 COMMON = 64                 # occurrences in the corpus beyond which a place of an item is no seed where the rest suffices
-LEFT = 4                    # an item keeps so great a part of the pairs it needs to be sought, whatever their counts
+LEFT = 2                    # an item keeps 1 part in so many of the pairs it needs to be sought, whatever their counts
 BLOCK_BYTES = 16 << 20      # benchmark text sent to the tasks at once
 
 

@@ -21,6 +21,7 @@ from shelfwise.functions.staging import stage
 from shelfwise.llm.common import Words, chunks, map_batches, mix, ngram_hashes, range_hashes
 
 GRAM = 3                            # words of a minimiser
+MAX_TASKS = 20_000                   # tasks that the buckets are dealt to at most
 PART_BYTES = 16 << 20               # packed text that one bucket should hold
 FLUSH_BYTES = 16 << 20              # packed text a task gathers before it sends
 COUNTED = 1 << 20                   # super-k-mers counted before their sums are combined
@@ -236,7 +237,8 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     heavy = _load(rows, window, fine).where(F.col("bytes") > part_bytes // 4).collect()
     hot = {r.kind: -(-r.bytes // (part_bytes // 8)) for r in heavy}
     packed = rows.mapInArrow(_pack(window, fine, parts, hot), "part bigint, blob binary")
-    found = stage(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+    tasks = min(parts, MAX_TASKS)                           # beyond that a task sorts several buckets, one after the other
+    found = stage(packed.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part").mapInArrow(
         _scan(window), "doc bigint, tkey bigint, start bigint, stop bigint, gram binary"), "repeats")
     marks = found.where("gram IS NULL").select("doc", "tkey", "start", "stop")
     if hot:

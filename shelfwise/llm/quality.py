@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm.common import map_batches
+from shelfwise.llm.common import Words, chunks, map_batches, mix
 
 # byte classes: 0 other ASCII marks, 1 lower, 2 upper, 3 digit, 4 blank, 5 line feed, 6 ends . ! ?, 7 beyond ASCII, 8 |*#$%&
 _KINDS = np.zeros(256, np.uint8)
@@ -20,6 +20,8 @@ for _chars, _kind in (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTU
 _KINDS[128:] = 7
 CLASSES = 9
 BUCKETS = 16
+HASHED = 128                # places that words and word pairs are hashed to
+TEACH_ROWS = 100_000        # unlabelled rows, about, that the views label for each other; fewer are all used
 
 
 def text_features(text: bytes | None) -> np.ndarray:
@@ -36,6 +38,29 @@ def text_features(text: bytes | None) -> np.ndarray:
     return np.concatenate([single, np.sqrt(pairs), rest])
 
 
+def word_features(texts: list[bytes | None]) -> np.ndarray:
+    """Signed counts of hashed words and word pairs, A-Z lower-cased: square roots, as a vector of length 1 (or 0)."""
+    out = np.zeros((len(texts), HASHED))
+    for part in chunks(texts):
+        words = Words([(t or b"").lower().split() for t in texts[part]])
+        single = mix(words.hashes())
+        owner = np.repeat(np.arange(len(words.counts)), words.counts)
+        same = owner[1:] == owner[:-1]
+        pairs = mix(single[:-1] + np.uint64(3) * single[1:])[same]
+        for grams, of in ((single, owner), (pairs, owner[1:][same])):
+            place = of * HASHED + (grams & np.uint64(HASHED - 1)).astype(np.int64)
+            sign = np.where(grams >> np.uint64(63), 1.0, -1.0)
+            out[part] += np.bincount(place, sign, len(words.counts) * HASHED).reshape(-1, HASHED)
+    out = np.sign(out) * np.sqrt(np.abs(out))
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
+
+
+def view_of_text(texts: list[bytes | None]) -> np.ndarray:
+    """What a text is made of and which words it has."""
+    style = np.array([text_features(t) for t in texts]).reshape(len(texts), -1)
+    return np.concatenate([style, word_features(texts)], axis=1)
+
+
 def meta_features(lang: Column, source: Column, n_chars: Column) -> Column:
     """Language and source by hash bucket, size of the page; nulls have buckets and a flag of their own."""
     def bucket(c: Column, n: int) -> list[Column]:
@@ -61,20 +86,23 @@ def _scored(rows: DataFrame, model: LogisticRegressionModel, view: str, out: str
     return done.withColumn(out, vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.98, id_col: str = "doc_id", text_col: str = "text",
-                   lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
+def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.98, teach_rows: int = TEACH_ROWS, id_col: str = "doc_id",
+               text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars",
+               label_col: str = "quality") -> DataFrame:
     """``(doc_id, tkey, score, text_score, meta_score)``, one row per input row: the probability of label 1.
 
     ``tkey`` (a hash of the text and the page data) tells rows with the same id apart.
 
     A fifth of the labelled rows (by hash of the id) is kept for calibration. In each round both views are fitted
-    on the rest and on what the other view was ``sure`` of among the unlabelled rows. The log-odds of each view
+    on the rest and on what the other view was ``sure`` of among the unlabelled rows, or among some ``teach_rows`` of
+    them (chosen by a hash), which bounds the fits; every row is scored. The log-odds of each view
     are then calibrated (Platt) on the kept rows and added, less the prior they share.
 
     Labels that are null are ignored; several for one id: their mean, rounded. Without labels of both kinds every
     score is 1, so nothing is rejected for want of labels; with both, but not both in the fifth and in the rest, the
     views are fitted on all labels and not calibrated. Null and empty texts,
-    null page data and null ids are scored like any others.
+    null page data and null ids are scored like any others, very long texts whole; equal rows get equal scores. Other
+    columns of ``docs`` are not read, so their names cannot clash.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(
         F.round(F.avg(label_col)).cast("double").alias("label"))
@@ -83,13 +111,15 @@ def row_scores(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float
 
     def features(batch):
         return {"doc_id": batch.column("doc_id"), "tkey": batch.column("tkey"), "meta": batch.column("meta"),
-                "words": pa.array([text_features(t).astype(np.float32) for t in batch.column("text").to_pylist()], pa.list_(pa.float32()))}
+                "words": pa.array(list(view_of_text(batch.column("text").to_pylist()).astype(np.float32)), pa.list_(pa.float32()))}
     seen = map_batches(rows, features, "doc_id bigint, tkey bigint, meta array<double>, words array<float>").withColumn(
         "words", F.col("words").cast("array<double>"))
     seen = stage(seen.join(known, "doc_id", "left"), "quality-views")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     train, check = seen.where(F.col("label").isNotNull() & ~held), seen.where(F.col("label").isNotNull() & held)
     free = seen.where("label IS NULL")
+    share = teach_rows / max(free.count(), 1)
+    free = free.where(F.pmod(F.xxhash64("tkey", "doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else free
     kinds = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
     checks = {r.label: r["count"] for r in check.groupBy("label").count().collect()}
     if len(kinds.keys() | checks.keys()) < 2:

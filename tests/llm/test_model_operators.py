@@ -184,6 +184,32 @@ def test_quality_learns_and_keeps(spark):
     assert quality.quality_scores(frame(spark, []), labels).count() == 0
 
 
+def test_word_features_match_plain_counts():
+    texts = [b"Ab ab cd\tab", None, b"", b"x" * 5000, b" ".join(b"w%d" % (i % 7) for i in range(3000))]
+    got = quality.word_features(texts)
+    for t, row in zip(texts, got):
+        words = (t or b"").lower().split()
+        h = [int(x) for x in quality.mix(quality.Words([words]).hashes())]
+        pairs = quality.mix(np.array([(a + 3 * b) % 2 ** 64 for a, b in zip(h, h[1:])], np.uint64)) if len(h) > 1 else []
+        want = np.zeros(quality.HASHED)
+        for g in h + [int(x) for x in pairs]:
+            want[g % quality.HASHED] += 1 if g >> 63 else -1
+        want = np.sign(want) * np.sqrt(np.abs(want))
+        assert np.allclose(row, want / max(1, np.linalg.norm(want)))
+    assert np.allclose(quality.word_features(texts[::-1])[::-1], got)
+
+
+@pytest.mark.parametrize("teach", [100_000, 40])
+def test_quality_reads_the_words(spark, teach):
+    """Texts of equal style and page data, told apart by their words alone; few of the unlabelled rows teach."""
+    rng = np.random.default_rng(21)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(names[:40] if i % 2 else names[20:], 40))) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    out = {r.doc_id: r.score for r in quality.quality_scores(frame(spark, rows), labels, teach_rows=teach).collect()}
+    assert sum((out[i] >= 0.5) == bool(i % 2) for i in range(300, 600)) >= 285
+
+
 def test_quality_judges_rows_that_share_an_id(spark):
     good = [f"the river runs over stone {i} slowly." for i in range(100)]
     junk = [" ".join(w.upper() + "!!" for w in t.split()) for t in good]

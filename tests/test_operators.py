@@ -179,6 +179,38 @@ def test_pieces_that_cannot_beat_the_kth_score_are_left_out():
     assert state.scored < 0.9 * 300 * 4000
 
 
+def test_scores_closer_than_single_precision_keep_their_order():
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=16) * 100
+    items = base + rng.normal(size=(3000, 16)) * 1e-5
+    users = np.vstack([base, rng.normal(size=(9, 16)), np.full((1, 16), 1e25), np.zeros((1, 16))])
+    state = vectors.Running(10)
+    state.add_users(np.arange(12), users, [np.array([5, 7], np.int32)] * 12)
+    for i in range(0, 3000, 700):
+        state.see(np.arange(i, min(i + 700, 3000)), items[i:i + 700])
+    got = {}
+    for b in state.out():
+        for u, i in zip(b["user_idx"].to_pylist(), b["anime_idx"].to_pylist()):
+            got.setdefault(u, []).append(i)
+    for u in (*range(10), 11):
+        scores = np.round(items @ users[u], 6)
+        scores[[5, 7]] = -np.inf
+        assert got[u] == np.lexsort((np.arange(3000), -scores))[:10].tolist()
+    assert len(got[10]) == 10
+
+
+def test_blocks_grow_with_the_users(spark):
+    """Items are sent once per block, so the blocks must not become more with the users."""
+    rng = np.random.default_rng(19)
+    items, users = _clustered(rng, 200), _clustered(rng, 1000)
+    item_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "anime_idx int, vec array<double>")
+    user_df = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(users)], "user_idx int, vec array<double>")
+    none = spark.createDataFrame([], "user_idx int, anime_idx int")
+    best = vectors._by_blocks(user_df, item_df, none, 5, 4, 50, 1)
+    assert best.rdd.getNumPartitions() <= 2 * vectors.BLOCKS
+    assert best.count() == 5000
+
+
 def test_blocked_top_k_equals_the_shared_one_and_sends_few_rows(spark):
     rng = np.random.default_rng(13)
     items = _clustered(rng, 5000)

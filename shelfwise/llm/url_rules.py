@@ -47,19 +47,48 @@ def tokens_of(url: Column) -> Column:
         F.transform(F.filter(keys, lambda k: k != ""), lambda k: F.concat(F.lit("query:"), k))))
 
 
+def frequent_sets(baskets: DataFrame, need: float, longest: int) -> DataFrame:
+    """``(rule)``: sets of 1 to ``longest`` tokens held by ``need`` bad rows or more, from ``(tokens, n, hits)`` baskets.
+
+    Level by level: the sets of a basket that are left so far take one of its later tokens each, and are counted. A set
+    held by the same rows as one of its parts is left out, with all that hold it: the part says the same of every URL.
+    What is left has only parts that are left, so no other set is missed.
+    """
+    baskets = stage(baskets.withColumn("basket", F.monotonically_increasing_id()), "url-baskets")
+    later = baskets.select("basket", "n", "hits", F.explode("tokens").alias("token"))
+    sums = [F.sum("n").alias("n"), F.sum("hits").alias("hits")]
+    level = stage(later.groupBy(F.array("token").alias("rule")).agg(*sums).where(F.col("hits") >= need), "url-sets")
+    held, every = later.select("basket", F.array("token").alias("rule")), level.select("rule")
+    for size in range(2, longest + 1):
+        grown = (held.join(level, "rule", "left_semi").join(later, "basket").where(F.col("token") > F.element_at("rule", -1))
+                 .select("basket", "n", "hits", F.concat("rule", F.array("token")).alias("rule")))
+        grown = stage(grown, "url-grown")
+        often = grown.groupBy("rule").agg(*sums).where(F.col("hits") >= need)
+        parts = F.array(*[F.concat(F.slice("rule", 1, i), F.slice("rule", i + 2, size)) for i in range(size)])
+        whole = level.select(F.col("rule").alias("part"), F.col("n").alias("part_n"))
+        own = (often.select("rule", "n", F.explode(parts).alias("part")).join(whole, "part")
+               .groupBy("rule").agg(F.count("*").alias("parts"), F.min("part_n").alias("least"), F.first("n").alias("n")))
+        level = stage(own.where((F.col("parts") == size) & (F.col("least") > F.col("n"))).select("rule", "n"), "url-sets")
+        held, every = grown.select("basket", "rule"), every.unionByName(level.select("rule"))
+    return every
+
+
 def mine_rules(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, lift: float = 1.5, longest: int = 4,
                widest: int = 12) -> DataFrame:
     """``(rule, key, confidence, support)``: sets of up to ``longest`` tokens that point to bad pages, from ``(tokens, bad)`` rows.
 
     FP-growth proposes sets from the ``widest`` tokens of a URL that point to bad pages most surely (then the commonest):
-    all sets of a URL of 60 tokens would be 2^60. What it proposes is counted again over all tokens of all rows, so support,
-    confidence and lift are those of whole URLs; only a rule whose tokens are nowhere together among a URL's surest
-    is not found. ``key`` is the rule's rarest token, under which it is filed.
+    it knows no longest set, and all sets of a URL of 60 tokens would be 2^60. If any URL has more tokens that can be in
+    a rule, :func:`frequent_sets` adds what whole URLs hold, but for sets that a smaller one of the same rows stands for,
+    so no verdict and no confidence misses a rule. What is proposed is counted again
+    over all tokens of all rows, so support, confidence and lift are those of whole URLs. ``key`` is the rule's rarest
+    token, under which it is filed.
     """
     rows = stage(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled-urls")
     total, bad = rows.agg(F.count("*"), F.sum(F.col("bad").cast("bigint"))).first()
     each = rows.select("row", "bad", F.explode("tokens").alias("token"))
-    known = stage(each.groupBy("token").agg(F.count("*").alias("freq"), F.avg(F.col("bad").cast("int")).alias("sure"))
+    known = stage(each.groupBy("token").agg(F.count("*").alias("freq"), F.avg(F.col("bad").cast("int")).alias("sure"),
+                                               F.sum(F.col("bad").cast("bigint")).alias("hits"))
                   .where(F.col("freq") >= support * total - 1e-9), "url-tokens")
     surest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sure")).alias("s"), (-F.col("freq")).alias("f"), "token"))), 1, widest)
     some = each.join(known, "token").groupBy("row").agg(F.transform(surest, lambda t: t["token"]).alias("some"))
@@ -68,6 +97,12 @@ def mine_rules(labelled: DataFrame, support: float = 0.002, confidence: float =
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(baskets).freqItemsets
     sets = sets.where(F.array_contains("items", BAD) & F.size("items").between(2, longest + 1))
     sets = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"))
+    need = support * total - 1e-9
+    apt = known.where(F.col("hits") >= need)
+    whole = each.join(apt, "token").groupBy("row", "bad").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    baskets = stage(whole.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("bigint")).alias("hits")), "labelled-baskets")
+    if not baskets.where(F.size("tokens") > widest).isEmpty():
+        sets = sets.unionByName(frequent_sets(baskets, need, longest)).distinct()
     rarest = (sets.select("rule", F.explode("rule").alias("token")).join(known, "token")
               .groupBy("rule").agg(F.min(F.struct("freq", "token")).alias("low")))
     posted = stage(rarest.select("rule", F.col("low.token").alias("key")), "proposed-rules")

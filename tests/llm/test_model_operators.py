@@ -122,6 +122,26 @@ def test_hosts_and_fixed_rules(spark):
     assert url_rules.judge_urls(pages.where("false"), labels, URL_RULES).count() == 0
 
 
+def test_rules_of_wide_urls_are_found(spark):
+    """Sets of which a URL's surest tokens hold a part or nothing."""
+    rng = np.random.default_rng(23)
+    rows = [(sorted({f"t{i}" for i in np.flatnonzero(rng.random(9) < (0.7 if bad else 0.25))}), bool(bad)) for bad in rng.random(120) < 0.3]
+    rows += [([f"t{i}" for i in range(9)], True)] * 6
+    total, n_bad = len(rows), sum(bad for _, bad in rows)
+    want = {}
+    for size in (1, 2, 3):
+        for rule in combinations([f"t{i}" for i in range(9)], size):
+            held = [bad for tokens, bad in rows if set(rule) <= set(tokens)]
+            hits = sum(held)
+            if hits >= 0.05 * total and hits / len(held) >= 0.6 and hits / len(held) * total >= 1.5 * n_bad:
+                want[rule] = (hits / len(held), hits / total)
+    found = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.05, longest=3, widest=3)
+    got = {tuple(r.rule): (r.confidence, r.support) for r in found.collect()}
+    assert len(want) > 20 and all(np.allclose(got[r], want[r]) for r in got)
+    # a rule that is left out has a part held by the same rows
+    assert all(any(set(g) <= set(r) and np.allclose(got[g], want[r]) for g in got) for r in want)
+
+
 def test_mined_rules_match_plain(spark):
     rng = random.Random(4)
     urls = [f"http://{rng.choice('abc')}.site.{rng.choice(['com', 'org'])}/{rng.choice(['x', 'y', 'bad'])}/{rng.randrange(99)}?{rng.choice('pq')}=1" for _ in range(300)]

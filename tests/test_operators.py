@@ -199,6 +199,19 @@ def test_scores_closer_than_single_precision_keep_their_order():
     assert len(got[10]) == 10
 
 
+def test_a_mask_meets_one_of_equal_ids():
+    """Also where a cut between pieces parts them."""
+    n = vectors.SCORE_ITEMS + 50
+    ids = np.sort(np.append(np.arange(n - 1), vectors.SCORE_ITEMS - 1))
+    items = np.column_stack([np.arange(n, 0, -1), np.ones(n)]) / n
+    state = vectors.Running(n)
+    state.add_users(np.arange(2), np.ones((2, 2)), [np.array([3, vectors.SCORE_ITEMS - 1], np.int32), np.zeros(0, np.int32)])
+    state.see(ids, items)
+    got = [b.to_pandas() for b in state.out()][0]
+    mine = got[got["user_idx"] == 0]["anime_idx"].tolist()
+    assert mine == sorted(set(ids.tolist()) - {3}) and (got["user_idx"] == 1).sum() == n
+
+
 def test_blocks_grow_with_the_users(spark):
     """Items are sent once per block, so the blocks must not become more with the users."""
     rng = np.random.default_rng(19)

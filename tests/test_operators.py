@@ -224,6 +224,29 @@ def test_blocks_grow_with_the_users(spark):
     assert best.count() == 5000
 
 
+def test_blocks_are_as_many_as_send_least():
+    """Items are sent once per block, users and lists once per lane; memory bounds a block."""
+    def sent(n_users, n_items, k, block):
+        blocks = -(-n_users // block)
+        return blocks * n_items * 512 + max(1, min(vectors.LANES, -(-12 // blocks))) * n_users * (512 + 20 * k)
+    graph = vectors.block_size(1_200_000, 1_200_000, 64, 15, 12, 4096, 1)
+    assert sent(1_200_000, 1_200_000, 15, graph) <= 0.3 * sent(1_200_000, 1_200_000, 15, 32768)
+    pools = vectors.block_size(56_000, 1_200_000, 64, 200, 12, 4096)
+    assert sent(56_000, 1_200_000, 200, pools) <= 0.6 * sent(56_000, 1_200_000, 200, 7000)
+    assert vectors.block_size(10 ** 8, 10 ** 7, 64, 200, 12, 4096) * (512 + 200 * 24) <= vectors.BLOCK_BYTES
+
+
+def test_users_of_one_small_file_meet_a_shared_matrix_in_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(23)
+    item_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_clustered(rng, 50))], "anime_idx int, vec array<double>")
+    path = str(tmp_path / "users")
+    spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(_clustered(rng, 200))], "user_idx int, vec array<double>").coalesce(1).write.parquet(path)
+    none = spark.createDataFrame([], "user_idx int, anime_idx int")
+    best = vectors._by_broadcast(spark.read.parquet(path), vectors.share_matrix(item_df), none, 3)
+    assert best.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert best.count() == 600
+
+
 def test_blocked_top_k_equals_the_shared_one_and_sends_few_rows(spark):
     rng = np.random.default_rng(13)
     items = _clustered(rng, 5000)

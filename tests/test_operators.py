@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
+from shelfwise.functions import staging
 from shelfwise.operators import atlas, browse, checks, cleaning, encoding, estimators, features, labels, layout, metrics, ranker, recommend, sampling, splits, tuning, vectors
 
 
@@ -247,6 +248,22 @@ def test_users_of_one_small_file_meet_a_shared_matrix_in_many_tasks(spark, tmp_p
     assert best.count() == 600
 
 
+def test_a_file_of_repeated_vectors_is_not_taken_for_a_small_table(spark):
+    """60 MB of rows in a small file would go whole through the driver."""
+    n = 120_000
+    rows_ = spark.range(n).select(F.col("id").cast("int").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i * (F.col("id") % 2000)).cast("double")).alias("vec"))
+    before = spark.conf.get(staging.FACTOR)
+    try:
+        spark.conf.unset(staging.FACTOR)
+        staging.plan_by_rows(spark)
+        small = staging.stage(rows_, "repeated")
+        other = spark.range(n).select((F.col("id") * 3).cast("int").alias("k"), F.rand(1).alias("x"))
+        plan = other.repartition(8, "k").join(small, "k", "left")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set(staging.FACTOR, before)
+
+
 def test_blocked_top_k_equals_the_shared_one_and_sends_few_rows(spark):
     rng = np.random.default_rng(13)
     items = _clustered(rng, 5000)

@@ -42,14 +42,15 @@ def dedup_lines(docs: DataFrame, ratio: float = 0.1, least: int = 5, id_col: str
     back is a plain equality join that adaptive execution broadcasts while the list is small, else splits.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    page = row.select("row", F.col("row")[id_col].alias("id"), F.col("row")[host_col].alias("host"), F.col("row")[text_col].alias("text"))
+    page = row.select("row", F.col("row")[id_col].alias("id"), F.col("row")[host_col].alias("host"))
+    text = F.col("row")[text_col]                                  # taken after the join, so that a text is shuffled once
     common = boilerplate(docs, ratio, least, host_col, text_col).select(F.col("host").alias("h"), F.col("key").alias("k"))
-    keys = page.select("id", "host", F.explode(line_keys(F.col("text"))).alias("key"))
+    keys = page.select("id", "host", F.explode(line_keys(text)).alias("key"))
     drop = (keys.join(common, keys["host"].eqNullSafe(common["h"]) & (keys["key"] == common["k"]), "left_semi")
             .groupBy("id", "host").agg(F.collect_set("key").alias("drop"))
             .select(F.col("id").alias("d"), F.col("host").alias("g"), "drop"))
     joined = page.join(drop, page["id"].eqNullSafe(drop["d"]) & page["host"].eqNullSafe(drop["g"]), "left")
-    lines = F.split("text", "\n")
+    lines = F.split(text, "\n")
     kept = F.when(F.col("drop").isNull(), lines).otherwise(
         F.filter(lines, lambda s: ~F.array_contains("drop", line_key(F.trim(s)))))
     out = joined.select("row", lines.alias("lines"), kept.alias("kept"))

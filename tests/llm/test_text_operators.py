@@ -230,3 +230,16 @@ def test_rows_are_judged_each_by_its_text(spark):
     rows = [(None, f"x {item} y"), (None, "clean"), (5, item), (5, "clean too"), (6, None)]
     kept = decontaminate.clean(frame(spark, rows), bench).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("5", "clean too"), ("6", "None"), ("None", "clean")]
+
+
+def test_line_dedup_shuffles_a_text_once(spark):
+    """What meets the drop lists holds the text in the row alone, not a second time beside it."""
+    docs = spark.createDataFrame([(1, "a\nb", "s")], "doc_id long, text string, source string")
+
+    def left_of_outer(plan):
+        if plan.nodeName() == "Join" and "Left" in plan.joinType().toString() and "Semi" not in plan.joinType().toString():
+            return plan.children().apply(0).schema().simpleString()
+        found = [left_of_outer(plan.children().apply(i)) for i in range(plan.children().size())]
+        return next((f for f in found if f), None)
+    shuffled = left_of_outer(line_dedup.dedup_lines(docs)._jdf.queryExecution().optimizedPlan())
+    assert shuffled.count("text:string") == 1

@@ -264,6 +264,15 @@ def test_a_file_of_repeated_vectors_is_not_taken_for_a_small_table(spark):
         spark.conf.set(staging.FACTOR, before)
 
 
+def test_content_features_are_not_sent_whole(spark):
+    """An array counts as one number in Spark's sizes, so a table of long arrays passes for a small one."""
+    items = spark.range(3000).select(F.col("id").cast("int").alias("k"), F.array_repeat(F.col("id") % 2, 400).alias("x"))
+    learned = spark.range(0, 3000, 2).select(F.col("id").cast("int").alias("k"), F.array(F.rand(1)).alias("vec"))
+    known = estimators._known(items, learned, "k", "x")
+    assert "Broadcast" not in known._jdf.queryExecution().sparkPlan().toString()
+    assert known.count() == 1500 and known.columns == ["x", "vec"]
+
+
 def test_blocked_top_k_equals_the_shared_one_and_sends_few_rows(spark):
     rng = np.random.default_rng(13)
     items = _clustered(rng, 5000)

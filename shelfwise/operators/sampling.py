@@ -58,7 +58,8 @@ def anchor_history(examples: DataFrame, users: DataFrame, length: int, dropout:
     ids = rows.withColumn("_places", places).withColumn(
         "ids", F.transform("_places", lambda p: F.coalesce(F.get("history_ids", p), F.lit(0))))
     kept = hash_unit(seed, "drop", *key) >= dropout
-    mask = F.transform("ids", lambda a: kept & (a != F.col("anime_idx")) & (a != 0))
+    real = F.transform("ids", lambda a: (a != F.col("anime_idx")) & (a != 0))
+    mask = F.when(kept, real).otherwise(F.transform("ids", lambda _: F.lit(False)))       # one draw a row, not one an entry
     return ids.select("user_idx", "anime_idx", "ids", mask.alias("mask"))
 
 

@@ -462,9 +462,12 @@ def est_1(w):
 def est_1_content(w):
     """Vectors of all items, cold ones too, from their genres, themes, studios and year."""
     _, learned = es.learn_vectors(w.examples.where("split = 'train'"))
-    feats = en.multi_hot(en.multi_hot(w.items, "genres", "g"), "themes", "t")
+    feats = w.items
+    for column in ("genres", "themes", "studios"):
+        feats = en.multi_hot(feats, column, f"{column}_bits")
     year = F.array(F.coalesce((F.year(F.try_to_timestamp("start_date")) - 2000) / 10.0, F.lit(0.0)))
-    feats = feats.select("anime_idx", F.concat(F.col("g").cast("array<double>"), F.col("t").cast("array<double>"), year).alias("x"))
+    bits = [F.col(f"{column}_bits").cast("array<double>") for column in ("genres", "themes", "studios")]
+    feats = feats.select("anime_idx", F.concat(*bits, year).alias("x"))
     out = es.fit_content(feats, learned, "anime_idx", "x").vectors(feats, "anime_idx", "x")
     return out.withColumn("vec", rounded(F.col("vec"), 4))
 
